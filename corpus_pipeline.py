@@ -1,3 +1,97 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): pass
+"""From raw documents to mixed, tokenized training data.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a DataFrame that
+is written as Parquet and read again as the next stage's docs.  All but the last
+return the columns of documents.
+
+language        drops documents whose language the model rejects: no letter, or a score under
+                the calibrated threshold
+near_dedup      keeps one document of each group of near copies (five-word shingles, 0.8), the one
+                with the least id; of rows that repeat an id one stays
+decontaminate   drops documents that hold ten consecutive words of a benchmark item (or a whole
+                shorter item)
+mix             keeps every document and puts them in the order of the mixing schedule: file by
+                file and row by row, any prefix has the target weights to within a block a source
+tokens          writes the shards in that order (by doc_id if the rows don't come from files) and
+                returns what it reads back: doc_id, start, n_tokens, ids_crc32
+
+Null texts and empty texts are dropped by the first stage; null ids, null sources and null languages are
+kept; empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm.decontaminate import contamination
+from cadenza.llm.language import accepted, fit
+from cadenza.llm.mixing import mixed
+from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.shared import BROADCAST_IDS, Scratch, documents
+from cadenza.llm.tokens import tokenized, word_bpe
+
+#: SQL can't express the language model or the tokenizer; tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't in ids; ids are broadcast only if few enough."""
+    held = Scratch(docs.sparkSession).keep(ids.distinct(), "dropped")
+    return docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, "doc_id", "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, fit(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(docs, shingle=5, percent=80)
+    once = _without(docs, groups.where("not kept").select("doc_id"))
+    repeated = Scratch(spark).keep(
+        docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return once
+    return _without(once, repeated).unionByName(once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs, documents(spark, sf_dir, "benchmark"), window=10)
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    order = (
+        mixed(docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at")).withColumnRenamed("doc_id", "m_id")
+    )
+    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
+    return placed.repartitionByRange("at").sortWithinPartitions("at", "doc_id").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+        order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    except AnalysisException:  # not read from files
+        order = None
+    return tokenized(docs, word_bpe(), 1, order=order)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = Scratch(spark).keep(docs, f"stage-{name}")
+    return docs
