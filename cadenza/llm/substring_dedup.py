@@ -64,27 +64,40 @@ def window_seeds(words: Words, window: int) -> np.ndarray:
     return low
 
 
+def seed_places(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, row) of every place of a seed: a run is a seed if it is the least of some window that holds it,
+    so it equals the greatest of the least values of the windows that hold it."""
+    size = min(SEED, window)
+    need = window - size + 1
+    runs = gram_hashes(words.hash, size)
+    low = np.zeros(max(0, len(words.hash) - window + 1), dtype=U)
+    at = words.within(window)
+    low[at] = window_seeds(words, window)[at]
+    high = np.concatenate([np.zeros(need - 1, dtype=U), low, np.zeros(need - 1, dtype=U)])
+    have = 1
+    while have < need:
+        step = min(have, need - have)
+        high = np.maximum(high[: len(high) - step], high[step:])
+        have += step
+    if not len(at):
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+    place = np.flatnonzero((high == runs) & (high > 0))
+    return runs[place], words.row[place]
+
+
 def _outline(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 texts = part.column("text").to_pylist()
                 words = Words(*text_buffers(part.column("text")), SPACED)
-                at = words.within(window)
-                seeds, rows = window_seeds(words, window)[at], words.row[at]
-                # A stretch of one seed; a seed with two stretches, or one too long, occurs twice here.
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (seeds[1:] != seeds[:-1]) | (rows[1:] != rows[:-1])
-                start = np.flatnonzero(new)
-                length = np.diff(np.append(start, len(at)))
-                times = np.where(length > window - SEED + 1, 2, 1)
-                seed, row = seeds[start], rows[start]
+                seed, row = seed_places(words, window)
                 order = np.lexsort((seed, row))
-                seed, row, times = seed[order], row[order], times[order]
+                seed, row = seed[order], row[order]
                 head = np.ones(len(seed), dtype=bool)
                 head[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
                 where = np.flatnonzero(head)
-                total = np.add.reduceat(times, where) if len(where) else times
+                total = np.diff(np.append(where, len(seed)))
                 repeat = np.minimum(total, 2)
                 seed, row = np.repeat(seed[where], repeat), np.repeat(row[where], repeat)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
