@@ -52,9 +52,8 @@ def origin_weights(df: DataFrame, by: list[str]) -> DataFrame:
     """Per session, the weight of each of its rows: 1 / (users * sessions of the user * rows of the session)."""
     sessions = session_counts(df, by)
     users = sessions.groupBy(*by).agg(F.countDistinct(USER).alias("n_users"))
-    return sessions.join(F.broadcast(users) if not by else users, by).withColumn(
-        "weight", 1 / (F.col("n_users") * F.col("n_sessions") * F.col("n_origins"))) if by else (
-        sessions.crossJoin(F.broadcast(users)).withColumn("weight", 1 / (F.col("n_users") * F.col("n_sessions") * F.col("n_origins"))))
+    joined = sessions.join(users, by) if by else sessions.crossJoin(F.broadcast(users))  # one row without `by`
+    return joined.withColumn("weight", 1 / (F.col("n_users") * F.col("n_sessions") * F.col("n_origins")))
 
 
 def training_weights(df: DataFrame) -> DataFrame:
