@@ -171,11 +171,11 @@ def near_duplicates(
     classes = rows.where("id is not null and digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"))
     copied = classes.where("copies > 1").select("digest", F.col("id").alias("rep"))
-    # A representative's bands come back by its id: they needn't travel through the aggregation.
+    # A representative's bands come back by its id, which no hot group shares.
     members = (
         rows.where("id is not null and digest is not null")
-        .join(classes.withColumnRenamed("id", "rep"), "digest")
-        .where("id = rep")
+        .join(classes.withColumnRenamed("digest", "own"), "id")
+        .where("digest = own")
         .dropDuplicates(["id"])
         .select("id", "copies", F.posexplode("bands").alias("band", "key"))
     )
