@@ -59,6 +59,8 @@ def window_seeds(words: Words, window: int) -> np.ndarray:
     low, have = runs, 1
     while have < need:
         step = min(have, need - have)
+        if len(low) <= step:  # fewer words than a window
+            return low[:0]
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
     return low
@@ -72,6 +74,8 @@ def seed_places(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     runs = gram_hashes(words.hash, size)
     low = np.zeros(max(0, len(words.hash) - window + 1), dtype=U)
     at = words.within(window)
+    if not len(at):
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     low[at] = window_seeds(words, window)[at]
     high = np.concatenate([np.zeros(need - 1, dtype=U), low, np.zeros(need - 1, dtype=U)])
     have = 1
@@ -79,8 +83,6 @@ def seed_places(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(have, need - have)
         high = np.maximum(high[: len(high) - step], high[step:])
         have += step
-    if not len(at):
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     place = np.flatnonzero((high == runs) & (high > 0))
     return runs[place], words.row[place]
 
@@ -259,13 +261,20 @@ def substring_duplicates(df: DataFrame, window: int = 50, id_col: str = "doc_id"
     )
 
 
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch):
+            words = Words(*text_buffers(part.column("text")), SPACED)
+            yield part.append_column("doc", pa.array(sequence_digests(words), pa.binary()))
+
+
 def without_duplicates(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): the kept words of every row, joined by one space where something was removed."""
-    scratch = Scratch(df.sparkSession)
-    outline, copied, found = factored(df, window, scratch, id_col, text_col)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
-    fates = outline.select("key", "doc").distinct().join(copied.select("doc", "copies"), "doc", "left").join(found.select("doc", "kept"), "doc", "left")
-    return texts.join(fates, F.col("key").eqNullSafe(fates["key"]), "left").select(
+    """(id, text) per row: the kept words joined by one space where something was removed, else the text itself."""
+    _, copied, found = factored(df, window, Scratch(df.sparkSession), id_col, text_col)
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _with_digest, "id long, text string, doc binary")
+    fates = texts.join(copied.select("doc", "copies"), "doc", "left").join(found.select("doc", "kept"), "doc", "left")
+    return fates.select(
         F.col("id").alias(id_col), F.when(F.col("copies").isNotNull(), F.lit("")).otherwise(F.coalesce("kept", "text")).alias(text_col))
 
 
