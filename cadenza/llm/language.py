@@ -105,13 +105,15 @@ class LanguageModel:
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int,
-          epochs: int = 8, rate: float = 8.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+          epochs: int = 8, least_steps: int = 300, rate: float = 8.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """SGD on (buckets, weights) rows: the table of embeddings times output weights, and the bias."""
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((BUCKETS, DIMENSION)) * 0.1).astype(np.float64)
     out = rng.standard_normal((DIMENSION, n_labels)) * 0.5
     bias = np.zeros(n_labels)
-    steps, done = epochs * -(-len(features) // batch), 0
+    per_epoch = -(-len(features) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))  # small samples are gone through more often
+    steps, done = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(len(features))
         for a in range(0, len(order), batch):
