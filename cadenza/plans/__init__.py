@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, duplicates, metrics, partitions, signals, tables
+from . import audits, duplicates, metrics, partitions, profiles, signals, tables
 from .base import nudged
 
-_GROUPS = (metrics, partitions, duplicates, signals, audits, tables)
+_GROUPS = (metrics, partitions, duplicates, signals, profiles, audits, tables)
 
 
 def queries() -> dict:

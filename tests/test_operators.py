@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numeric, text
 from cadenza.functions.hashing import stable_fraction
-from cadenza.operators import audit, dedupe, hierarchy, history, inference, intervals, origins, series, splits
+from cadenza.operators import audit, dedupe, hierarchy, history, inference, intervals, origins, profiles, series, splits
 from cadenza.sources import readers, writers
 from cadenza.streaming.last_value import windowed_last
 
@@ -198,6 +198,16 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "n")).first().x is None
 
 
+def test_profiles_and_draws(spark):
+    assert one(spark, profiles.resampled(F.array(*[F.lit(float(x)) for x in (0, 10, 20)]), 5)) == [0.0, 5.0, 10.0, 15.0, 20.0]
+    assert one(spark, profiles.resampled(F.array(F.lit(3.0)), 2)) == [3.0, 3.0]
+    bins = spark.createDataFrame([(1, b, float(b % 3)) for b in (1, 2, 3, 9)], "s int, bin long, value double")
+    assert profiles.eligibility(bins, ["s"], 5, 0.4, 2, 0.1).first().reason == "missing_run"
+    rows = spark.createDataFrame([(u, s, r) for u in range(3) for s in range(2) for r in range(4)], "u int, s int, r int")
+    got = inference.cluster_subsample(rows, "u", "s", "r", 7)
+    assert got.count() == 3 == got.select("u").distinct().count()
+
+
 def test_audits(spark):
     df = spark.createDataFrame([(1, 5), (1, 50), (2, None)], "k int, users int")
     assert audit.duplicate_keys(df, ["k"]).first().rows == 2

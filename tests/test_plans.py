@@ -16,3 +16,12 @@ def test_matches_sql(spark, db, name):
 def test_bootstrap_brackets_estimate(spark):
     for r in QUERIES["boot_numpy"](spark, DATA).collect():
         assert r.low <= r.estimate <= r.high
+
+
+def test_queries_without_sql(spark):
+    variants = QUERIES["profile_variants"](spark, DATA)
+    assert variants.count() >= variants.select("vec_id").distinct().count() == 500
+    fitted = QUERIES["linear_residual"](spark, DATA).collect()
+    assert len(fitted) == 3 and all(r.mae > 0 for r in fitted)
+    r = QUERIES["two_sample"](spark, DATA).first()
+    assert r.low <= r.difference <= r.high and r.ratio_low <= r.ratio <= r.ratio_high
