@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, hierarchy as h
 from .base import EV, evaluation, r6, rounded, table
-from .metrics import ERR, HIER_POINT
+from .metrics import err
 
 
 def audit_dupkeys(spark, d):
@@ -28,9 +28,9 @@ AUDIT_PREDICTIONS = f"""WITH {EV} SELECT count(*) FILTER (NOT prediction BETWEEN
 def audit_recompute(spark, d):
     """The nested metric against the same metric by weights."""
     ev = evaluation(spark, d)
-    a = h.nested_mean(ev, ["regime"], mae=ERR).select("regime", "mae")
+    a = h.nested_mean(ev, ["regime"], mae=err()).select("regime", "mae")
     w = h.origin_weights(ev, ["regime"]).select("regime", "session_key", "weight")
-    b = ev.join(w, ["regime", "session_key"]).groupBy("regime").agg(F.sum(ERR * F.col("weight")).alias("mae"))
+    b = ev.join(w, ["regime", "session_key"]).groupBy("regime").agg(F.sum(err() * F.col("weight")).alias("mae"))
     return rounded(audit.recomputed(a, b, ["regime"], "mae", 5e-6), "value_a", "value_b")
 
 
@@ -106,7 +106,7 @@ TREE_HASH = "SELECT p_brand, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest
 
 def leak_optimism(spark, d):
     """Relative optimism of the errors under one mode against the other, in per cent."""
-    m = h.nested_mean(evaluation(spark, d), ["mode", "horizon"], mae=ERR).groupBy("horizon").pivot("mode", ["F", "O"]).agg(F.first("mae"))
+    m = h.nested_mean(evaluation(spark, d), ["mode", "horizon"], mae=err()).groupBy("horizon").pivot("mode", ["F", "O"]).agg(F.first("mae"))
     return m.select("horizon", r6(100 * (F.col("O") - F.col("F")) / F.col("O")).alias("optimism"))
 
 

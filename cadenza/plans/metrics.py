@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import audit, hierarchy as h, inference, intervals as iv
 from .base import EV, evaluation, r6, rounded, table
 
-ERR = F.abs(F.col("prediction") - F.col("target"))
+def err():
+    return F.abs(F.col("prediction") - F.col("target"))
 
 
 def hier_point(spark, d):
@@ -24,7 +25,7 @@ SELECT regime, horizon, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse,
 
 
 def hier_mean(spark, d):
-    return rounded(h.nested_mean(evaluation(spark, d), ["regime"], error=ERR, quantity=F.col("l_quantity")), "error", "quantity")
+    return rounded(h.nested_mean(evaluation(spark, d), ["regime"], error=err(), quantity=F.col("l_quantity")), "error", "quantity")
 
 
 HIER_MEAN = f"""WITH {EV}, s AS (SELECT regime, user_key, session_key, avg(abs(prediction - target)) AS e, avg(l_quantity) AS q, count(*) AS n FROM ev GROUP BY ALL),
@@ -82,7 +83,7 @@ QUANTILE_SUMMARY = f"""WITH {EV} SELECT regime, count(target) AS n, min(target)
 def _seeds(spark, d):
     """Suppliers modulo 5 as seeds: a mean absolute error for each."""
     ev = evaluation(spark, d).withColumn("seed", F.col("l_suppkey") % 5)
-    return h.nested_mean(ev, ["seed", "mode", "horizon"], mae=ERR)
+    return h.nested_mean(ev, ["seed", "mode", "horizon"], mae=err())
 
 
 SEEDS = f"""{EV}, se AS (SELECT l_suppkey % 5 AS seed, mode, horizon, user_key, session_key, avg(abs(prediction - target)) AS e FROM ev GROUP BY ALL),
@@ -108,7 +109,7 @@ FROM m a JOIN m b ON a.seed = b.seed AND a.horizon = b.horizon WHERE a.mode = 'F
 
 def seed_user_mean(spark, d):
     ev = evaluation(spark, d).withColumn("seed", F.col("l_suppkey") % 5)
-    users = h.user_means(ev, ["seed"], mae=ERR)
+    users = h.user_means(ev, ["seed"], mae=err())
     return users.groupBy("user_key").agg(r6(F.avg("mae")).alias("mae"), F.count("*").alias("n_seeds"))
 
 
@@ -136,7 +137,7 @@ PIVOT_REPORT = f"""WITH p AS ({HIER_POINT}) SELECT regime, max(mae) FILTER (hori
 
 
 def weighted_quantile(spark, d):
-    ev = evaluation(spark, d).withColumn("error", F.round(ERR, 2))
+    ev = evaluation(spark, d).withColumn("error", F.round(err(), 2))
     w = ev.join(h.origin_weights(ev, []).select("session_key", "weight"), "session_key")
     return h.weighted_quantile_higher(w, ["regime"], "error", "weight", 0.9)
 
@@ -150,7 +151,7 @@ WEIGHTED_QUANTILE = f"""WITH {WQ} SELECT regime, min(error) AS quantile FROM c W
 
 
 def balanced_threshold(spark, d):
-    ev = evaluation(spark, d).withColumn("error", F.round(ERR, 2) - 20000)
+    ev = evaluation(spark, d).withColumn("error", F.round(err(), 2) - 20000)
     w = ev.join(h.origin_weights(ev, []).select("session_key", "weight"), "session_key")
     return rounded(iv.balanced_threshold(w, ["regime"], "error", "weight", 0.5), "threshold")
 
@@ -159,7 +160,7 @@ BALANCED_THRESHOLD = f"""WITH {WQ} SELECT regime, round(greatest(0, min(error) -
 
 
 def weighted_cdf(spark, d):
-    ev = evaluation(spark, d).withColumn("error", F.round(ERR, 2))
+    ev = evaluation(spark, d).withColumn("error", F.round(err(), 2))
     w = ev.join(h.origin_weights(ev, []).select("session_key", "weight"), "session_key")
     return rounded(h.weighted_cdf(w, ["regime"], "error", "weight", [1000.0, 10000.0, 50000.0]), "share")
 
@@ -190,7 +191,7 @@ SELECT regime, round(avg((target - mu) / sd), 6) AS z_mean, round(min((target -
 
 def family_cube(spark, d):
     ev = evaluation(spark, d)
-    cells = h.cell_means(ev, "family", ERR)
+    cells = h.cell_means(ev, "family", err())
     return rounded(h.full_cube(cells, "family", ev.select("family").distinct()), "value")
 
 
@@ -203,7 +204,7 @@ CROSS JOIN (SELECT DISTINCT family FROM ev) f LEFT JOIN cells c ON c.user_key =
 def standardized_mix(spark, d):
     ev = evaluation(spark, d)
     mix = ev.where("regime = 'N'").groupBy("family").agg(F.countDistinct("session_key").cast("double").alias("share"))
-    return rounded(h.standardized(h.cell_means(ev, "family", ERR), "family", mix), "standardized", "macro")
+    return rounded(h.standardized(h.cell_means(ev, "family", err()), "family", mix), "standardized", "macro")
 
 
 STANDARDIZED_MIX = f"""WITH {CELLS}, m AS (SELECT family, avg(value) AS value FROM cells GROUP BY ALL),
@@ -252,7 +253,7 @@ FROM u, (SELECT mean AS base FROM u WHERE n_regionkey = 0)"""
 def subgroup_dim(spark, d):
     seg = table(spark, d, "customer").select(F.col("c_custkey").alias("user_key"), F.col("c_mktsegment").alias("subgroup"))
     ev = evaluation(spark, d).join(seg, "user_key")
-    out = h.nested_mean(ev, ["subgroup"], mae=ERR)
+    out = h.nested_mean(ev, ["subgroup"], mae=err())
     return rounded(out, "mae").select("*", *audit.support_flags(F.col("users")))
 
 
@@ -346,7 +347,7 @@ SELECT regime, round(avg(q[1]), 6) AS low, round(avg(q[2]), 6) AS mid, round(avg
 
 
 def _deltas(spark, d):
-    users = h.user_means(evaluation(spark, d), ["mode", "horizon"], mae=ERR)
+    users = h.user_means(evaluation(spark, d), ["mode", "horizon"], mae=err())
     return inference.paired(users.where("mode = 'F'"), users.where("mode = 'O'"), ["horizon", "user_key"], "mae")
 
 
@@ -390,7 +391,7 @@ REPLICATES = 40
 
 
 def boot_mean_hash(spark, d):
-    users = h.user_means(evaluation(spark, d), ["regime"], mae=ERR)
+    users = h.user_means(evaluation(spark, d), ["regime"], mae=err())
     return rounded(inference.hash_bootstrap(users.select("regime", "user_key", "mae"), ["regime"], "mae", "user_key", REPLICATES, "boot"), "estimate", "low", "high")
 
 
@@ -405,7 +406,7 @@ SELECT regime, round(avg(mae), 6) AS estimate, count(*) AS users, round(any_valu
 
 
 def boot_numpy(spark, d):
-    users = h.user_means(evaluation(spark, d), ["regime"], mae=ERR, quantity=F.col("l_quantity"))
+    users = h.user_means(evaluation(spark, d), ["regime"], mae=err(), quantity=F.col("l_quantity"))
     return inference.bootstrap(users, ["regime"], ["mae", "quantity"], "user_key", replicates=1000, batch=100)
 
 

@@ -17,11 +17,11 @@ def _fraction(payload: str) -> str:
 
 def stable_fraction_(spark, d):
     c = table(spark, d, "customer")
-    return c.select("c_custkey", stable_fraction("endomondo_unseen_user", F.col("c_custkey")).alias("fraction"),
+    return c.select("c_custkey", stable_fraction("unseen_user", F.col("c_custkey")).alias("fraction"),
                     row_fraction("rows", F.col("c_nationkey"), F.col("c_custkey")).alias("by_row"))
 
 
-STABLE_FRACTION = f"""SELECT c_custkey, {_fraction("'20260722|endomondo_unseen_user|' || c_custkey")} AS fraction,
+STABLE_FRACTION = f"""SELECT c_custkey, {_fraction("'20260722|unseen_user|' || c_custkey")} AS fraction,
   {_fraction("'rows|' || c_nationkey || '|' || c_custkey")} AS by_row FROM customer"""
 
 
@@ -45,11 +45,11 @@ PSEUDONYM = """SELECT c_custkey, substr(sha256(encode('cadenza') || '\\x00'::BLO
 
 
 def splits_user(spark, d):
-    return sp.user_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", "endomondo_unseen_user").drop("fraction")
+    return sp.user_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", "unseen_user").drop("fraction")
 
 
 _USER = f"""SELECT c_custkey, CASE WHEN f < 0.70::DOUBLE THEN 'train' WHEN f < 0.80::DOUBLE THEN 'validation' WHEN f < 0.90::DOUBLE THEN 'calibration' ELSE 'test' END AS partition
-FROM (SELECT c_custkey, {_fraction("'20260722|endomondo_unseen_user|' || c_custkey")} AS f FROM customer)"""
+FROM (SELECT c_custkey, {_fraction("'20260722|unseen_user|' || c_custkey")} AS f FROM customer)"""
 
 
 def _temporal(spark, d):
@@ -77,11 +77,11 @@ STRICT_TEMPORAL = f"""WITH {STRICT} SELECT user_key, session_key, partition, CAS
 
 
 def splits_external(spark, d):
-    return sp.external_split(sessions(spark, d), "user_key", "family", "golden_secondary_adaptation")
+    return sp.external_split(sessions(spark, d), "user_key", "family", "secondary_adaptation")
 
 
 SPLITS_EXTERNAL = f"""WITH {SESS}, p AS (SELECT DISTINCT user_key, family FROM sess),
-f AS (SELECT *, {_fraction("'20260722|golden_secondary_adaptation|' || family || '|' || user_key")} AS fr FROM p),
+f AS (SELECT *, {_fraction("'20260722|secondary_adaptation|' || family || '|' || user_key")} AS fr FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY fr, user_key) AS rn, count(*) OVER (PARTITION BY family) AS n FROM f)
 SELECT user_key, bool_or(rn <= ceil(0.20::DOUBLE * n)) AS adaptation FROM r GROUP BY ALL"""
 
@@ -96,7 +96,7 @@ SELECT a.partition AS "left", b.partition AS "right", count(*) AS shared FROM u
 
 def _held(spark, d):
     s = sessions(spark, d)
-    users = sp.user_split(s.select("user_key").distinct(), "user_key", "endomondo_unseen_user").select("user_key", F.col("partition").alias("user_part"))
+    users = sp.user_split(s.select("user_key").distinct(), "user_key", "unseen_user").select("user_key", F.col("partition").alias("user_part"))
     return sp.held_out_family(s.join(users, "user_key"), "user_key", "family", "5-LOW", "user_part")
 
 
@@ -105,7 +105,7 @@ def sport_holdout(spark, d):
 
 
 _UP = f"""up AS (SELECT user_key, CASE WHEN f < 0.70::DOUBLE THEN 'train' WHEN f < 0.80::DOUBLE THEN 'validation' WHEN f < 0.90::DOUBLE THEN 'calibration' ELSE 'test' END AS user_part
-  FROM (SELECT DISTINCT user_key, {_fraction("'20260722|endomondo_unseen_user|' || user_key")} AS f FROM sess))"""
+  FROM (SELECT DISTINCT user_key, {_fraction("'20260722|unseen_user|' || user_key")} AS f FROM sess))"""
 SPORT_HOLDOUT = f"""WITH {SESS}, {_UP}, r AS (SELECT sess.*, CASE WHEN family <> '5-LOW' AND user_part <> 'test' THEN user_part WHEN family = '5-LOW' AND user_part = 'train' THEN 'same_user'
   WHEN family = '5-LOW' AND user_part = 'test' THEN 'joint' ELSE 'unused' END AS role FROM sess JOIN up USING (user_key))
 SELECT role, count(*) AS sessions, count(DISTINCT user_key) AS users FROM r GROUP BY ALL"""
@@ -229,7 +229,7 @@ HISTORY_WITHOUT = f"""WITH {_history_sql("p.family <> '5-LOW'")} SELECT n AS pri
 
 def regimes_explode(spark, d):
     s = _temporal(spark, d)
-    users = sp.user_split(s.select("user_key").distinct(), "user_key", "endomondo_unseen_user").select("user_key", F.col("partition").alias("user_part"))
+    users = sp.user_split(s.select("user_key").distinct(), "user_key", "unseen_user").select("user_key", F.col("partition").alias("user_part"))
     low = F.col("family").isin("5-LOW", "1-URGENT")
     regimes = F.array_compact(F.array(
         F.when(F.col("partition") == "test", "internal_temporal_test"), F.when(F.col("user_part") == "test", "unseen_user_test"),

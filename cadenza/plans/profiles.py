@@ -8,7 +8,7 @@ from ..functions.numeric import close
 from ..operators import inference, models, profiles as pf
 from ..operators.hierarchy import user_means
 from .base import EV, evaluation, r6, rounded, table
-from .metrics import ERR
+from .metrics import err
 from .signals import BINS, BY, _bins
 
 
@@ -76,7 +76,7 @@ APPROX_EQUAL = "SELECT l_returnflag, count(*) FILTER (abs(l_discount - 0.05::DOU
 
 
 def two_sample(spark, d):
-    users = user_means(evaluation(spark, d), ["mode"], mae=ERR)
+    users = user_means(evaluation(spark, d), ["mode"], mae=err())
     return inference.two_sample_bootstrap(users, "mode", "F", "O", "mae", "user_key", replicates=400)
 
 

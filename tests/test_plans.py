@@ -25,3 +25,12 @@ def test_queries_without_sql(spark):
     assert len(fitted) == 3 and all(r.mae > 0 for r in fitted)
     r = QUERIES["two_sample"](spark, DATA).first()
     assert r.low <= r.difference <= r.high and r.ratio_low <= r.ratio <= r.ratio_high
+
+
+def test_entry_points_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
