@@ -35,7 +35,7 @@ SELECT regime, round(avg(e), 6) AS error, round(avg(q), 6) AS quantity, count(*)
 
 def hier_weights(spark, d):
     w = h.origin_weights(evaluation(spark, d), [])
-    return w.select("user_key", "session_key", "n_origins", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"))
+    return w.select("user_key", "session_key", "n_origins", r6(F.col("weight") * 1e6).alias("weight_ppm"))
 
 
 HIER_WEIGHTS = f"""WITH {EV}, s AS (SELECT user_key, session_key, count(*) AS n_origins FROM ev GROUP BY ALL),
