@@ -100,10 +100,10 @@ ONTOLOGY_REMAP = f"WITH {LABELS}, f AS (SELECT *, {_family_sql('label')} AS fami
 
 
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(plain_text(F.substring("text", 1, 300)).cast("binary"), 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(plain_text(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-NORMALIZE_TEXT = "SELECT doc_id, sha256(strip_accents(lower(substr(text, 1, 300)))) AS digest FROM documents"
+NORMALIZE_TEXT = "SELECT doc_id, sha256(strip_accents(lower(text))) AS digest FROM documents"
 
 
 def band_link(spark, d):
@@ -131,7 +131,7 @@ PLANES = np.round(dd.projections(64, TABLES, BITS), 6)
 
 def _sides(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    return e.where("label < 5"), e.where("label >= 5")
 
 
 def lsh_signatures(spark, d):
@@ -139,7 +139,7 @@ def lsh_signatures(spark, d):
 
 
 _SIG = f"""pl AS (SELECT unnest(range({TABLES * BITS})) AS i, unnest({[[float(x) for x in row] for row in PLANES]}::DOUBLE[][]) AS p),
-sg AS (SELECT vec_id, i // {BITS} AS tab, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN (1 << ({BITS - 1} - i % {BITS}))::BIGINT ELSE 0 END)::BIGINT AS signature FROM embeddings, pl GROUP BY ALL)"""
+sg AS (SELECT vec_id, label, i // {BITS} AS tab, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN (1 << ({BITS - 1} - i % {BITS}))::BIGINT ELSE 0 END)::BIGINT AS signature FROM embeddings, pl GROUP BY ALL)"""
 LSH_SIGNATURES = f'WITH {_SIG} SELECT vec_id, tab::INT AS "table", signature FROM sg'
 
 
@@ -148,7 +148,7 @@ def lsh_candidates(spark, d):
     return dd.candidate_pairs(left, right, "vec_id")
 
 
-LSH_CANDIDATES = f"WITH {_SIG} SELECT DISTINCT a.vec_id AS left_key, b.vec_id AS right_key FROM sg a JOIN sg b ON a.tab = b.tab AND a.signature = b.signature WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1"
+LSH_CANDIDATES = f"WITH {_SIG} SELECT DISTINCT a.vec_id AS left_key, b.vec_id AS right_key FROM sg a JOIN sg b ON a.tab = b.tab AND a.signature = b.signature WHERE a.label < 5 AND b.label >= 5"
 
 
 def pair_verify(spark, d):
