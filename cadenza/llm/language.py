@@ -5,13 +5,13 @@ characters but letters one gap); a linear softmax over that average gives the la
 trained by stochastic gradient descent in numpy on a bounded sample: PER_LANGUAGE rows of each
 language.  Scores are softmax probabilities under a temperature fitted on rows kept
 apart, and a text is rejected if its score is under a threshold at which at most
-REJECT_SHARE of those rows would be.
+REJECT_SHARE of those rows would be, and under OVER_GUESS times the score of a guess.
 
 As the score is linear in the average, embeddings times output weights is one table with a
 row for each bucket, and scoring is a gather and a sum for each text, over the whole text.
 
 Contract of `identified`: null texts and texts without a letter get `und`, score 0 and are
-rejected; no labelled row at all: everything is `und`; equal texts get equal results, so do
+rejected; no labelled row at all: everything is `und`, and only texts without a letter are rejected; equal texts get equal results, so do
 repeated rows; rows with null language are never learned from; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
@@ -37,6 +37,8 @@ BUCKETS = 1 << 15
 DIMENSION = 16
 GRAMS = (2, 3, 4)
 REJECT_SHARE = 0.002
+#: A score this many times that of a guess is never rejected.
+OVER_GUESS = 1.3
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -193,8 +195,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     temperature = max(np.geomspace(0.25, 16, 49), key=likelihood)
     p = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
     top = np.sort((p / p.sum(axis=1, keepdims=True)).max(axis=1))
-    # A score above one half beats all other languages together and is never rejected.
-    threshold = min(0.5, float(top[int(len(top) * REJECT_SHARE)]))
+    # Only texts whose best language hardly beats a guess are rejected, however sure the rest of the sample is.
+    threshold = min(0.5, OVER_GUESS / len(languages), float(top[int(len(top) * REJECT_SHARE)]))
     return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold)
 
 
@@ -206,17 +208,13 @@ def identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         m = held.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 20):
+            for part in chunks(batch):
                 raw, ends = text_buffers(part.column("text"))
                 known = has_letter(raw, ends, part.column("text"))
+                best, score = np.full(len(known), len(m.languages)), np.zeros(len(known))
                 if m.languages:
                     p = m.scores(raw, ends)
-                    best, score = p.argmax(axis=1), p.max(axis=1)
-                else:
-                    best, score = np.zeros(len(known), dtype=int), np.zeros(len(known))
-                    known &= False
-                best = np.where(known, best, len(m.languages))
-                score = np.where(known, score, 0.0)
+                    best, score = np.where(known, p.argmax(axis=1), best), np.where(known, p.max(axis=1), score)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
                      pa.array(~known | (score < m.threshold))],
@@ -240,7 +238,7 @@ def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part in chunks(batch, text_col, 1 << 20):
+            for part in chunks(batch, text_col):
                 raw, ends = text_buffers(part.column(text_col))
                 keep = has_letter(raw, ends, part.column(text_col))
                 if m.languages:
