@@ -1,15 +1,14 @@
 """Operator 7: toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are words (A-Z folded) and word beginnings of 4 to 8 bytes, each with its ordinal: the
+Terms are words (A-Z folded) and word beginnings of 4 to 6 bytes, each with its ordinal: the
 j-th occurrence in a text is a term of its own (j up to MOST_OCCURRENCES), so a vector tells one
 occurrence from several.  From a bounded sample of labelled rows the terms that go with the
 label are selected by their likelihood ratio; all other terms have weight 0.
 
 Examples are the sample's vectors; equal vectors form one example with summed votes.  They lie in
-an inverted index whose postings are cut into blocks with the largest weight of each block.  A
-query takes its terms' postings by decreasing bound and leaves a block out when the bounds
-of the open terms cannot lift a new example over the k-th best similarity, so the k nearest examples
-are exact.  Votes are weighted by similarity; a monotone fit of the sample's leave-one-out
+an inverted index whose postings are cut into blocks of examples, with the largest weight of each
+term in each block.  A query reads blocks by decreasing bound and leaves out those whose bound
+cannot reach the k-th best similarity, so the k nearest examples are exact.  Votes are weighted by similarity; a monotone fit of the sample's leave-one-out
 votes turns them into probabilities.
 
 Contract of `scored`: null and empty texts and texts without any selected term get the
@@ -20,7 +19,6 @@ are read; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,15 +33,15 @@ from .textcore import ALNUM_LOWER, U, Words, chunks, mix, text_buffers
 from . import textcore
 
 #: Labelled rows of each label that are learned from, at most.
-PER_LABEL = 3000
+PER_LABEL = 2000
 #: Selected terms, at most, and what a term needs: rows of label 1 and likelihood ratio (p < 0.0001).
-TERMS = 4000
+TERMS = 1500
 LEAST_ROWS = 4
 LEAST_RATIO = 15.1
 MOST_OCCURRENCES = 4
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 24
-BLOCK = 32
+BLOCK = 64
 THRESHOLD = 0.3
 
 
@@ -93,48 +91,55 @@ class TermFilter:
 
 
 class BlockMaxIndex:
-    """Exact k nearest unit vectors by cosine; postings in blocks that know their largest weight."""
+    """Exact k nearest unit vectors by cosine.
+
+    Examples are cut into blocks of neighbours in the order given; a term's postings are sorted by example, so
+    those of one block are one slice, and `most[term, block]` is the largest weight among them.  A
+    query reads blocks by decreasing bound, the sum of its weights times those maxima, and stops
+    when the next bound is below the k-th best similarity.
+    """
 
     def __init__(self, vectors: list[list[tuple[int, float]]], block: int = BLOCK):
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(vectors):
-            for term, w in vector:
-                lists.setdefault(term, []).append((i, w))
-        # Within a term the heaviest postings come first, so block bounds only fall.
-        self.blocks: dict[int, list[tuple[float, list[tuple[int, float]]]]] = {}
-        for term, posts in lists.items():
-            posts.sort(key=lambda x: (-x[1], x[0]))
-            self.blocks[term] = [(posts[j][1], posts[j : j + block]) for j in range(0, len(posts), block)]
-        self.vectors = [dict(v) for v in vectors]
-
-    def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k best (similarity, example), ties by example; `skip` is left out."""
-        open_blocks = [(-w * self.blocks[t][0][0], t, w, 0) for t, w in query if t in self.blocks]
-        heapq.heapify(open_blocks)
-        bound = -sum(b[0] for b in open_blocks)
-        best: list[tuple[float, int]] = []
-        seen = {skip}
-        own = dict(query)
-        while open_blocks:
-            # An unseen example lies in no read block: its similarity is at most the sum of the open bounds.
-            if len(best) == k and bound < best[0][0] - 1e-12:
-                break
-            top, term, w, j = heapq.heappop(open_blocks)
-            bound += top
-            for i, _ in self.blocks[term][j][1]:
-                if i not in seen:
-                    seen.add(i)
-                    sim = sum(x * own[t] for t, x in self.vectors[i].items() if t in own)
-                    item = (round(sim, 12), -i)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-            if j + 1 < len(self.blocks[term]):
-                nxt = w * self.blocks[term][j + 1][0]
-                bound += nxt
-                heapq.heappush(open_blocks, (-nxt, term, w, j + 1))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+        self.block, self.n = block, len(vectors)
+        blocks = max(1, -(-self.n // block))
+        posts = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v)
+        self.row = {t: r for r, t in enumerate(sorted({t for t, _, _ in posts}))}
+        row = np.array([self.row[t] for t, _, _ in posts], dtype=np.int64)
+        self.example = np.array([i for _, i, _ in posts], dtype=np.int64)
+        self.weight = np.array([w for _, _, w in posts], dtype=np.float64)
+        cell = row * blocks + self.example // block
+        self.start = np.searchsorted(cell, np.arange(len(self.row) * blocks + 1)).astype(np.int64)
+        most = np.zeros(len(self.row) * blocks)
+        np.maximum.at(most, cell, self.weight)
+        self.blocks, self.most = blocks, most.reshape(len(self.row), blocks)
+
+    def nearest(self, query: list[tuple[int, float]], k: int) -> list[tuple[float, int]]:
+        """The k best (similarity, example) with similarity over 0, ties by example."""
+        known = [(self.row[t], w) for t, w in query if t in self.row]
+        if not known:
+            return []
+        rows = np.array([r for r, _ in known])
+        weights = np.array([w for _, w in known])
+        bounds = weights @ self.most[rows]
+        order = np.argsort(-bounds, kind="stable")
+        found: list[tuple[float, int]] = []
+        floor, at, step = 0.0, 0, 1
+        while at < len(order) and bounds[order[at]] > 0 and not (len(found) >= k and bounds[order[at]] < floor - 1e-12):
+            take = order[at : at + step]
+            take = take[(bounds[take] > 0) & ((bounds[take] >= floor - 1e-12) | (len(found) < k))]
+            at += step
+            step *= 2
+            cells = (rows[:, None] * self.blocks + take[None, :]).ravel()
+            lo, size = self.start[cells], self.start[cells + 1] - self.start[cells]
+            where = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            sims = np.bincount(self.example[where], np.repeat(np.repeat(weights, len(take)), size) * self.weight[where], minlength=self.n)
+            hit = np.flatnonzero(sims > 0)
+            found += zip(np.round(sims[hit], 12).tolist(), hit.tolist(), strict=True)
+            if len(found) > k:
+                found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+            if len(found) == k:
+                floor = min(s for s, _ in found)
+        return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +248,17 @@ def _ratio(a, b, n1: int, n0: int):
     return 2 * (part(a, n1, p) + part(b, n0, p))
 
 
+def _selected(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("label"), pa.array(held.value.columns(part), pa.list_(pa.int32()))],
+                    names=["id", "label", "columns"])
+
+    return run
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         per_label: int = PER_LABEL) -> ToxicityModel:
     """Learns from at most per_label rows of each label outside the held-out fold."""
@@ -273,16 +289,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     )
     model = ToxicityModel()
     each = {1: counts[1] / n1, 0: counts[0] / n0}  # rows that a sampled row stands for
-    rows = sample.orderBy("id").toPandas()
     if chosen:
         terms = np.array([r.term for r in chosen], dtype=np.int64).view(U)
         order = np.argsort(terms)
         share = np.array([(r.a * each[1] + r.b * each[0]) / (counts[1] + counts[0]) for r in chosen])
         model.terms, model.idf = terms[order], np.log(1 / share[order]) + 1e-3
         model.prefilter = TermFilter(np.array([r.plain for r in chosen], dtype=np.int64).view(U))
-    table = pa.RecordBatch.from_arrays(
-        [pa.array(rows["text"], pa.string())], names=["text"])
-    columns = [c for part in chunks(table) for c in model.columns(part)] if len(rows) else []
+    # The sample's texts stay in the executors; the driver gets their selected terms.
+    rows = sample.mapInArrow(_selected(spark.sparkContext.broadcast(model)), "id long, label int, columns array<int>").toPandas()
+    rows = rows.sort_values("id")
+    columns = [tuple(int(x) for x in c) for c in rows["columns"]]
     groups: dict[tuple, list] = {}
     empty = [0.0, 0.0]
     for i, y, c in zip(rows["id"], rows["label"], columns, strict=True):
@@ -294,17 +310,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         held[1] += each[int(y)]
     model.none = empty[0] / empty[1] if empty[1] else 0.0
     if groups:
-        keys = list(groups)
+        keys = sorted(groups)  # neighbours share their first terms, which keeps block bounds low
         place = {k: i for i, k in enumerate(keys)}
         model.index = BlockMaxIndex([model.vector(k) for k in keys])
         model.positive = np.array([groups[k][0] for k in keys])
         model.weight = np.array([groups[k][1] for k in keys])
         model.example_ids = [groups[k][2] for k in keys]
         raw, truth, weight = [], [], []
+        left_out: dict[tuple, float] = {}  # rows of one vector and label share their vote
         for y, c in zip(rows["label"], columns, strict=True):
             if c:
                 w = each[int(y)]
-                raw.append(model.vote(c, (place[c], w, w * int(y)))[0])
+                if (c, int(y)) not in left_out:
+                    left_out[c, int(y)] = model.vote(c, (place[c], w, w * int(y)))[0]
+                raw.append(left_out[c, int(y)])
                 truth.append(int(y))
                 weight.append(w)
         model.knots = monotone(np.array(raw), np.array(truth, dtype=float), np.array(weight))
@@ -319,7 +338,7 @@ def scored(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part in chunks(batch, limit=2 << 20):
+            for part in chunks(batch):
                 found = [m.score(c) for c in m.columns(part)]
                 score = np.array([s for s, _ in found], dtype=float)
                 yield pa.RecordBatch.from_arrays(
