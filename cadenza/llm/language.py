@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .sampling import HELD_OUT, bounded_sample, fold
 from .shared import documents
-from .textcore import chunks, text_buffers
+from .textcore import chunks, text_buffers, trimmed
 
 #: Labelled rows of each language that are learned from (at most), and languages (at most).
 PER_LANGUAGE = 400
@@ -221,7 +221,7 @@ def identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     names=["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,4 +245,4 @@ def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
                     keep &= m.scores(raw, ends).max(axis=1) >= m.threshold
                 yield part.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Scratch, documents, rows_of
 from .sketch import band_keys, bands_for, sketches
-from .textcore import SPACED_LOWER, U, Words, chunks, mix, seed_values, shingle_sets, text_buffers
+from .textcore import SPACED_LOWER, U, Words, chunks, mix, seed_values, shingle_sets, text_buffers, trimmed
 
 #: Members of a group that meet in one task: two blocks.
 BLOCK = 128
@@ -73,7 +73,7 @@ def _sketch_batches(shingle: int, bands: int):
                     names=["id", "n_shingles", "digest", "bands"],
                 )
 
-    return run
+    return trimmed(run)
 
 
 def _set_batches(shingle: int):
@@ -88,7 +88,7 @@ def _set_batches(shingle: int):
                     [part.column("id"), pa.array(sets, pa.binary())], names=["id", "items"]
                 )
 
-    return run
+    return trimmed(run)
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -106,10 +106,11 @@ def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
     use = shared[where]
     owner, where = owner[use], column[where[use]]
     common = np.zeros((n, n), dtype=np.float32)
-    width = max(256, (1 << 22) // max(n, 1))
+    columns = int(shared.sum())
+    width = min(columns, max(256, (1 << 21) // n))
     order = np.argsort(where, kind="stable")
     owner, where = owner[order], where[order]
-    for start in range(0, int(shared.sum()), width):
+    for start in range(0, columns, max(width, 1)):
         lo, hi = np.searchsorted(where, [start, start + width])
         held = np.zeros((n, width), dtype=np.float32)
         held[owner[lo:hi], where[lo:hi] - start] = 1

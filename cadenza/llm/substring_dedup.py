@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, rows_of
-from .textcore import SPACED, U, Words, _power_tables, chunks, gram_hashes, mix, text_buffers
+from .textcore import SPACED, U, Words, _power_tables, chunks, gram_hashes, mix, text_buffers, trimmed
 
 #: Words of the runs that give a window its seed.
 SEED = 8
@@ -208,13 +208,14 @@ def factored(df: DataFrame, window: int, scratch: Scratch, id_col: str, text_col
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
         "key", F.coalesce("id", F.xxhash64("text")))
     outline = scratch.keep(
-        docs.mapInArrow(_outline(window), "id long, key long, n_words long, doc binary, sha string, seeds array<long>"), "outline")
-    copies = outline.where(F.col("n_words") >= window).groupBy("doc").agg(F.count("*").alias("copies"), F.min("key").alias("key"))
-    copied = copies.where("copies > 1")
-
-    once = outline.where(F.col("n_words") >= window).select("doc", "key", "seeds").join(
-        copied.select("doc", F.col("key").alias("least")), "doc", "left").where("least is null or least = key")
-    seeds = once.dropDuplicates(["doc", "key"]).select("doc", "key", F.explode("seeds").alias("seed"))
+        docs.mapInArrow(trimmed(_outline(window)), "id long, key long, n_words long, doc binary, sha string, seeds array<long>"), "outline")
+    # Each word sequence is parsed once, in its row of least key; that row is found by (key, digest), which no
+    # group of copies shares.
+    long = outline.where(F.col("n_words") >= window)
+    copies = scratch.keep(long.groupBy("doc").agg(F.count("*").alias("copies"), F.min("key").alias("key")), "copies")
+    copied = copies.where("copies > 1").select("doc", "copies")
+    once = long.select("doc", "key", "seeds").join(copies.select("doc", "key"), ["key", "doc"], "left_semi")
+    seeds = once.dropDuplicates(["key", "doc"]).select("doc", "key", F.explode("seeds").alias("seed"))
     seeds = scratch.keep(seeds, "seeds")
     repeated = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     lists = scratch.keep(
@@ -225,7 +226,7 @@ def factored(df: DataFrame, window: int, scratch: Scratch, id_col: str, text_col
     some = rows_of(texts, lists.select("key").distinct(), "key")
     index = scratch.keep(
         some.join(lists, "key").select("key", "doc", "seeds", "text").mapInArrow(
-            _index_rows(window), "print long, key long, start int, again boolean"), "index")
+            trimmed(_index_rows(window)), "print long, key long, start int, again boolean"), "index")
     twice = (
         index.groupBy("print")
         .agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("key", "start")).alias("ref"))
@@ -240,25 +241,22 @@ def factored(df: DataFrame, window: int, scratch: Scratch, id_col: str, text_col
     # the entries hold for each of them, and the digest tells the texts apart.
     keyed = entries.join(lists.select("key", "doc"), "key")
     some = rows_of(texts, entries.select("key"), "key")
-    found = some.join(keyed, "key").select("doc", "text", "entries").mapInArrow(_factor_documents(window), _FACTORED)
+    found = some.join(keyed, "key").select("doc", "text", "entries").mapInArrow(trimmed(_factor_documents(window)), _FACTORED)
     return outline, copied, found.dropDuplicates(["doc"])
 
 
 def substring_duplicates(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, n_factors) per row."""
-    scratch = Scratch(df.sparkSession)
-    outline, copied, found = factored(df, window, scratch, id_col, text_col)
-    whole = F.col("copies").isNotNull()
-    return (
-        outline.select("id", "n_words", "doc", "sha")
-        .join(copied.select("doc", "copies"), "doc", "left")
-        .join(found.select("doc", "n_removed", "kept_sha256", F.size("factors").alias("n_factors")), "doc", "left")
-        .select(
-            F.col("id").alias(id_col), "n_words",
-            F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-            F.when(whole, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-            F.when(whole, F.lit(1)).otherwise(F.coalesce("n_factors", F.lit(0))).alias("n_factors"))
-    )
+    outline, copied, found = factored(df, window, Scratch(df.sparkSession), id_col, text_col)
+    # One table of fates and one join with it, which Spark can split where many rows are copies of one text.
+    parsed = found.select("doc", "n_removed", "kept_sha256", F.size("factors").alias("n_factors")).join(copied, "doc", "left_anti")
+    fates = parsed.unionByName(copied.select(
+        "doc", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"), F.lit(1).alias("n_factors")))
+    known = F.col("kept_sha256").isNotNull()
+    return outline.select("id", "n_words", "doc", "sha").join(fates, "doc", "left").select(
+        F.col("id").alias(id_col), "n_words",
+        F.when(known, F.coalesce("n_removed", "n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_factors", F.lit(0)).alias("n_factors"))
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +271,7 @@ def without_duplicates(df: DataFrame, window: int = 50, id_col: str = "doc_id",
     _, copied, found = factored(df, window, Scratch(df.sparkSession), id_col, text_col)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _with_digest, "id long, text string, doc binary")
-    fates = texts.join(copied.select("doc", "copies"), "doc", "left").join(found.select("doc", "kept"), "doc", "left")
+    fates = texts.join(copied, "doc", "left").join(found.select("doc", "kept"), "doc", "left")
     return fates.select(
         F.col("id").alias(id_col), F.when(F.col("copies").isNotNull(), F.lit("")).otherwise(F.coalesce("kept", "text")).alias(text_col))
 
