@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, fresh_path
+from .textcore import trimmed
 
 MAGIC = b"CDZPFOR1"
 BLOCK = 1024
@@ -44,6 +45,10 @@ PERCENTILE = 97
 SHARD_TOKENS = 16_000_000
 #: Distinct white-space separated pieces remembered by a worker, some 200 bytes each.
 REMEMBERED = 600_000
+#: Pieces that the library encodes in one call; its results are large.
+ENCODED_AT_ONCE = 4096
+#: Documents that are split into pieces together.
+DOCS_AT_ONCE = 256
 
 _FOOTER = struct.Struct("<QQQQI8s")
 _HEAD = struct.Struct("<IBBHH")
@@ -77,32 +82,35 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.by_piece = splits_at_space(spec)
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        out: list[bytes] = []
+        for i in range(0, len(texts), ENCODED_AT_ONCE):
+            found = self.library.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)
+            out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return out
 
     def _learn(self, pieces: list[bytes]) -> None:
         """A piece of Latin-1 letters and closing punctuation is the two parts' ids, one after the other."""
-        plain, parts, rest = set(), [], []
+        known, new, parts, rest = self.known, {}, [], []
         for piece in pieces:
             text = piece.decode()
             core = text.rstrip(".,!?;:")
             if core.isalpha() and max(core) < "Ā":
-                parts.append((piece, core := core.lower(), tail := text[len(core):]))
-                plain.add(core)
-                plain.add(tail)
+                tail, core = text[len(core):], core.lower()
+                a, b = core.encode(), tail.encode()
+                parts.append((piece, a, b))
+                for key, part in ((a, core), (b, tail)):
+                    if part and key not in known:
+                        new[key] = part
             else:
                 rest.append((piece, text))
-        plain = [x for x in plain if x and x not in self.cores]
-        for core, ids in zip(plain, self.encode_all(plain), strict=True):
-            self.cores[core] = ids
-        self.cores[""] = b""
-        for piece, core, tail in parts:
-            self.known[piece] = self.cores[core] + self.cores[tail]
+        for key, ids in zip(new, self.encode_all(list(new.values())), strict=True):
+            known[key] = ids
+        for piece, a, b in parts:
+            known[piece] = known[a] + known[b] if b else known[a]
         for (piece, _), ids in zip(rest, self.encode_all([t for _, t in rest]), strict=True):
-            self.known[piece] = ids
+            known[piece] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_piece:
@@ -112,9 +120,8 @@ class Encoder:
         self._learn(list(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in split]
-        for held in ("known", "cores"):  # the oldest entries are the commonest pieces
-            if len(getattr(self, held)) > REMEMBERED:
-                setattr(self, held, dict(islice(getattr(self, held).items(), REMEMBERED // 2)))
+        if len(self.known) > REMEMBERED:  # the oldest entries are the commonest pieces
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         return out
 
 
@@ -270,8 +277,8 @@ def _write_partition(folder: str, tokenizer: str, end_id: int):
                            "tokens": writer.tokens, "bytes": size})
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                rows = batch.slice(start, DOCS_AT_ONCE)
                 coded = enc.encode(rows.column("text").to_pylist())
                 for doc_id, ids in zip(rows.column("id").to_pylist(), coded, strict=True):
                     if writer is None:
@@ -289,7 +296,7 @@ def _write_partition(folder: str, tokenizer: str, end_id: int):
                 ("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()),
                 ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    return run
+    return trimmed(run)
 
 
 def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, scratch: Scratch,
@@ -321,7 +328,7 @@ def _read_shards(folder: str):
                     [pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
                     names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return run
+    return trimmed(run)
 
 
 def read_tokens(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
