@@ -171,7 +171,8 @@ def near_duplicates(
     # One representative (least id) for each distinct set.
     classes = rows.where("id is not null and digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"))
-    copied = classes.where("copies > 1").select("digest", F.col("id").alias("rep"))
+    # Written, so that joins with it have plain shuffles on both sides, which Spark splits where one digest is hot.
+    copied = scratch.keep(classes.where("copies > 1").select("digest", F.col("id").alias("rep")), "copied")
     # A representative's bands come back by its id, which no hot group shares.
     members = (
         rows.where("id is not null and digest is not null")
