@@ -3,9 +3,10 @@
 All template texts and phrases go into one automaton, word by word.  A document is streamed
 through it, which gives for every word the longest run ending there that occurs in any
 template (matching statistics).  A word pair that no template holds ends every run, so only the
-stretches of known pairs are streamed.  Runs that can't be extended become matches; matches
-of one template in growing order are chained, and a chain that covers enough of the template,
-and of its own stretch of the document, is a span with the template's label.
+stretches of known pairs are streamed.  Runs that can't be extended become matches; the matches
+of all stretches of a row are chained template by template in growing order, across changed or inserted
+words, and a chain that covers enough of the template, and of its own part of the document, is a span
+with the template's label.
 
 Contract of `scanned`: null text counts as empty (no words, no labels, score 0); repeated rows
 and null ids give one row each; an empty table gives an empty result; very long texts are
@@ -165,9 +166,8 @@ class LicenseAutomaton:
                 state = self.link[state]
         return found
 
-    def spans(self, trace: list[tuple[int, int]]) -> list[Span]:
-        """Chains of matches that cover their template and their stretch of the document well enough."""
-        matches: dict[int, list[tuple[int, int, int, int]]] = {}
+    def matches(self, trace: list[tuple[int, int]], base: int, found: dict[int, list[tuple[int, int, int, int]]]) -> None:
+        """Adds the matches of one stretch, whose first word is the row's word `base`, template by template."""
         for at, (state, length) in enumerate(trace):
             if length < LEAST_MATCH or (at + 1 < len(trace) and trace[at + 1][1] == length + 1):
                 continue
@@ -175,28 +175,35 @@ class LicenseAutomaton:
                 for k, ends in self.ends[state].items():
                     for end in ends:
                         if end - length + 1 >= 0:
-                            matches.setdefault(k, []).append((at - length + 1, at, end - length + 1, end))
+                            found.setdefault(k, []).append((base + at - length + 1, base + at, end - length + 1, end))
                 state = self.link[state]
                 length = min(length, self.size[state]) if state >= 0 else 0
+
+    def spans(self, matches: dict[int, list[tuple[int, int, int, int]]]) -> list[Span]:
+        """Chains of a row's matches that cover their template and their part of the document well enough.
+
+        A match may end several chains: one that covers more is kept beside one that starts later."""
         out = []
         for k, found in matches.items():
             n = len(self.texts[k])
+            least = 1.0 if n <= SHORT_TEMPLATE else COVER
             reach = n // 4 + 1
-            chains: list[tuple[int, int, int, int, int]] = []  # covered, first, last, first in template, last in template
-            near: list[tuple[int, int, int, int, int]] = []
+            near: list[tuple[int, int, int, int]] = []  # covered, first, last, last in template
             for a, b, c, d in sorted(set(found)):
                 near = [x for x in near if a - x[2] <= reach]  # a later match starts no earlier
-                chain = (b - a + 1, a, b, c, d)
-                for covered, first, last, top, end in near:
+                ways = [(b - a + 1, a)]
+                for covered, first, last, end in near:
                     skip = max(0, last + 1 - a, end + 1 - c)
-                    if d > end and b > last and b - a + 1 > skip:
-                        chain = max(chain, (covered + b - a + 1 - skip, first, b, top, d))
-                near.append(chain)
-                chains.append(chain)
-            for covered, first, last, _, _ in chains:
-                cover = covered / max(n, last - first + 1)
-                if cover >= (1.0 if n <= SHORT_TEMPLATE else COVER):
-                    out.append(Span(self.labels[k], first, last, min(1.0, cover)))
+                    if d > end and b > last and b - a + 1 > skip and least * (b - first + 1) <= n:
+                        ways.append((covered + b - a + 1 - skip, first))
+                latest = -1
+                for covered, first in sorted(ways, reverse=True):
+                    if first > latest:
+                        latest = first
+                        near.append((covered, first, b, d))
+                        cover = covered / max(n, b - first + 1)
+                        if cover >= least:
+                            out.append(Span(self.labels[k], first, b, min(1.0, cover)))
         return sorted(set(out))
 
 
@@ -229,12 +236,13 @@ class Scanner:
 
     def scan(self, words: Words) -> list[tuple[list[tuple[str, int]], list[Span]]]:
         """(phrase places, spans) of each row."""
-        out = [([], []) for _ in words.n_words]
+        places: list[list[tuple[str, int]]] = [[] for _ in words.n_words]
+        matches: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in words.n_words]
         for row, at, ids in self.stretches(words):
             trace = list(self.automaton.stream(ids))
-            out[row][0].extend((label, at + first) for label, first in self.automaton.phrase_places(trace))
-            out[row][1].extend(s._replace(first=s.first + at, last=s.last + at) for s in self.automaton.spans(trace))
-        return out
+            places[row].extend((label, at + first) for label, first in self.automaton.phrase_places(trace))
+            self.automaton.matches(trace, at, matches[row])
+        return [(x, self.automaton.spans(y) if y else []) for x, y in zip(places, matches, strict=True)]
 
 
 _SCANNED = ("id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "

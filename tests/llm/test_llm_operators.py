@@ -337,6 +337,26 @@ def test_licenses(spark, docs, nothing):
     assert licenses.scanned(nothing).count() == 0
 
 
+def test_licenses_chain_across_changes(spark):
+    mit = licenses.TEMPLATES[1][1].split()
+    half = len(mit) // 2
+    line = "this line was put in by hand".split()
+    texts = [
+        " ".join(["Copyright of somebody.", *mit[:half], "altered", *mit[half + 1 :], "and more"]),
+        " ".join([*mit[:half], *line, *mit[half:]]),
+        " ".join([*mit[:16], "altered", *mit[17:33], "altered", *mit[34:]]),
+        " ".join([*mit[:half], *(["far"] * 200), *mit[half:]]),  # too far apart
+        " ".join([*mit[half:], "altered", *mit[:half]]),  # the wrong order
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scanned(df).collect()}
+    assert [got[i].labels for i in range(5)] == ["mit", "mit", "mit", "", ""]
+    n = len(licenses.words_of(" ".join(mit)))
+    assert (got[0].score, got[1].score) == ((n - 1) / n, n / (n + len(line)))
+    best = max(got[0].spans, key=lambda s: s.cover)
+    assert (best.first, best.last) == (3, 2 + n)
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.sampled_from("abcx"), max_size=25))
 @settings(max_examples=80, deadline=None)
 def test_matching_statistics(templates, text):
