@@ -4,8 +4,11 @@ A text is the average of the embeddings of its hashed byte n-grams (A-Z folded,
 characters but letters one gap); a linear softmax over that average gives the language.  Both are
 trained by stochastic gradient descent in numpy on a bounded sample: PER_LANGUAGE rows of each
 language.  Scores are softmax probabilities under a temperature fitted on rows kept
-apart, and a text is rejected if its score is under a threshold at which at most
-REJECT_SHARE of those rows would be, and under OVER_GUESS times the score of a guess.
+apart.  As softmax must choose some language, a second signal tells texts of other languages and
+gibberish: the share of a text's three-byte grams that no learned text holds, drawn towards the
+usual share in short texts.  A text is rejected if its score is under, or that share over, the
+threshold beyond which REJECT_SHARE of the calibration rows are; nothing else bounds the thresholds.  Scores are
+calibrated on the rows kept apart, unseen shares on all learned rows, each against the others.
 
 As the score is linear in the average, embeddings times output weights is one table with a
 row for each bucket, and scoring is a gather and a sum for each text, over the whole text.
@@ -37,8 +40,8 @@ BUCKETS = 1 << 15
 DIMENSION = 16
 GRAMS = (2, 3, 4)
 REJECT_SHARE = 0.002
-#: A score this many times that of a guess is never rejected.
-OVER_GUESS = 1.3
+#: Grams with the usual share of unseen ones that are added to each text.
+USUAL_GRAMS = 32
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -81,6 +84,16 @@ def row_sums(table: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return total, count
 
 
+def three_grams(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, folded bytes as one number) of every three-byte gram."""
+    flat = _FOLD[raw].astype(np.uint32)
+    m = max(0, len(flat) - 2)
+    code = flat[:m] | flat[1 : m + 1] << np.uint32(8) | flat[2 : m + 2] << np.uint32(16)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    inside = row[:m] == row[2 : m + 2]
+    return row[:m][inside], code[inside]
+
+
 def has_letter(raw: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray:
     plain = np.zeros(256, dtype=bool)
     plain[65:91] = plain[97:123] = True
@@ -98,6 +111,19 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray | None = None  # a bit for each three-byte gram
+    usual: float = 0.0  # share of unseen grams in a learned text, by the others
+    most_unseen: float = 1.0
+
+    def unseen(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Share of unseen grams of each text, beside USUAL_GRAMS usual ones."""
+        row, code = three_grams(raw, ends)
+        new = (self.seen[code >> np.uint32(3)] >> (code & np.uint32(7)).astype(np.uint8)) & 1 == 0
+        n = len(ends) - 1
+        return (np.bincount(row[new], minlength=n) + USUAL_GRAMS * self.usual) / (np.bincount(row, minlength=n) + USUAL_GRAMS)
+
+    def rejected(self, score: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (score < self.threshold) | (self.unseen(raw, ends) > self.most_unseen)
 
     def scores(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total, count = row_sums(self.table, raw, ends)
@@ -144,16 +170,34 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             raw, ends = text_buffers(part.column("text"))
-            held, share = [], []
+            held, share, grams, times = [], [], [], []
+            row, code = three_grams(raw, ends)
+            at = np.searchsorted(row, np.arange(part.num_rows + 1))
             per_gram = [(b, np.concatenate([[0], np.cumsum(c)])) for b, c in gram_buckets(raw, ends)]
             for i in range(part.num_rows):
                 own = np.concatenate([b[c[i] : c[i + 1]] for b, c in per_gram])
                 values, counts = np.unique(own, return_counts=True)
                 held.append(values.astype("<u4").tobytes())
                 share.append((counts / max(1, len(own))).astype("<f4").tobytes())
+                values, counts = np.unique(code[at[i] : at[i + 1]], return_counts=True)
+                grams.append(values.astype("<u4").tobytes())
+                times.append(counts.astype("<u4").tobytes())
+            columns = [pa.array(x, pa.binary()) for x in (held, share, grams, times)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("lang"), pa.array(held, pa.binary()), pa.array(share, pa.binary())],
-                names=["id", "lang", "buckets", "shares"])
+                [part.column("id"), part.column("lang"), *columns], names=["id", "lang", "buckets", "shares", "grams", "times"])
+
+
+def seen_grams(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float, float]:
+    """(bits of the grams of all texts, usual share unseen, threshold) from each text's (distinct grams, their counts)."""
+    once, twice = np.zeros(1 << 24, dtype=bool), np.zeros(1 << 24, dtype=bool)
+    for grams, _ in texts:
+        twice[grams] |= once[grams]
+        once[grams] = True
+    new = np.array([times[~twice[grams]].sum() for grams, times in texts])  # grams of no other text
+    size = np.array([times.sum() for _, times in texts])
+    usual = float(new.sum() / max(1, size.sum()))
+    shares = np.sort((new + USUAL_GRAMS * usual) / (size + USUAL_GRAMS))
+    return np.packbits(once, bitorder="little"), usual, max(usual, float(shares[len(shares) - 1 - int(len(shares) * REJECT_SHARE)]))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -174,7 +218,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         .join(F.broadcast(ids), F.col("id") == F.col("pick"), "left_semi")
         .where("lang is not null and text is not null")
     )
-    rows = texts.mapInArrow(_sparse, "id long, lang string, buckets binary, shares binary").toPandas()
+    rows = texts.mapInArrow(_sparse, "id long, lang string, buckets binary, shares binary, grams binary, times binary").toPandas()
     rows = rows.drop_duplicates().sort_values(["id", "lang"], kind="stable")
     rows = rows[rows["buckets"].str.len() > 0]
     features = [(np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(s, "<f4").astype(np.float64))
@@ -195,9 +239,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     temperature = max(np.geomspace(0.25, 16, 49), key=likelihood)
     p = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
     top = np.sort((p / p.sum(axis=1, keepdims=True)).max(axis=1))
-    # Only texts whose best language hardly beats a guess are rejected, however sure the rest of the sample is.
-    threshold = min(0.5, OVER_GUESS / len(languages), float(top[int(len(top) * REJECT_SHARE)]))
-    return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold)
+    threshold = float(top[int(len(top) * REJECT_SHARE)])
+    distinct = rows.drop_duplicates(["grams", "times"])  # a copy would hide what is rare
+    seen = seen_grams([(np.frombuffer(g, "<u4"), np.frombuffer(t, "<u4").astype(np.int64))
+                       for g, t in zip(distinct["grams"], distinct["times"], strict=True)])
+    return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold, *seen)
 
 
 def identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,13 +257,14 @@ def identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             for part in chunks(batch):
                 raw, ends = text_buffers(part.column("text"))
                 known = has_letter(raw, ends, part.column("text"))
-                best, score = np.full(len(known), len(m.languages)), np.zeros(len(known))
+                best, score, rejected = np.full(len(known), len(m.languages)), np.zeros(len(known)), ~known
                 if m.languages:
                     p = m.scores(raw, ends)
                     best, score = np.where(known, p.argmax(axis=1), best), np.where(known, p.max(axis=1), score)
+                    rejected |= m.rejected(score, raw, ends)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
-                     pa.array(~known | (score < m.threshold))],
+                     pa.array(rejected)],
                     names=["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -242,7 +289,7 @@ def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
                 raw, ends = text_buffers(part.column(text_col))
                 keep = has_letter(raw, ends, part.column(text_col))
                 if m.languages:
-                    keep &= m.scores(raw, ends).max(axis=1) >= m.threshold
+                    keep &= ~m.rejected(m.scores(raw, ends).max(axis=1), raw, ends)
                 yield part.filter(pa.array(keep))
 
     return df.mapInArrow(trimmed(run), df.schema)

@@ -194,6 +194,30 @@ def test_language_learns_and_rejects(spark, nothing):
     assert language.identified(nothing, model).count() == 0
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+]
+
+
+@pytest.mark.parametrize("languages", [("en", "de", "es", "fr"), ("en", "de"), ("en",)])
+def test_language_rejects_foreign_and_gibberish(spark, languages):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(*languages))
+    model = language.fit(d)
+    r = random.Random(4)
+    gibberish = ["".join(r.choice("bcdfghjklmnpqrstvwxz  ") for _ in range(200)) for _ in range(20)]
+    planted = spark.createDataFrame(list(enumerate(FOREIGN + gibberish)), "doc_id long, text string")
+    assert language.identified(planted, model).where("not rejected").count() == 0
+    assert language.accepted(planted, model).count() == 0
+    held = d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    got = language.identified(held, model)
+    assert got.where("rejected").count() <= 0.03 * got.count()
+
+
 def test_language_never_sees_held_out_rows(spark):
     """Rows of the held-out fold with nonsense labels change nothing."""
     d = spark.read.parquet(f"{DATA}/documents.parquet")
