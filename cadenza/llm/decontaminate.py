@@ -18,7 +18,9 @@ the end of each document carries its word count through the same pass.
 
 Contract: null text and empty text have no words (n_words 0, nothing hit); items that are null,
 empty or without words have no window; equal windows of several items count for each of them;
-repeated document rows give one result row each id; null ids form one row of their own; empty
+items without an id have windows only with `unnamed` (op4 and the pipeline set it): they hit like
+others and count as one item that has no place in item_ids; every document row gives a result row of
+its own, whether its id is null or repeated; empty
 tables give empty or all-clean results; other columns are ignored, whatever their names.
 """
 
@@ -44,20 +46,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(win array, item_ids array): each distinct window with the ids of its items."""
+def item_windows(items: DataFrame, window: int, id_col: str, text_col: str, unnamed: bool = False) -> DataFrame:
+    """(win array, item_ids array, nameless int): each distinct window with the ids of its items, 1 if one has none."""
     tokens = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(
-        "size(w) > 0 and item is not null")
+        "size(w) > 0" if unnamed else "size(w) > 0 and item is not null")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     return (
         tokens.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win"))
         .groupBy("win")
-        .agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+        .agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max(F.isnull("item").cast("int")).alias("nameless"))
     )
 
 
 def prefix_table(windows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, at, len, win, item_ids): each window under its rarest word over all documents.
+    """(word, at, len, win, item_ids, nameless): each window under its rarest word over all documents.
 
     Ties go to the word that sorts first, then to its first position."""
     vocabulary = scratch.keep(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
@@ -67,15 +69,16 @@ def prefix_table(windows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataF
         "counts")
     ranked = (
         windows.withColumn("id", F.xxhash64("win"))
-        .select("win", "item_ids", "id", F.posexplode("win").alias("at", "word"))
+        .select("win", "item_ids", "nameless", "id", F.posexplode("win").alias("at", "word"))
         .join(counts, "word", "left")
         .groupBy("win")
         .agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("first"),
-            F.first("item_ids").alias("item_ids"))
+            F.first("item_ids").alias("item_ids"), F.first("nameless").alias("nameless"))
     )
     return ranked.select(
-        F.col("first.word").alias("word"), F.col("first.at").alias("at"), F.size("win").alias("len"), "win", "item_ids")
+        F.col("first.word").alias("word"), F.col("first.at").alias("at"), F.size("win").alias("len"), "win", "item_ids",
+        "nameless")
 
 
 def contamination(
@@ -86,29 +89,34 @@ def contamination(
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    unnamed: bool = False,
 ) -> DataFrame:
-    """(id, n_words, n_hit, n_items, item_ids, contaminated) per document."""
+    """(id, n_words, n_hit, n_items, item_ids, contaminated) per row."""
     scratch = Scratch(df.sparkSession)
     docs = df.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
-    windows = scratch.keep(item_windows(items, window, item_id, item_text), "windows")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+        F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
+    windows = scratch.keep(item_windows(items, window, item_id, item_text, unnamed), "windows")
     table = scratch.keep(prefix_table(windows, docs, scratch), "prefixes")
     sentinel = df.sparkSession.range(1).select(
         F.lit(_END).alias("word"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("len"),
-        F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("item_ids"))
+        F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("item_ids"),
+        F.lit(0).alias("nameless"))
     small = table.count() <= BROADCAST_WINDOWS
     table = table.unionByName(sentinel)
-    probe = docs.select("id", "w", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "key"))
+    probe = docs.select("row", "id", "w", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "key"))
     start = F.col("pos") - F.col("at")
     fits = (F.col("key") == F.col("word")) & (
         F.col("at").isNull()
         | ((start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("win")))
     )
     hits = probe.join(F.broadcast(table) if small else table, fits).select(
-        "id", F.when(F.col("at").isNull(), F.col("pos")).alias("n_words"),
+        "row", "id", F.when(F.col("at").isNull(), F.col("pos")).alias("n_words"),
         F.when(F.col("at").isNotNull(), F.struct(start.alias("s"), (start + F.col("len")).alias("e"))).alias("span"),
-        "item_ids")
-    per_doc = hits.groupBy("id").agg(
+        "item_ids", "nameless")
+    per_doc = hits.groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("nameless").alias("nameless"),
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
@@ -121,12 +129,12 @@ def contamination(
     ).getField("n")
     return per_doc.select(
         F.col("id").alias(id_col), "n_words", covered.alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"), "item_ids", (covered > 0).alias("contaminated"))
+        (F.size("item_ids") + F.col("nameless")).cast("long").alias("n_items"), "item_ids", (covered > 0).alias("contaminated"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten words of the whole benchmark table against the whole documents table."""
-    found = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), window=10)
+    found = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), window=10, unnamed=True)
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

@@ -170,6 +170,16 @@ def test_contamination(spark, docs, nothing):
     assert clean.where("contaminated").count() == 0 and clean.count() == len(CASES)
 
 
+def test_contamination_judges_rows_and_counts_unnamed_items(spark):
+    passage = prose(21, 30)
+    bench = spark.createDataFrame([(1, "zzz yyy"), (None, passage)], "item_id long, text string")
+    rows = [(None, "a " + passage), (None, "clean one"), (7, passage + " b c"), (7, "clean text two"), (8, "zzz yyy " + passage)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, 10, unnamed=True)
+    assert listed(got, "doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated") == sorted([
+        (None, 31, 30, 1, [], True), (None, 2, 0, 0, [], False), (7, 32, 30, 1, [], True), (7, 3, 0, 0, [], False),
+        (8, 32, 32, 2, ["1"], True)], key=str)
+
+
 def test_contamination_plan_has_no_python(docs, spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontaminate.contamination(docs, bench)._jdf.queryExecution().toString()
