@@ -5,9 +5,9 @@ is written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of documents.
 
 language        drops documents whose language the model rejects: no letter, or a score under
-                the calibrated threshold
+                the calibrated threshold, or too many unseen grams
 near_dedup      keeps one document of each group of near copies (five-word shingles, 0.8), the one
-                with the least id; of rows that repeat an id one stays
+                with the least id (null ids last); rows that only share an id are judged by their texts
 decontaminate   drops documents that hold ten consecutive words of a benchmark item (or a whole
                 shorter item)
 mix             keeps every document and puts them in the order of the mixing schedule: file by
@@ -16,7 +16,8 @@ tokens          writes the shards in that order (by doc_id if the rows don't com
                 returns what it reads back: doc_id, start, n_tokens, ids_crc32
 
 Null texts and empty texts are dropped by the first stage; null ids, null sources and null languages are
-kept; empty tables stay empty.
+kept; empty tables stay empty.  Decisions are made for rows, not for ids: where an id is null or repeated, a
+stage numbers its rows, and the numbers take the place of the ids.
 """
 
 from __future__ import annotations
@@ -36,10 +37,21 @@ from cadenza.llm.tokens import tokenized, word_bpe
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't in ids; ids are broadcast only if few enough."""
-    held = Scratch(docs.sparkSession).keep(ids.distinct(), "dropped")
-    return docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, "doc_id", "left_anti")
+ROW = "pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds a long that tells rows apart: doc_id where no id is null or repeated, else a number written with the rows."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").count()
+    if ids.where("id is null or count > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return Scratch(docs.sparkSession).keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Numbered rows that aren't in rows, without the number; rows are broadcast only if few enough."""
+    held = Scratch(docs.sparkSession).keep(rows, "dropped")
+    return docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,25 +59,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    once = _without(docs, groups.where("not kept").select("doc_id"))
-    repeated = Scratch(spark).keep(
-        docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return once
-    return _without(once, repeated).unionByName(once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, shingle=5, percent=80, id_col=ROW).select(ROW, "component_id", "kept")
+    if rows.where(~F.col(ROW).eqNullSafe(F.col("doc_id"))).isEmpty():
+        return _without(rows, groups.where("not kept").select(ROW))
+    # Numbers don't follow the ids, so the least id of each group is found anew.
+    groups = Scratch(spark).keep(groups.join(rows.select(ROW, "doc_id"), ROW), "groups")
+    least = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.col(ROW).alias("row"))).getField("row").alias("least"))
+    return _without(rows, groups.join(least, "component_id").where(F.col(ROW) != F.col("least")).select(ROW))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, documents(spark, sf_dir, "benchmark"), window=10)
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    rows = _numbered(docs)
+    found = contamination(rows, documents(spark, sf_dir, "benchmark"), window=10, id_col=ROW, unnamed=True)
+    return _without(rows, found.where("contaminated").select(ROW))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    order = (
-        mixed(docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at")).withColumnRenamed("doc_id", "m_id")
-    )
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
+    rows = _numbered(docs)
+    placed = rows.join(mixed(rows, id_col=ROW).select(ROW, F.struct("slot", "place").alias("at")), ROW)
     return placed.repartitionByRange("at").sortWithinPartitions("at", "doc_id").select(*docs.columns)
 
 

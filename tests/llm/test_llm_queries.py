@@ -105,6 +105,28 @@ def test_pipeline(spark, db):
     assert [(d, n, c) for _, d, n, c in got] == [(d, n, c) for d, _, n, c in want]
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    """Null and repeated ids: copies and contaminated rows go, clean rows that share their id stay."""
+    import corpus_pipeline
+    from cases import prose
+
+    stages, passage = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").first().text
+    a, b, c, d = (prose(40 + i, 80) for i in range(4))
+    like = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    texts = [(None, a), (None, a), (None, b), (5, b), (5, c), (5, c), (6, d), (3, d)]
+
+    def frame(rows):
+        return spark.createDataFrame([tuple({"doc_id": i, "text": t, "source": "s"}.get(f.name) for f in like) for i, t in rows], like)
+
+    def pairs(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    assert pairs(stages["near_dedup"](spark, frame(texts), DATA)) == sorted([(None, a), (5, b), (5, c), (3, d)], key=str)
+    rows = [(None, passage), (None, a), (5, "lead " + passage), (5, b), (6, passage), (7, c)]
+    assert pairs(stages["decontaminate"](spark, frame(rows), DATA)) == sorted([(None, a), (5, b), (7, c)], key=str)
+    assert pairs(stages["mix"](spark, frame(texts), DATA)) == sorted(texts, key=str)
+
+
 def test_pipeline_handles_awkward_rows(docs, nothing, spark):
     import corpus_pipeline
 
