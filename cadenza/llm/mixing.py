@@ -6,8 +6,9 @@ in each slot, the released one with the earliest deadline (ties: the source that
 The windows come from a fair fluid schedule, so earliest deadline first meets all of them, and
 after any number of slots each source has had its share to within less than one block.
 
-The windows repeat every A slots, so only one period is simulated, on the driver, at a cost that
-depends on the parameters alone; block k of a source then lands at slot
+The windows repeat every A slots, so only one period is simulated, on the driver.  A is `period`, or
+SLOTS_A_SOURCE times the number of sources if that is more, so the driver's cost grows with the sources
+and not with the documents; a long schedule is written and joined by a shuffle.  Block k of a source then lands at slot
 ((k-1) div a) * A + slot of its ((k-1) mod a + 1)-th block in the period.  Placing the documents
 is an equi-join with that table (A rows).  When a source runs out its slots stay empty and
 the others keep their order, so every document is placed exactly once.
@@ -36,8 +37,10 @@ from .shared import Scratch, documents
 PERIOD = 10_000
 #: Documents in a block.
 BLOCK_DOCS = 16
-#: More sources than this can't each have a slot of a period worth the name.
-MAX_SOURCES = 2_000
+#: Slots of a period for each source, at least.
+SLOTS_A_SOURCE = 5
+#: The schedule is broadcast up to this many slots.
+BROADCAST_SLOTS = 100_000
 #: Rows ranked together in one (source, hash range) cell, on average, at most.
 CELL_ROWS = 2_000
 
@@ -54,12 +57,17 @@ def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str |
     key = lambda s: (s is not None, s or "")
     by_rest = sorted(ideal, key=lambda s: (got[s] - ideal[s], key(s)))
     left = period - sum(got.values())
-    i = 0
-    while left:
-        s = by_rest[i % len(by_rest)] if left > 0 else max(got, key=lambda s: (got[s] - ideal[s], got[s], key(s)))
-        got[s] += 1 if left > 0 else -1
-        left += -1 if left > 0 else 1
-        i += 1
+    for i in range(left):
+        got[by_rest[i % len(by_rest)]] += 1
+    # Slots given beyond the period are taken back where the excess is largest, but nobody's last one.
+    place = {s: i for i, s in enumerate(sorted(got, key=key))}
+    excess = [(ideal[s] - n, -n, -place[s], s) for s, n in got.items() if n > 1] if left < 0 else []
+    heapq.heapify(excess)
+    for _ in range(-left):
+        *_, s = heapq.heappop(excess)
+        got[s] -= 1
+        if got[s] > 1:
+            heapq.heappush(excess, (ideal[s] - got[s], -got[s], -place[s], s))
     return got
 
 
@@ -118,9 +126,8 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, other:
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("src"))
-    found = rows.groupBy("src").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = rows.groupBy("src").agg(F.count("*").alias("n")).collect()
+    period = max(period, SLOTS_A_SOURCE * len(found))
     if weights is None:
         target = {r.src: math.sqrt(r.n) for r in found}
     else:
@@ -130,14 +137,17 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, other:
     plan = spark.createDataFrame(
         [(s, share[s], j, a, d, t) for s, j, a, d, t in period_schedule(share)],
         "p_src string, share long, j long, a long, d long, t long")
+    held = F.broadcast
+    if period > BROADCAST_SLOTS:
+        plan, held = scratch.keep(plan, "schedule"), lambda x: x
     placed = (
         ranked_in_source(rows, scratch)
         .withColumn("block", F.floor(F.col("rank") / F.lit(block)).cast("long"))
-        .join(F.broadcast(plan.select("p_src", "share").distinct().withColumnRenamed("p_src", "s_src")),
+        .join(held(plan.select("p_src", "share").distinct().withColumnRenamed("p_src", "s_src")),
               F.col("src").eqNullSafe(F.col("s_src")))
         .withColumn("turn", F.floor(F.col("block") / F.col("share")).cast("long"))
         .withColumn("own_j", F.col("block") - F.col("turn") * F.col("share") + 1)
-        .join(F.broadcast(plan.drop("share")), F.col("src").eqNullSafe(F.col("p_src")) & (F.col("own_j") == F.col("j")))
+        .join(held(plan.drop("share")), F.col("src").eqNullSafe(F.col("p_src")) & (F.col("own_j") == F.col("j")))
     )
     base = F.col("turn") * F.lit(period)
     return placed.select(

@@ -427,6 +427,21 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mixed(nothing).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """More sources than a fixed limit of 2000, one of them large; broadcast or written, the schedule is the same."""
+    rows = [(i, f"site{i % 6000}" if i % 2 else "large") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mixed(df).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12_000)) and len({(r.slot, r.place) for r in got}) == 12_000
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 10)
+    monkeypatch.setattr(mixing, "SLOTS_A_SOURCE", 9)
+    again = mixing.mixed(df).collect()
+    assert sorted(r.doc_id for r in again) == list(range(12_000)) and all(r.release <= r.slot < r.deadline for r in again)
+    share = mixing.shares({**{f"s{i}": 1.0 for i in range(2500)}, "large": 1e6}, 12_500)
+    assert sum(share.values()) == 12_500 and min(share.values()) == 1 and share["large"] == 10_000
+
+
 def test_mixing_matches_a_plain_simulation(spark):
     rows = [(i, f"s{i % 7 if i % 3 else 0}") for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
