@@ -407,7 +407,7 @@ SELECT regime, round(avg(mae), 6) AS estimate, count(*) AS users, round(any_valu
 
 def boot_numpy(spark, d):
     users = h.user_means(evaluation(spark, d), ["regime"], mae=err(), quantity=F.col("l_quantity"))
-    return inference.bootstrap(users, ["regime"], ["mae", "quantity"], "user_key", replicates=1000, batch=100)
+    return inference.bootstrap(users, ["regime"], ["mae", "quantity"], "user_key")
 
 
 PLANS = {

@@ -77,7 +77,7 @@ APPROX_EQUAL = "SELECT l_returnflag, count(*) FILTER (abs(l_discount - 0.05::DOU
 
 def two_sample(spark, d):
     users = user_means(evaluation(spark, d), ["mode"], mae=err())
-    return inference.two_sample_bootstrap(users, "mode", "F", "O", "mae", "user_key", replicates=400)
+    return inference.two_sample_bootstrap(users, "mode", "F", "O", "mae", "user_key")
 
 
 PLANS = {

@@ -34,3 +34,17 @@ def test_entry_points_need_no_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
+
+def test_bootstraps_are_registered_with_their_defaults(monkeypatch, spark):
+    """10,000 replicates in batches of 1,000 are part of the definition."""
+    from cadenza.operators import inference
+    from cadenza.plans import metrics, profiles
+
+    from support import DATA
+
+    calls = []
+    monkeypatch.setattr(inference, "bootstrap", lambda *a, **k: calls.append(k))
+    monkeypatch.setattr(inference, "two_sample_bootstrap", lambda *a, **k: calls.append(k))
+    metrics.boot_numpy(spark, DATA)
+    profiles.two_sample(spark, DATA)
+    assert calls == [{}, {}]
