@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -129,8 +130,48 @@ def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc = tokens.Encoder(path)
     texts = [t for _, t in CASES][:18]
-    assert not enc.by_piece
-    assert enc.encode(texts) == enc.encode_all([t or "" for t in texts])
+    assert enc.splitter is None
+    assert_encodes(enc, texts)
+
+
+def assert_encodes(enc, texts):
+    ids, size = enc.encode(pa.array(texts, pa.string()), 1)
+    want = [[*x, 1] for x in enc.library_ids([t or "" for t in texts])]
+    assert ids.tolist() == [i for x in want for i in x] and size.tolist() == [len(x) for x in want]
+
+
+NASTY = [
+    "it's we'll 'SOMETHING don't IT'S", "a b c ÀÉ×÷ñ ß ÿ Ÿ İstanbul", "<|endoftext|> x<|startoftext|>y <b>B</b>", None, "", "  ",
+    "123abc45.6,7!!x\x00y \x1cz\x1f q", "é" * 40 + " " + "a" * 23 + " " + "b" * 24 + " " + "C" * 100, "é ´` Ç̧ e\u0301", "ΑΣ ΟΔΟΣ 中文 ½ ² ①",
+    "\x85a\x0bb\x0cc\u00a0d\u2003e", "ÃÃ̃ x́y á", "A" * 5000,
+]
+
+
+def test_pieces_are_encoded_like_whole_texts(tmp_path, monkeypatch):
+    """Also with a table so small that pieces take each other's places, and from tokenizers that keep case or split otherwise."""
+    path = tokens.word_bpe()
+    for slots, ids in ((1 << 20, 8_000_000), (8, 40)):
+        monkeypatch.setattr(tokens, "SLOTS", slots)
+        monkeypatch.setattr(tokens, "REMEMBERED_IDS", ids)
+        enc = tokens.Encoder(path)
+        assert enc.splitter.runs
+        for _ in range(3):
+            assert_encodes(enc, NASTY + [t for _, t in CASES])
+    monkeypatch.undo()
+    spec = json.loads(open(path, encoding="utf-8").read())
+    cased = spec | {"normalizer": {"type": "NFC"}}
+    odd = spec | {"normalizer": {"type": "Prepend", "prepend": "x"}}
+    for name, s, runs in (("cased", cased, False), ("odd", odd, None)):
+        (tmp_path / name).write_text(json.dumps(s), encoding="utf-8")
+        enc = tokens.Encoder(str(tmp_path / name))
+        assert (enc.splitter and enc.splitter.runs) == runs
+        assert_encodes(enc, NASTY + [t for _, t in CASES])
+
+
+@given(st.lists(st.text(alphabet="aZé×Ñ'’<|> .,7½\u00a0\u0301\n", max_size=40), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_any_text_is_encoded_like_the_library(texts):
+    assert_encodes(tokens.encoder(tokens.word_bpe()), texts)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300))
@@ -143,8 +184,7 @@ def test_blocks_round_trip(values):
 def test_shard_damage_is_seen():
     sink = io.BytesIO()
     w = tokens.ShardWriter(sink)
-    w.add(5, np.arange(3000, dtype="<u4").tobytes())
-    w.add(None, b"")
+    w.add([5, None], np.array([3000, 0]), np.arange(3000, dtype="<u4"))
     size = w.close()
     r = tokens.ShardReader(sink, size)
     assert [(i, s, len(x)) for i, s, x in r.documents()] == [(5, 0, 3000), (None, 3000, 0)]
