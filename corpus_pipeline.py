@@ -12,8 +12,8 @@ decontaminate   drops documents that hold ten consecutive words of a benchmark i
                 shorter item)
 mix             keeps every document and puts them in the order of the mixing schedule: file by
                 file and row by row, any prefix has the target weights to within a block a source
-tokens          writes the shards in that order (by doc_id if the rows don't come from files) and
-                returns what it reads back: doc_id, start, n_tokens, ids_crc32
+tokens          writes the shards in that order, from the files where they lie (by doc_id if the rows
+                don't come from files), and returns what it reads back: doc_id, start, n_tokens, ids_crc32
 
 Null texts and empty texts are dropped by the first stage; null ids, null sources and null languages are
 kept; empty tables stay empty.  Decisions are made for rows, not for ids: where an id is null or repeated, a
@@ -83,12 +83,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = F.col("_metadata.file_name")
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index")
-        order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+        docs.select(name)
     except AnalysisException:  # not read from files
-        order = None
-    return tokenized(docs, word_bpe(), 1, order=order)
+        return tokenized(docs, word_bpe(), 1)
+    # Spark's writer numbers its files part-00000, ..., part-100000 and the pieces of one c000, ...: numbers, not names, are in order.
+    number = F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)) * 100_000 + F.coalesce(
+        F.regexp_extract(name, r"[-.]c(\d+)\.", 1).try_cast("long"), F.lit(0))
+    return tokenized(docs, word_bpe(), 1, places=(number, F.col("_metadata.row_index")))
 
 
 STAGES = [
