@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
-Every round is two aggregations with partial minima and two equi-joins, so a node with a
-third of all links is handled by Spark's skew-join splitting; nothing is collected.  Each
-round is written to the shared folder.
+Every round is two aggregations with partial minima and two equi-joins.  A node with very many links doesn't meet them
+in one task: such nodes are few, and their minima are broadcast (`keyed_join`).  Nothing is
+collected.  Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,22 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, keyed_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
     """edges (a > b).  Large: link every larger neighbour of a node to its least neighbour.
     Small: link a node's smaller neighbours, and itself, to the least of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a"), F.least("a", "m").alias("m"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("links"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = out.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+        both = edges
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
+    least = scratch.keep(least, f"{name}-least")
+    out = keyed_join(both, least, ["a"], "links", both.count())
+    if large:
+        out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return scratch.keep(out.where("a > b").distinct(), name)
 
 
 def components(spark: SparkSession, links: DataFrame, a: str, b: str) -> tuple[DataFrame, Scratch]:
@@ -44,9 +47,8 @@ def components(spark: SparkSession, links: DataFrame, a: str, b: str) -> tuple[D
             break
         before = state
         i += 1
-        new = scratch.keep(_star(_star(edges, True), False), f"edges-{i}")
-        scratch.drop(f"edges-{i - 1}")
-        edges = new
+        edges = _star(_star(edges, True, scratch, f"large-{i}"), False, scratch, f"edges-{i}")
+        scratch.drop(f"edges-{i - 1}", f"large-{i}", f"large-{i}-least", f"edges-{i}-least")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots), scratch

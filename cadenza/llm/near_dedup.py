@@ -4,17 +4,20 @@ Contract of `near_duplicates` (one row per input row):
   null or empty text, or no words    empty set: n_shingles 0, linked with nothing, kept
   fewer than `shingle` words         the whole word sequence is the one shingle
   identical sets                     always linked (found by digest, never by pairs)
-  repeated rows (same id)            one result row each, same component
+  repeated ids                       one result row each, same component; all texts of an id give it links
   null id                            result row with null component, linked with nothing, kept
   empty table                        empty result
   other columns                      ignored, whatever their names
 
-How a hot group is handled.  Copies collapse to one representative by the digest of the
-whole set before any bucket is formed.  Buckets get as label their member with the most
-copies (a partial aggregate); the pairs to verify are those inside the group of a label.  A
-group is cut into blocks of BLOCK members and every pair of blocks is a task of its own, which
-verifies all its pairs on the full sets and returns a spanning forest of the links: no pair
-leaves a task, no group meets in one task, and no link is lost.
+Nodes are distinct sets, known by the 128-bit digest of the set, so an id with several texts is several nodes.
+
+How a hot group is handled.  Copies collapse to one node before any bucket is formed.  Buckets get as
+label their member with the most copies (a partial aggregate); the pairs to verify are those inside the group of
+a label.  A group of up to BLOCK members is verified in one task on the full sets.  A larger one is cut into
+blocks.  First every member is compared with a few pivots, the label among them: members linked with the label, or with a pivot that
+is, are one component, and pairs among them can't add anything.  Then each remaining member is compared with
+all members, block by block.  So a group of m near copies is sent about once and not m / BLOCK times; tasks return
+spanning forests of their links; no pair leaves a task, no group meets in one task, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, documents, rows_of
+from .shared import Scratch, documents, keyed_join, rows_of
 from .sketch import band_keys, bands_for, sketches
 from .textcore import SPACED_LOWER, U, Words, chunks, mix, seed_values, shingle_sets, text_buffers, trimmed
 
-#: Members of a group that meet in one task: two blocks.
+#: Members of a group that are verified together.
 BLOCK = 128
+#: Members of a large group that all others are compared with first.
+PIVOTS = 8
 #: Coordinates in a band.
 BAND_ROWS = 5
 
@@ -85,17 +89,16 @@ def _set_batches(shingle: int):
                 raw = values.tobytes()
                 sets = [raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sets, pa.binary())], names=["id", "items"]
+                    [pa.array(_digests(values, ends), pa.binary()), pa.array(sets, pa.binary())], names=["node", "items"]
                 )
 
     return trimmed(run)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs with 100 * intersection >= percent * union, by exact intersections.
+def close_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs have 100 * intersection >= percent * union, as a square of booleans, by exact intersections.
 
-    sides: 0/1 per set; when both occur, only pairs across the sides count.  Intersections are
-    matrix products over the items that occur at least twice, in column blocks.
+    Intersections are matrix products over the items that occur at least twice, in column blocks.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -116,10 +119,14 @@ def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
         held[owner[lo:hi], where[lo:hi] - start] = 1
         common += held @ held.T
     union = sizes[:, None] + sizes[None, :] - common
-    close = np.triu(100 * common.astype(np.int64) >= percent * union.astype(np.int64), 1)
-    if sides is not None and 0 < sides.sum() < n:
-        close &= sides[:, None] != sides[None, :]
-    parent = list(range(n))
+    close = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
+    np.fill_diagonal(close, False)
+    return close
+
+
+def forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links."""
+    parent = list(range(len(close)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -136,19 +143,106 @@ def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
     return out
 
 
-def _verify(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        sides = (pdf["block"] != pdf["low"]).to_numpy(dtype=np.int64)
-        links = linked_pairs([np.frombuffer(x, dtype=U) for x in pdf["items"]], percent, sides)
-        return pd.DataFrame(
-            {"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64"
-        )
+def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    return forest(close_pairs(sets, percent))
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype=U) for x in table.column("items").combine_chunks()]
+
+
+def _links(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
+
+
+def _verify_group(percent: int):
+    """All pairs of a small group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _links(table.column("id").to_numpy(), linked_pairs(_sets(table), percent))
+
+    return run
+
+
+_COMPARED = "label binary, node binary, id long, a long, b long"
+
+
+def _verify_pivots(percent: int):
+    """Links between a block's members and the pivots of its group; members that aren't anchored come back with a null link.
+
+    A member is anchored if it is linked with the label, or with a pivot that the label reaches through
+    links between pivots: all tasks of a group see all its pivots, so they agree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, ids = table.column("node").to_pylist(), table.column("id").to_numpy()
+        label = table.column("label")[0].as_py()
+        pivot = table.column("pivot").to_numpy()
+        close = close_pairs(_sets(table), percent)
+        anchor = np.array([n == label for n in nodes]) & pivot
+        while True:
+            more = pivot & (anchor | close[:, anchor].any(axis=1))
+            if (more == anchor).all():
+                break
+            anchor = more
+        loose = np.flatnonzero(~pivot & ~close[:, anchor].any(axis=1))
+        links = forest(close & (pivot[:, None] | pivot[None, :]))
+        n = len(loose)
+        return pa.table({
+            "label": pa.array([label] * (n + len(links)), pa.binary()),
+            "node": pa.array([nodes[i] for i in loose] + [None] * len(links), pa.binary()),
+            "id": pa.array([int(ids[i]) for i in loose] + [None] * len(links), pa.int64()),
+            "a": pa.array([None] * n + [int(ids[x]) for x, _ in links], pa.int64()),
+            "b": pa.array([None] * n + [int(ids[y]) for _, y in links], pa.int64())})
+
+    return run
+
+
+def _verify_loose(percent: int):
+    """Links between some loose members and a block of all members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        loose = table.column("loose").to_numpy()
+        close = close_pairs(_sets(table), percent) & (loose[:, None] != loose[None, :])
+        return _links(table.column("id").to_numpy(), forest(close))
 
     return run
 
 
+def _large_groups(large: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links of groups of over BLOCK members; large: (label, node, id, m)."""
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    large = scratch.keep(large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), "large")
+    # One pivot is the label, the others the least of so many parts of the group.
+    part = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS - 1))
+    pivots = (
+        large.where("node != label").groupBy("label", part.alias("part")).agg(F.min(F.struct("node", "id", "blocks")).alias("p"))
+        .select("label", "p.*").unionByName(large.where("node = label").select("label", "node", "id", "blocks")))
+    pivots = scratch.keep(pivots, "pivots")
+    dealt = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(True)).unionByName(
+        large.join(pivots.select("label", "node"), ["label", "node"], "left_anti").drop("m").withColumn("pivot", F.lit(False)))
+    compared = scratch.keep(
+        dealt.join(sets, "node").groupBy("label", "block").applyInArrow(_verify_pivots(percent), _COMPARED), "compared")
+    links = compared.where("a is not null").select("a", "b")
+
+    loose = compared.where("a is null").select("label", "node", "id")
+    counts = scratch.keep(loose.groupBy("label").agg(F.count("*").alias("n")), "loose-counts")
+    if counts.isEmpty():
+        return links
+    rounds = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    sizes = scratch.keep(large.groupBy("label").agg(F.first("m").alias("m")).join(counts, "label"), "loose-sizes")
+    members = keyed_join(large.drop("m", "blocks"), sizes, ["label"], "m", large.count())
+    few = keyed_join(loose, sizes.select("label", "m", "n", F.col("n").alias("size")), ["label"], "size", loose.count())
+    pairs = (
+        few.withColumn("round", F.pmod(F.xxhash64("node"), rounds).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / F.lit(BLOCK)).cast("int") - 1)))
+        .withColumn("loose", F.lit(True)).select("label", "round", "block", "node", "id", "loose"))
+    pairs = pairs.unionByName(
+        members.withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1))).withColumn("loose", F.lit(False))
+        .select("label", "round", "block", "node", "id", "loose"))
+    return links.unionByName(
+        pairs.join(sets, "node").groupBy("label", "round", "block").applyInArrow(_verify_loose(percent), "a long, b long"))
+
+
 def near_duplicates(
     df: DataFrame,
     shingle: int = 5,
@@ -168,50 +262,45 @@ def near_duplicates(
     bands = bands_for(percent / 100, BAND_ROWS, miss)
     rows = scratch.keep(docs.mapInArrow(_sketch_batches(shingle, bands), _SKETCHED), "sketches")
 
-    # One representative (least id) for each distinct set.
-    classes = rows.where("id is not null and digest is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"))
+    # One node for each distinct set; its id is the least one.
+    named = rows.where("id is not null and digest is not null")
+    classes = named.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Written, so that joins with it have plain shuffles on both sides, which Spark splits where one digest is hot.
     copied = scratch.keep(classes.where("copies > 1").select("digest", F.col("id").alias("rep")), "copied")
-    # A representative's bands come back by its id, which no hot group shares.
+    # A node's bands come back by its id and digest, which no group of copies shares.
     members = (
-        rows.where("id is not null and digest is not null")
-        .join(classes.withColumnRenamed("digest", "own"), "id")
-        .where("digest = own")
-        .dropDuplicates(["id"])
-        .select("id", "copies", F.posexplode("bands").alias("band", "key"))
+        named.join(classes, ["id", "digest"])
+        .dropDuplicates(["id", "digest"])
+        .select(F.col("digest").alias("node"), "id", "copies", F.posexplode("bands").alias("band", "key"))
     )
     members = scratch.keep(members, "members")
-    labels = (
+    labels = scratch.keep(
         members.groupBy("band", "key")
-        .agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("id"))).getField("id").alias("label"),
+        .agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("node"))).getField("node").alias("label"),
              F.count("*").alias("size"))
-        .where("size > 1")
-        .drop("size")
-    )
+        .where("size > 1"), "labels")
     grouped = scratch.keep(
-        members.join(labels, ["band", "key"]).select("label", "id").distinct(), "groups")
-    scratch.drop("members")
-
-    # Blocks: a group of m members is cut into ceil(m / BLOCK) blocks by hash.
-    sizes = grouped.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = (
-        grouped.join(sizes, "label")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", "id", "block",
-                F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    )
-    sets = rows_of(
-        docs.where("id is not null"), grouped.select("id").distinct(), "id"
-    ).mapInArrow(_set_batches(shingle), "id long, items binary").dropDuplicates(["id"])
-    links = (
-        dealt.join(sets, "id")
-        .groupBy("label", "low", "high")
-        .applyInPandas(_verify(percent), "a long, b long")
-    )
+        keyed_join(members, labels, ["band", "key"], "size", members.count()).select("label", "node", "id").distinct(), "groups")
+    scratch.drop("members", "labels")
+    sizes = scratch.keep(grouped.groupBy("label").agg(F.count("*").alias("m")).withColumn("rows", F.col("m")), "sizes")
+    dealt = scratch.keep(keyed_join(grouped, sizes, ["label"], "rows", grouped.count()), "dealt")
+    sets = scratch.keep(
+        rows_of(docs.where("id is not null"), grouped.select("id").distinct(), "id")
+        .mapInArrow(_set_batches(shingle), "node binary, items binary").where("node is not null").dropDuplicates(["node"]), "sets")
+    scratch.drop("groups", "sizes")
+    links = dealt.where(F.col("m") <= BLOCK).join(sets, "node").groupBy("label").applyInArrow(_verify_group(percent), "a long, b long")
+    large = dealt.where(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        links = links.unionByName(_large_groups(large, sets, percent, scratch))
+    # An id with several texts links them all, also one without words.
+    several = scratch.keep(
+        rows.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y"))
+        .where("x != y").select("id"), "several")
+    if not several.isEmpty():
+        own = rows_of(named.select("id", "digest"), several, "id").distinct().join(copied, "digest")
+        links = links.unionByName(own.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b"))
     found, held = components(spark, links, "a", "b")
-    scratch.drop("groups")
+    scratch.drop("dealt", "sets", "several", "large", "pivots", "compared", "loose-counts", "loose-sizes")
 
     out = (
         rows.select("id", "n_shingles", "digest")

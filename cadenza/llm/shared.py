@@ -52,7 +52,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        remove(self.spark, *(self.paths.pop(n) for n in names))
+        remove(self.spark, *(self.paths.pop(n) for n in names if n in self.paths))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -72,3 +72,24 @@ def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")
+
+
+#: Keys that hold over one row in HEAVY; there are fewer than HEAVY of them, so they can always be broadcast.
+HEAVY = 4000
+#: Rows of one key that any task can take.
+LIGHT = 256
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed (a written table with one row a key; `size` counts the rows of the key, `total` all rows).
+
+    Keys with over total / HEAVY rows are fewer than HEAVY and are broadcast, so their rows stay where they are; the
+    others are shuffled, and no task gets more than total / HEAVY rows of a key.
+    """
+    bar = max(LIGHT, total // HEAVY)
+    heavy = keyed.where(F.col(size) > bar)
+    if heavy.isEmpty():
+        return rows.join(keyed.drop(size), keys)
+    hot = rows.join(F.broadcast(heavy.drop(size)), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return hot.unionByName(rest.join(keyed.where(F.col(size) <= bar).drop(size), keys))

@@ -87,6 +87,35 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute.near(rows + rows[:5], 3, 85)
 
 
+@pytest.mark.parametrize(("block", "pivots", "heavy"), [(4, 2, 1), (8, 3, 3), (128, 8, 4000)])
+def test_near_duplicates_chains_pivots_and_hot_keys(spark, monkeypatch, block, pivots, heavy):
+    """Chains of drifting copies, where most links are between members that no pivot reaches, with all hot paths."""
+    from cadenza.llm import shared
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(shared, "HEAVY", heavy)
+    monkeypatch.setattr(shared, "LIGHT", 3 if heavy < 10 else 256)
+    rows, r = [], random.Random(7)
+    for chain in range(4):
+        w = prose(60 + chain, 60).split()
+        for i in range(22):
+            rows.append((100 * chain + i, " ".join(w)))
+            w[r.randrange(60)] = f"drift{chain}x{i}"
+    r.shuffle(rows)
+    got = listed(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.near(rows, 3, 85)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """All texts of an id give it links, also when another id stands for the same texts."""
+    a, b, c = prose(71, 90), prose(72, 90), prose(73, 90)
+    rows = [(1, a), (2, b), (3, a + " tail"), (3, b + " tail"), (3, None), (4, c), (5, c), (5, ""), (6, c + " end"), (7, None), (7, "one"), (8, "one")]
+    got = listed(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.near(rows, 3, 85)
+    assert {i: x for i, _, x, _ in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7}
+
+
 # ------------------------------------------------------------------ 2
 
 
