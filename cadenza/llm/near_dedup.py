@@ -14,8 +14,8 @@ Nodes are distinct sets, known by the 128-bit digest of the set, so an id with s
 How a hot group is handled.  Copies collapse to one node before any bucket is formed.  Buckets get as
 label their member with the most copies (a partial aggregate); the pairs to verify are those inside the group of
 a label.  A group of up to BLOCK members is verified in one task on the full sets.  A larger one is cut into
-blocks.  First every member is compared with a few pivots, the label among them: members linked with the label, or with a pivot that
-is, are one component, and pairs among them can't add anything.  Then each remaining member is compared with
+blocks.  First every member is compared with a few pivots: members linked with the first pivot, or with one that
+it reaches through pivots, are one component, and pairs among them can't add anything.  Then each remaining member is compared with
 all members, block by block.  So a group of m near copies is sent about once and not m / BLOCK times; tasks return
 spanning forests of their links; no pair leaves a task, no group meets in one task, and no link is lost.
 """
@@ -170,7 +170,7 @@ _COMPARED = "label binary, node binary, id long, a long, b long"
 def _verify_pivots(percent: int):
     """Links between a block's members and the pivots of its group; members that aren't anchored come back with a null link.
 
-    A member is anchored if it is linked with the label, or with a pivot that the label reaches through
+    A member is anchored if it is linked with the first pivot (most bands), or with a pivot that this one reaches through
     links between pivots: all tasks of a group see all its pivots, so they agree."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -178,7 +178,8 @@ def _verify_pivots(percent: int):
         label = table.column("label")[0].as_py()
         pivot = table.column("pivot").to_numpy()
         close = close_pairs(_sets(table), percent)
-        anchor = np.array([n == label for n in nodes]) & pivot
+        anchor = np.zeros(len(nodes), dtype=bool)
+        anchor[max(np.flatnonzero(pivot), key=lambda i: (table.column("bands")[int(i)].as_py(), nodes[i]))] = True
         while True:
             more = pivot & (anchor | close[:, anchor].any(axis=1))
             if (more == anchor).all():
@@ -212,14 +213,12 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, scratch: Scra
     """(a, b) links of groups of over BLOCK members; large: (label, node, id, m)."""
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     large = scratch.keep(large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), "large")
-    # One pivot is the label, the others the least of so many parts of the group.
-    part = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS - 1))
-    pivots = (
-        large.where("node != label").groupBy("label", part.alias("part")).agg(F.min(F.struct("node", "id", "blocks")).alias("p"))
-        .select("label", "p.*").unionByName(large.where("node = label").select("label", "node", "id", "blocks")))
-    pivots = scratch.keep(pivots, "pivots")
+    # Of each of so many parts of the group, the member that shares the most bands in it: the likeliest centre.
+    part = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS))
+    pivots = scratch.keep(
+        large.groupBy("label", part.alias("part")).agg(F.max(F.struct("bands", "node", "id", "blocks")).alias("p")).select("label", "p.*"), "pivots")
     dealt = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(True)).unionByName(
-        large.join(pivots.select("label", "node"), ["label", "node"], "left_anti").drop("m").withColumn("pivot", F.lit(False)))
+        large.join(pivots.select("label", "node"), ["label", "node"], "left_anti").select("label", "bands", "node", "id", "blocks", "block").withColumn("pivot", F.lit(False)))
     compared = scratch.keep(
         dealt.join(sets, "node").groupBy("label", "block").applyInArrow(_verify_pivots(percent), _COMPARED), "compared")
     links = compared.where("a is not null").select("a", "b")
@@ -230,7 +229,7 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, scratch: Scra
         return links
     rounds = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     sizes = scratch.keep(large.groupBy("label").agg(F.first("m").alias("m")).join(counts, "label"), "loose-sizes")
-    members = keyed_join(large.drop("m", "blocks"), sizes, ["label"], "m", large.count())
+    members = keyed_join(large.select("label", "node", "id", "block"), sizes, ["label"], "m", large.count())
     few = keyed_join(loose, sizes.select("label", "m", "n", F.col("n").alias("size")), ["label"], "size", loose.count())
     pairs = (
         few.withColumn("round", F.pmod(F.xxhash64("node"), rounds).cast("int"))
@@ -280,7 +279,8 @@ def near_duplicates(
              F.count("*").alias("size"))
         .where("size > 1"), "labels")
     grouped = scratch.keep(
-        keyed_join(members, labels, ["band", "key"], "size", members.count()).select("label", "node", "id").distinct(), "groups")
+        keyed_join(members, labels, ["band", "key"], "size", members.count())
+        .groupBy("label", "node", "id").agg(F.count("*").alias("bands")), "groups")
     scratch.drop("members", "labels")
     sizes = scratch.keep(grouped.groupBy("label").agg(F.count("*").alias("m")).withColumn("rows", F.col("m")), "sizes")
     dealt = scratch.keep(keyed_join(grouped, sizes, ["label"], "rows", grouped.count()), "dealt")
