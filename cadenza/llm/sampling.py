@@ -14,23 +14,28 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> tuple[list[tuple], dict]:
-    """Ids and labels of about `per_label` rows of each label, and the count of each label.
+def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, in_all: int | None = None) -> tuple[list[tuple], dict]:
+    """Distinct (id, label) of about `per_label` rows of each label, and the number of rows of each label.
 
-    A row is drawn if a hash of its id lies under the label's threshold; the thresholds come from
-    exact counts.  The draw is independent of partitions, needs no sort, and the driver
-    gets per_label rows a label (at most, after the cut by hash order, exactly that many).
+    in_all: rows of all labels together, at most; with many labels each has fewer, but one at least.  A row is drawn
+    if a hash of its id lies under the label's threshold; the thresholds come from exact counts and are
+    joined to the rows.  The draw is independent of partitions and needs no sort; the driver gets a row for each
+    label and each drawn id (after the cut by hash order, exactly per_label a label at most), however often an id is repeated.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label_col).agg(F.count("*")).collect()}
     if not counts:
         return [], {}
-    key = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30))
-    limit = F.lit(0)
-    for label, n in sorted(counts.items(), key=str):
-        bar = min(1 << 30, int((1 << 30) * 1.1 * (per_label + 3 * per_label**0.5) / n) + 1)
-        limit = F.when(F.col(label_col) == F.lit(label), F.lit(bar)).otherwise(limit)
-    drawn = rows.select(F.col(id_col), F.col(label_col), key.alias("k")).where(F.col("k") < limit).collect()
-    drawn.sort(key=lambda r: (r[2], r[0]))
+    if in_all is not None:
+        per_label = max(1, min(per_label, in_all // len(counts)))
+    whole = 1 << 30
+    bars = {label: min(whole, int(whole * 1.1 * (per_label + 3 * per_label**0.5) / n) + 1) for label, n in counts.items()}
+    of = rows.schema[label_col].dataType
+    bars = rows.sparkSession.createDataFrame(sorted(bars.items(), key=str), f"own {of.simpleString()}, bar long")
+    drawn = (
+        rows.select(F.col(id_col), F.col(label_col), F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(whole)).alias("k"))
+        .join(F.broadcast(bars), F.col(label_col).eqNullSafe(F.col("own")))  # a row a label, all of which the driver holds
+        .where(F.col("k") < F.col("bar")).select(id_col, label_col, "k").distinct().collect())
+    drawn.sort(key=lambda r: (r[2], str(r[0]), str(r[1])))
     out, held = [], dict.fromkeys(counts, 0)
     for i, label, _ in drawn:
         if held[label] < per_label:

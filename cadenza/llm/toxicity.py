@@ -1,20 +1,23 @@
 """Operator 7: toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are words (A-Z folded) and word beginnings of 4 to 6 bytes, each with its ordinal: the
-j-th occurrence in a text is a term of its own (j up to MOST_OCCURRENCES), so a vector tells one
-occurrence from several.  From a bounded sample of labelled rows the terms that go with the
-label are selected by their likelihood ratio; all other terms have weight 0.
-
-Examples are the sample's vectors; equal vectors form one example with summed votes.  They lie in
-an inverted index whose postings are cut into blocks of examples, with the largest weight of each
-term in each block.  A query reads blocks by decreasing bound and leaves out those whose bound
-cannot reach the k-th best similarity, so the k nearest examples are exact.  Votes are weighted by similarity; a monotone fit of the sample's leave-one-out
-votes turns them into probabilities.
-
-Contract of `scored`: null and empty texts and texts without any selected term get the
-share of label 1 among the sample's rows without one; equal texts and repeated rows get equal
-results; no labelled row: score 0; an empty table gives an empty result; whole texts of any length
-are read; other columns are ignored, whatever their names.
+Terms are words (A-Z folded) and word beginnings of 4 to 8 bytes, each with its ordinal: the
+j-th occurrence in a text is a term of its own, so a term's frequency is coded in unary and two texts share the lesser
+of their frequencies.  A text's vector holds all its terms that occur in some example; terms that no example
+has can't add to a similarity.  The weight of a term is its inverse document frequency, counted over
+all documents, times its relevance, which is estimated on the sample: FLOOR, or more the surer it is (likelihood ratio)
+that the term goes with label 1.  No term is left out.
+
+Examples are the first EXAMPLES of the sample's rows of each label.  They lie in an inverted index whose postings are cut into
+blocks of examples, with the largest weight of each term in each block; postings of terms that stand in many
+examples are kept as rows of a matrix.  A query reads blocks by decreasing bound and leaves out those
+whose bound cannot reach the k-th best similarity, so the k nearest examples are exact (in single precision).
+Votes are weighted by similarity; a monotone fit of the examples' leave-one-out votes turns them into probabilities.
+
+Contract of `scored`: null and empty texts and texts that share no term with an example get the
+share of label 1 among the sample's rows; equal texts and repeated rows get equal
+results; of equally near examples the first one counts; a labelled id with several texts is learned from one of them (least
+hash); no labelled row of both labels: score 0, or 1 if all are label 1; an empty table gives an empty result; whole
+texts of any length are read; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,119 +30,160 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import HELD_OUT, bounded_sample, fold
-from .shared import Scratch, documents
-from .textcore import ALNUM_LOWER, U, Words, chunks, mix, text_buffers
 from . import textcore
+from .sampling import HELD_OUT, bounded_sample, fold
+from .shared import documents
+from .textcore import ALNUM_LOWER, U, Words, chunks, mix, text_buffers, trimmed
 
-#: Labelled rows of each label that are learned from, at most.
+#: Labelled rows of each label that relevance is estimated on, and those of them that are examples, at most.
 PER_LABEL = 2000
-#: Selected terms, at most, and what a term needs: rows of label 1 and likelihood ratio (p < 0.0001).
-TERMS = 1500
-LEAST_ROWS = 4
-LEAST_RATIO = 15.1
-MOST_OCCURRENCES = 4
-BEGINNINGS = (4, 5, 6)
+EXAMPLES = 500
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Relevance of a term: at least FLOOR; 1 from a likelihood ratio of SURE.
+FLOOR = 0.05
+SURE = 25.0
 NEIGHBOURS = 24
-BLOCK = 64
+BLOCK = 50
+#: Terms of so many examples are kept as matrix rows.
+COMMON = 64
 THRESHOLD = 0.3
 
 
-def word_terms(raw: np.ndarray, ends: np.ndarray) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
-    """The words and, for whole words and each beginning: (row, term hash) arrays."""
+def word_terms(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For whole words and each beginning: (row, term hash) arrays."""
     words = Words(raw, ends, ALNUM_LOWER)
     power, inverse = textcore._power_tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=U)
     np.cumsum(ALNUM_LOWER.value[raw] * power[: len(raw)], dtype=U, out=total[1:])
     size = words.stops - words.starts
-    out = [(words.row, words.hash)]
+    yield words.row, words.hash
     for n in BEGINNINGS:
         at = np.flatnonzero(size >= n)
         start = words.starts[at]
-        out.append((words.row[at], mix((total[start + n] - total[start]) * inverse[start] + U(1000 + n))))
-    return words, out
-
-
-def numbered(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct (row, term) with its ordinals 1..MOST_OCCURRENCES as (row, term) pairs."""
-    order = np.lexsort((terms, rows))
-    rows, terms = rows[order], terms[order]
-    if not len(rows):
-        return rows, terms
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    ordinal = np.arange(len(rows)) - first
-    keep = ordinal < MOST_OCCURRENCES
-    return rows[keep], mix(terms[keep] + U(0x9E3779B97F4A7C15) * (ordinal[keep] + 1).astype(U))
-
-
-class TermFilter:
-    """Which hashes belong to a small set: a bitmap first, a binary search for what is left."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
-        self.bits = np.zeros(1 << 18, dtype=bool)
-        self.bits[(self.values >> U(46)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        maybe = np.flatnonzero(self.bits[(hashes >> U(46)).astype(np.int64)])
-        if not len(maybe):
-            return maybe
-        place = np.minimum(np.searchsorted(self.values, hashes[maybe]), len(self.values) - 1)
-        return maybe[self.values[place] == hashes[maybe]]
+        yield words.row[at], mix((total[start + n] - total[start]) * inverse[start] + U(1000 + n))
+
+
+class Vocabulary:
+    """The terms of the examples.  Term p with ordinal j (from 0) is column first[p] + j, up to the most that an example has."""
+
+    BITS = 20
+
+    def __init__(self, values: np.ndarray, most: np.ndarray):
+        """values: ascending hashes; most: the greatest frequency of each in an example."""
+        self.values, self.most = values, most.astype(np.int64)
+        self.first = (np.cumsum(self.most) - self.most).astype(np.int64)
+        self.size = int(self.most.sum())
+        self.start = np.searchsorted(values >> U(64 - self.BITS), np.arange((1 << self.BITS) + 1).astype(U)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in hashes, their terms) of the known ones."""
+        top = (hashes >> U(64 - self.BITS)).astype(np.int64)
+        at, stop = self.start[top].astype(np.int64), self.start[top + 1].astype(np.int64)
+        where = np.flatnonzero(at < stop)
+        at, stop, hits, terms = at[where], stop[where], [], []
+        while len(where):
+            ok = self.values[at] == hashes[where]
+            hits.append(where[ok])
+            terms.append(at[ok])
+            at = at + 1
+            more = ~ok & (at < stop)
+            where, at, stop = where[more], at[more], stop[more]
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(hits), np.concatenate(terms)
+
+    def columns(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of each known term of each text, ascending."""
+        raw, ends = text_buffers(part.column("text"))
+        held = []
+        for rows, hashes in word_terms(raw, ends):
+            at, terms = self.find(hashes)
+            held.append(rows[at].astype(U) << U(32) | terms.astype(U))
+        both = np.sort(np.concatenate(held))
+        if not len(both):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.arange(len(both))
+        new = np.ones(len(both), dtype=bool)
+        new[1:] = both[1:] != both[:-1]
+        ordinal = place - np.maximum.accumulate(np.where(new, place, 0))
+        rows, terms = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
+        keep = ordinal < self.most[terms]
+        return rows[keep], self.first[terms[keep]] + ordinal[keep]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class BlockMaxIndex:
-    """Exact k nearest unit vectors by cosine.
+    """Exact k nearest examples by dot product.
 
-    Examples are cut into blocks of neighbours in the order given; a term's postings are sorted by example, so
-    those of one block are one slice, and `most[term, block]` is the largest weight among them.  A
-    query reads blocks by decreasing bound, the sum of its weights times those maxima, and stops
-    when the next bound is below the k-th best similarity.
+    Examples are cut into blocks of neighbours in the order given.  An entry is a (column, block) with the largest weight of the
+    column's postings in the block and the range of those postings; columns with COMMON postings and more are
+    matrix rows instead.  A query reads blocks by decreasing bound, the sum of its weights times those
+    maxima, and stops when the next bound is below the k-th best similarity.
     """
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], block: int = BLOCK):
-        self.block, self.n = block, len(vectors)
-        blocks = max(1, -(-self.n // block))
-        posts = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v)
-        self.row = {t: r for r, t in enumerate(sorted({t for t, _, _ in posts}))}
-        row = np.array([self.row[t] for t, _, _ in posts], dtype=np.int64)
-        self.example = np.array([i for _, i, _ in posts], dtype=np.int64)
-        self.weight = np.array([w for _, _, w in posts], dtype=np.float64)
-        cell = row * blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(len(self.row) * blocks + 1)).astype(np.int64)
-        most = np.zeros(len(self.row) * blocks)
-        np.maximum.at(most, cell, self.weight)
-        self.blocks, self.most = blocks, most.reshape(len(self.row), blocks)
-
-    def nearest(self, query: list[tuple[int, float]], k: int) -> list[tuple[float, int]]:
-        """The k best (similarity, example) with similarity over 0, ties by example."""
-        known = [(self.row[t], w) for t, w in query if t in self.row]
-        if not known:
-            return []
-        rows = np.array([r for r, _ in known])
-        weights = np.array([w for _, w in known])
-        bounds = weights @ self.most[rows]
+    def __init__(self, example: np.ndarray, column: np.ndarray, weight: np.ndarray, columns: int, n: int, block: int = BLOCK, common: int | None = None):
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        common = COMMON if common is None else common
+        order = np.lexsort((example, column))
+        example, column, weight = example[order], column[order], weight[order].astype(np.float32)
+        held = np.bincount(column, minlength=columns)
+        wide = held >= common
+        self.dense = np.full(columns, -1, dtype=np.int32)
+        self.dense[wide] = np.arange(int(wide.sum()))
+        width = self.blocks * block
+        matrix = np.zeros((int(wide.sum()), width), dtype=np.float32)
+        many = wide[column]
+        matrix[self.dense[column[many]], example[many]] = weight[many]
+        self.matrix = np.ascontiguousarray(matrix.reshape(-1, self.blocks, block).transpose(1, 0, 2))  # block, column, example
+        self.matrix_most = matrix.reshape(-1, self.blocks, block).max(axis=2)
+        example, column, weight = example[~many], column[~many], weight[~many]
+        cell = column * self.blocks + example // block
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.example, self.weight = example.astype(np.int32), weight
+        self.post = np.append(new, len(cell)).astype(np.int64)
+        self.entry_block = (cell[new] % self.blocks).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0, np.float32)
+        self.entry = np.searchsorted(cell[new], np.arange(columns + 1) * self.blocks).astype(np.int64)
+
+    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, examples) of the k best with similarity over 0, by similarity, ties by example."""
+        weights = weights.astype(np.float32)
+        row = self.dense[columns]
+        in_matrix = row >= 0
+        row, row_weight = row[in_matrix], weights[in_matrix]
+        columns, weights = columns[~in_matrix], weights[~in_matrix]
+        size = self.entry[columns + 1] - self.entry[columns]
+        entries = _ranges(self.entry[columns], size)
+        weight = np.repeat(weights, size)
+        where = self.entry_block[entries]
+        bounds = np.bincount(where, weight * self.entry_most[entries], minlength=self.blocks) + row_weight @ self.matrix_most[row]
         order = np.argsort(-bounds, kind="stable")
-        found: list[tuple[float, int]] = []
-        floor, at, step = 0.0, 0, 1
-        while at < len(order) and bounds[order[at]] > 0 and not (len(found) >= k and bounds[order[at]] < floor - 1e-12):
+        order = order[bounds[order] > 0]
+        sims = np.zeros(self.blocks * self.block, dtype=np.float32)
+        best, at, step = np.zeros(0, np.int64), 0, 4
+        while at < len(order):
+            floor = sims[best[-1]] if len(best) == k else 0.0
             take = order[at : at + step]
-            take = take[(bounds[take] > 0) & ((bounds[take] >= floor - 1e-12) | (len(found) < k))]
-            at += step
-            step *= 2
-            cells = (rows[:, None] * self.blocks + take[None, :]).ravel()
-            lo, size = self.start[cells], self.start[cells + 1] - self.start[cells]
-            where = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            sims = np.bincount(self.example[where], np.repeat(np.repeat(weights, len(take)), size) * self.weight[where], minlength=self.n)
-            hit = np.flatnonzero(sims > 0)
-            found += zip(np.round(sims[hit], 12).tolist(), hit.tolist(), strict=True)
-            if len(found) > k:
-                found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-            if len(found) == k:
-                floor = min(s for s, _ in found)
-        return sorted(found, key=lambda x: (-x[0], x[1]))
+            take = take[bounds[take] * 1.0001 + 1e-6 >= floor]
+            if not len(take):
+                break
+            at, step = at + step, 2 * step
+            read = np.zeros(self.blocks, dtype=bool)
+            read[take] = True
+            some = read[where]
+            own, some_weight = entries[some], weight[some]
+            size = self.post[own + 1] - self.post[own]
+            posts = _ranges(self.post[own], size)
+            sims += np.bincount(self.example[posts], np.repeat(some_weight, size) * self.weight[posts], minlength=len(sims)).astype(np.float32)
+            for b in take:
+                sims[b * self.block : (b + 1) * self.block] += row_weight @ self.matrix[b, row]
+            best = np.argsort(-sims, kind="stable")[:k]
+            best = best[sims[best] > 0]
+        return sims[best].astype(np.float64), best
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,176 +201,149 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class ToxicityModel:
-    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=U))  # selected, ascending
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    prefilter: TermFilter | None = None  # hashes of the terms before numbering
+    none: float = 0.0  # share of label 1 among the sample's rows
+    vocabulary: Vocabulary | None = None
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each column
     index: BlockMaxIndex | None = None
-    positive: np.ndarray | None = None  # weighted votes of each example
-    weight: np.ndarray | None = None
-    example_ids: list[int] = field(default_factory=list)
+    label: np.ndarray | None = None  # of each example
+    stands_for: np.ndarray | None = None  # labelled rows that an example stands for
+    example_ids: np.ndarray | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    none: float = 0.0  # score without any selected term
-    memo: dict = field(default_factory=dict)
-
-    def vector(self, columns: tuple[int, ...]) -> list[tuple[int, float]]:
-        norm = float(np.sqrt((self.idf[list(columns)] ** 2).sum()))
-        return [(c, float(self.idf[c]) / norm) for c in columns]
-
-    def vote(self, columns: tuple[int, ...], own: tuple[int, float, float] | None = None) -> tuple[float, list[int]]:
-        """Distance-weighted share of label 1 among the nearest; own: example, its weight and votes to leave out."""
-        found = self.index.nearest(self.vector(columns), NEIGHBOURS)
-        up = total = 0.0
-        for s, i in found:
-            weight, positive = self.weight[i], self.positive[i]
-            if own is not None and own[0] == i:
-                weight, positive = weight - own[1], positive - own[2]
-            close = s * s * s / (1.05 - s)
-            up += close * positive
-            total += close * max(weight, 0.0)
-        raw = up / total if total > 1e-12 else self.none
-        return min(1.0, max(0.0, raw)), [self.example_ids[i] for _, i in found[:3]]
-
-    def score(self, columns: tuple[int, ...]) -> tuple[float, list[int]]:
-        if not columns or self.index is None:
+
+    def vote(self, columns: np.ndarray, own: int = -1) -> tuple[float, np.ndarray]:
+        """Distance-weighted share of label 1 among the nearest; own: an example to leave out."""
+        weight = self.weight[columns]
+        norm = float(np.sqrt(weight @ weight))
+        if norm == 0:
+            return self.none, np.zeros(0, np.int64)
+        sims, found = self.index.nearest(columns, weight / norm, NEIGHBOURS + (own >= 0))
+        if own >= 0:
+            sims, found = sims[found != own], found[found != own]
+        near = np.minimum(sims, 1.0)
+        close = near**3 / (1.05 - near) * self.stands_for[found]
+        total = float(close.sum())
+        return (float(close @ self.label[found]) / total if total > 1e-15 else self.none), found
+
+    def score(self, columns: np.ndarray) -> tuple[float, list[int]]:
+        raw, found = self.vote(columns)
+        if not len(found):
             return self.none, []
-        if columns not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            raw, evidence = self.vote(columns)
-            self.memo[columns] = float(np.interp(raw, *self.knots)), evidence
-        return self.memo[columns]
-
-    def columns(self, part: pa.RecordBatch) -> list[tuple[int, ...]]:
-        """The selected terms of each text."""
-        raw, ends = text_buffers(part.column("text"))
-        held: list[list[int]] = [[] for _ in range(part.num_rows)]
-        if len(self.terms):
-            _, kinds = word_terms(raw, ends)
-            for rows, hashes in kinds:
-                at = self.prefilter.find(hashes)
-                r, t = numbered(rows[at], hashes[at])
-                place = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
-                ok = self.terms[place] == t
-                for row, c in zip(r[ok].tolist(), place[ok].tolist(), strict=True):
-                    held[row].append(c)
-        return [tuple(sorted(set(h))) for h in held]
-
-
-def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(plain hash, numbered hash) is needed of every term, so both are sent."""
-    for batch in batches:
-        for part in chunks(batch):
-            raw, ends = text_buffers(part.column("text"))
-            _, kinds = word_terms(raw, ends)
-            labels = np.array(part.column("label").to_pylist(), dtype=np.int64)
-            for rows, hashes in kinds:
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
-                new = np.ones(len(rows), dtype=bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-                ordinal = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) if len(rows) else rows
-                keep = ordinal < MOST_OCCURRENCES
-                plain, up = hashes[keep], labels[rows[keep]]
-                term = mix(plain + U(0x9E3779B97F4A7C15) * (ordinal[keep] + 1).astype(U))
-                values, first, where = np.unique(term, return_index=True, return_inverse=True)
-                ones = np.bincount(where, weights=up, minlength=len(values)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(plain[first].view(np.int64)), pa.array(values.view(np.int64)), pa.array(ones),
-                     pa.array(np.bincount(where, minlength=len(values)).astype(np.int64) - ones)],
-                    names=["plain", "term", "ones", "zeros"])
+        return float(np.interp(raw, *self.knots)), self.example_ids[found[:3]].tolist()
 
+    def scores(self, part: pa.RecordBatch) -> list[tuple[float, list[int]]]:
+        if self.index is None:
+            return [(self.none, [])] * part.num_rows
+        rows, columns = self.vocabulary.columns(part)
+        cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
+        return [self.score(columns[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-def _ratio(a, b, n1: int, n0: int):
-    """Log-likelihood ratio statistic of a term in a of n1 and b of n0 rows."""
-    def part(x, n, p):
-        q = x / F.lit(float(n))
-        hit = F.when(x > 0, x * F.log(q / p)).otherwise(0.0)
-        miss = F.when(x < n, (F.lit(float(n)) - x) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-        return hit + miss
 
-    p = (a + b) / F.lit(float(n1 + n0))
-    return 2 * (part(a, n1, p) + part(b, n0, p))
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct terms and their frequencies."""
+    for batch in batches:
+        for part in chunks(batch):
+            kinds = list(word_terms(*text_buffers(part.column("text"))))
+            rows, hashes = np.concatenate([r for r, _ in kinds]), np.concatenate([h for _, h in kinds])
+            order = np.argsort(rows, kind="stable")
+            cut = np.searchsorted(rows[order], np.arange(part.num_rows + 1))
+            both = [np.unique(hashes[order[a:b]], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("label"), pa.array([t.astype("<u8").tobytes() for t, _ in both], pa.binary()),
+                 pa.array([c.astype("<u4").tobytes() for _, c in both], pa.binary())],
+                names=["id", "label", "terms", "times"])
 
 
-def _selected(held):
+def _document_frequencies(held):
+    """(column, documents) of a partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        total = np.zeros(known.size, dtype=np.int64)
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"), pa.array(held.value.columns(part), pa.list_(pa.int32()))],
-                    names=["id", "label", "columns"])
+                total += np.bincount(known.columns(part)[1], minlength=known.size)
+        some = np.flatnonzero(total)
+        for a in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some[a : a + (1 << 16)].astype(np.int32)), pa.array(total[some[a : a + (1 << 16)]])], names=["c", "n"])
+
+    return trimmed(run)
 
-    return run
+
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio statistic of terms in a of n1 and b of n0 rows; 0 where label 1 isn't the likelier."""
+
+    def part(x, n, p):
+        q = x / n
+        hit = np.where(x > 0, x * np.log(np.maximum(q, 1e-300) / p), 0.0)
+        return hit + np.where(x < n, (n - x) * np.log(np.maximum(1 - q, 1e-300) / np.maximum(1 - p, 1e-300)), 0.0)
+
+    p = np.maximum(a + b, 1e-9) / (n1 + n0)
+    return np.where(a * n0 > b * n1, 2 * (part(a, n1, p) + part(b, n0, p)), 0.0)
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_label: int = PER_LABEL) -> ToxicityModel:
-    """Learns from at most per_label rows of each label outside the held-out fold."""
+        per_label: int = PER_LABEL, examples: int = EXAMPLES) -> ToxicityModel:
+    """Learns from at most per_label rows of each label outside the held-out fold; document frequencies are of all rows of df."""
     spark = df.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(
         (fold("id") != HELD_OUT) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     drawn, counts = bounded_sample(known, "id", "label", per_label)
-    size = {y: sum(1 for _, x in drawn if x == y) for y in (0, 1)}
+    if not drawn:
+        return ToxicityModel()
+    picked = spark.createDataFrame(drawn, "id long, label int")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = (
+        texts.join(F.broadcast(picked), "id")
+        .groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .mapInArrow(_frequencies, "id long, label int, terms binary, times binary").toPandas())
+    place = {i: n for n, (i, _) in enumerate(drawn)}  # the order of the draw
+    rows = rows.assign(place=rows["id"].map(place)).sort_values("place")
+    label = rows["label"].to_numpy()
+    size = {y: int((label == y).sum()) for y in (0, 1)}
     if not size[0] or not size[1]:
         return ToxicityModel(none=float(bool(size[1])))
-    scratch = Scratch(spark)
-    picked = spark.createDataFrame(drawn, "id long, label int")
-    sample = scratch.keep(
-        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(picked), "id").dropDuplicates(["id"]), "sample")
-    n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return ToxicityModel(none=float(bool(n1)))
-    totals = sample.mapInArrow(_sample_terms, "plain long, term long, ones long, zeros long").groupBy("term").agg(
-        F.first("plain").alias("plain"), F.sum("ones").cast("double").alias("a"), F.sum("zeros").cast("double").alias("b"))
-    chosen = (
-        totals.where((F.col("a") >= LEAST_ROWS) & (F.col("a") / n1 > F.col("b") / n0))
-        .withColumn("g", _ratio(F.col("a"), F.col("b"), n1, n0))
-        .where(F.col("g") >= LEAST_RATIO)
-        .orderBy(F.desc("g"), "term").limit(TERMS)
-        .collect()
-    )
-    model = ToxicityModel()
-    each = {1: counts[1] / n1, 0: counts[0] / n0}  # rows that a sampled row stands for
-    if chosen:
-        terms = np.array([r.term for r in chosen], dtype=np.int64).view(U)
-        order = np.argsort(terms)
-        share = np.array([(r.a * each[1] + r.b * each[0]) / (counts[1] + counts[0]) for r in chosen])
-        model.terms, model.idf = terms[order], np.log(1 / share[order]) + 1e-3
-        model.prefilter = TermFilter(np.array([r.plain for r in chosen], dtype=np.int64).view(U))
-    # The sample's texts stay in the executors; the driver gets their selected terms.
-    rows = sample.mapInArrow(_selected(spark.sparkContext.broadcast(model)), "id long, label int, columns array<int>").toPandas()
-    rows = rows.sort_values("id")
-    columns = [tuple(int(x) for x in c) for c in rows["columns"]]
-    groups: dict[tuple, list] = {}
-    empty = [0.0, 0.0]
-    for i, y, c in zip(rows["id"], rows["label"], columns, strict=True):
-        if c:
-            held = groups.setdefault(c, [0.0, 0.0, int(i)])
-        else:
-            held = empty
-        held[0] += each[int(y)] * int(y)
-        held[1] += each[int(y)]
-    model.none = empty[0] / empty[1] if empty[1] else 0.0
-    if groups:
-        keys = sorted(groups)  # neighbours share their first terms, which keeps block bounds low
-        place = {k: i for i, k in enumerate(keys)}
-        model.index = BlockMaxIndex([model.vector(k) for k in keys])
-        model.positive = np.array([groups[k][0] for k in keys])
-        model.weight = np.array([groups[k][1] for k in keys])
-        model.example_ids = [groups[k][2] for k in keys]
-        raw, truth, weight = [], [], []
-        left_out: dict[tuple, float] = {}  # rows of one vector and label share their vote
-        for y, c in zip(rows["label"], columns, strict=True):
-            if c:
-                w = each[int(y)]
-                if (c, int(y)) not in left_out:
-                    left_out[c, int(y)] = model.vote(c, (place[c], w, w * int(y)))[0]
-                raw.append(left_out[c, int(y)])
-                truth.append(int(y))
-                weight.append(w)
-        model.knots = monotone(np.array(raw), np.array(truth, dtype=float), np.array(weight))
+    terms = [np.frombuffer(x, "<u8") for x in rows["terms"]]
+    times = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["times"]]
+
+    chosen = np.concatenate([np.flatnonzero(label == y)[:examples] for y in (0, 1)])
+    values, where = np.unique(np.concatenate([terms[i] for i in chosen]), return_inverse=True)
+    none = counts[1] / (counts[0] + counts[1])
+    if not len(values):
+        return ToxicityModel(none=none)
+    most = np.zeros(len(values), dtype=np.int64)
+    np.maximum.at(most, where, np.concatenate([times[i] for i in chosen]))
+    vocabulary = Vocabulary(values, most)
+
+    def columns(i: int) -> np.ndarray:
+        at, known_terms = vocabulary.find(terms[i])
+        held = np.minimum(times[i][at], most[known_terms])
+        return np.sort(_ranges(vocabulary.first[known_terms], held))
+
+    with_term = {y: np.zeros(vocabulary.size, dtype=np.int64) for y in (0, 1)}
+    for i in range(len(label)):
+        with_term[label[i]][columns(i)] += 1
+    relevance = np.clip((likelihood_ratio(with_term[1], with_term[0], size[1], size[0]) / SURE) ** 2, FLOOR, 1.0)
+    found = texts.mapInArrow(_document_frequencies(spark.sparkContext.broadcast(vocabulary)), "c int, n long").groupBy("c").agg(
+        F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(vocabulary.size)
+    frequency[found["c"].to_numpy()] = found["n"].to_numpy()
+    weight = np.log((1 + df.count()) / (1 + frequency)) * relevance
+    weight = np.maximum(weight, 1e-6)
+
+    # Neighbours in the index share their strongest terms, which keeps block bounds low.
+    own = {int(i): columns(int(i)) for i in chosen}
+    full = [int(i) for i in chosen if len(own[int(i)])]
+    full.sort(key=lambda i: (label[i], int(own[i][np.argmax(weight[own[i]])]), rows["place"].iloc[i]))
+    size_of = np.array([len(own[i]) for i in full])
+    column = np.concatenate([own[i] for i in full])
+    example = np.repeat(np.arange(len(full)), size_of)
+    norm = np.sqrt(np.bincount(example, weight[column] ** 2))
+    stands = {y: counts[y] / max(1, int((label[chosen] == y).sum())) for y in (0, 1)}
+    model = ToxicityModel(none, vocabulary, weight, BlockMaxIndex(example, column, weight[column] / norm[example], vocabulary.size, len(full)),
+                          label[full].astype(float), np.array([stands[label[i]] for i in full]), rows["id"].to_numpy()[full])
+    raw = np.array([model.vote(own[i], n)[0] for n, i in enumerate(full)])
+    model.knots = monotone(raw, model.label, model.stands_for)
     return model
 
 
@@ -339,7 +356,7 @@ def scored(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col
         m = held.value
         for batch in batches:
             for part in chunks(batch):
-                found = [m.score(c) for c in m.columns(part)]
+                found = m.scores(part)
                 score = np.array([s for s, _ in found], dtype=float)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)),
@@ -347,7 +364,7 @@ def scored(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col
                     names=["id", "score", "predicted", "evidence"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int, evidence array<long>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), "id long, score double, predicted int, evidence array<long>").withColumnRenamed("id", id_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,12 +382,89 @@ def test_block_max_search_is_exact(raw, k):
         return [(t, w / n) for t, w in d.items()]
 
     vectors = [unit(v) for v in raw]
-    query = vectors[0]
-    index = toxicity.BlockMaxIndex(vectors, block=3)
-    sims = [(round(sum(w * dict(v).get(t, 0) for t, w in query), 12), i) for i, v in enumerate(vectors)]
+    query = dict(vectors[0])
+    flat = [(i, t, w) for i, v in enumerate(vectors) for t, w in dict(v).items()]
+    sims = [(round(sum(w * dict(v).get(t, 0) for t, w in query.items()), 9), i) for i, v in enumerate(vectors)]
     want = [s for s, _ in sorted(((s, i) for s, i in sims if s > 0), key=lambda x: (-x[0], x[1]))[:k]]
-    got = [s for s, _ in index.nearest(query, k) if s > 0][: len(want)]
-    assert np.allclose(got, want, atol=1e-9)
+    for common in (2, 5, 10**9):
+        index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat, strict=True)), 13, len(vectors), block=3, common=common)
+        got, at = index.nearest(np.array(list(query)), np.array(list(query.values())), k)
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-5)
+        assert np.allclose([dict(sims_by(sims))[i] for i in at.tolist()], got, atol=1e-5)
+
+
+def sims_by(sims):
+    return [(i, s) for s, i in sims]
+
+
+def brute_toxicity(rows, labels):
+    """Scores by plain dictionaries; rows: (id, text), labels: (id, label) of rows that are learned from, all of them examples."""
+    from collections import Counter
+
+    def vector(t):
+        held, out = Counter(), set()
+        for w in brute.ALNUM.findall((t or "").translate(brute.LOWER)):
+            raw = w.encode()
+            for x in [(0, raw), *((n, raw[:n]) for n in toxicity.BEGINNINGS if len(raw) >= n)]:
+                held[x] += 1
+                out.add((*x, held[x]))
+        return out
+
+    vec = {i: vector(t) for i, t in rows}
+    known = set().union(*(vec[i] for i, _ in labels))
+    y = dict(labels)
+    n = {v: sum(x == v for x in y.values()) for v in (0, 1)}
+    weight = {}
+    for t in known:
+        a, b = (sum(t in vec[i] for i in y if y[i] == v) for v in (1, 0))
+        g = float(toxicity.likelihood_ratio(np.array([a]), np.array([b]), n[1], n[0])[0])
+        df = sum(t in v for v in vec.values())
+        weight[t] = max(1e-6, float(np.log((1 + len(rows)) / (1 + df))) * min(1.0, max(toxicity.FLOOR, (g / toxicity.SURE) ** 2)))
+    vec = {i: v & known for i, v in vec.items()}
+    norm = {i: sum(weight[t] ** 2 for t in v) ** 0.5 for i, v in vec.items()}
+
+    def vote(i, leave=None):
+        sims = sorted(((sum(weight[t] ** 2 for t in vec[i] & vec[j]) / (norm[i] * norm[j]), j) for j in y if j != leave and vec[i] & vec[j]), reverse=True)[: toxicity.NEIGHBOURS]
+        close = [min(s, 1.0) ** 3 / (1.05 - min(s, 1.0)) for s, _ in sims]
+        return sum(c * y[j] for c, (_, j) in zip(close, sims, strict=True)) / sum(close) if sims else None
+
+    full = [i for i in y if vec[i]]
+    knots = toxicity.monotone(np.array([vote(i, i) for i in full]), np.array([y[i] for i in full], float), np.ones(len(full)))
+    return {i: n[1] / (n[0] + n[1]) if (v := vote(i)) is None else float(np.interp(v, *knots)) for i in vec}
+
+
+def test_toxicity_like_brute_force(spark):
+    """Terms, frequencies, relevance, votes and calibration, on texts of random words with repeats, very long ones and copies."""
+    r, rows = random.Random(5), []
+    for i in range(160):
+        n = r.choice([0, 3, 30, 60, 90]) if i != 7 else 4000
+        w = [r.choice(["calm", "river", "stones", "greenery", "paper"]) + r.choice(["", "s", "ing", "x"]) + r.choice("abcdefg") for _ in range(n)]
+        if i % 4 == 0 and w:
+            w[:: max(1, len(w) // 4)] = [r.choice(["vileness", "vilely", "rottenest"]) for _ in w[:: max(1, len(w) // 4)]]
+        rows.append((i, " ".join(w) if n or i % 2 else None))
+    rows.append((900, "words that nobody knows 12345"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scored(df, toxicity.fit(df, y)).collect()}
+    want = brute_toxicity(rows, [(i, int(i % 4 == 0)) for i in range(160) if fold(i) != 2])
+    # Equally near examples beyond the k-th may differ, which moves a vote a little.
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in got) < 0.05
+    assert np.mean([abs(got[i] - want[i]) < 1e-3 for i in got]) > 0.95
+
+
+def test_toxicity_of_awkward_rows(spark, docs, nothing):
+    """Nulls, clashing columns, repeated rows and ids, very long texts: one row each, equal texts equal scores."""
+    y = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(20)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    twice = docs.unionByName(docs)
+    model = toxicity.fit(twice, y)
+    rows = toxicity.scored(twice, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert toxicity.scored(twice, model).count() == 2 * docs.count()
+    by_text = {}
+    for x in rows:
+        by_text.setdefault(x.text or "", set()).add((x.score, x.predicted))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert toxicity.fit(nothing, y).index is None
 
 
 # ------------------------------------------------------------------ 8
