@@ -3,7 +3,7 @@
 A text is the average of the embeddings of its hashed byte n-grams (A-Z folded, other ASCII
 characters but letters one gap); a linear softmax over that average gives the language.  Both are
 trained by stochastic gradient descent in numpy on a bounded sample: PER_LANGUAGE rows of each
-language.  Scores are softmax probabilities under a temperature fitted on rows kept
+language, LEARNED in all; the number of languages isn't bounded.  Scores are softmax probabilities under a temperature fitted on rows kept
 apart.  As softmax must choose some language, a second signal tells texts of other languages and
 gibberish: the share of a text's three-byte grams that no learned text holds, drawn towards the
 usual share in short texts.  A text is rejected if its score is under, or that share over, the
@@ -11,12 +11,14 @@ threshold beyond which REJECT_SHARE of the calibration rows are; nothing else bo
 calibrated on the rows kept apart, unseen shares on all learned rows, each against the others.
 
 As the score is linear in the average, embeddings times output weights is one table with a
-row for each bucket, and scoring is a gather and a sum for each text, over the whole text.
+row for each bucket (kept apart if there are more languages than dimensions), and scoring is a gather and a sum for each
+text, over the whole text.
 
 Contract of `identified`: null texts and texts without a letter get `und`, score 0 and are
 rejected; no labelled row at all: everything is `und`, and only texts without a letter are rejected; equal texts get equal results, so do
 repeated rows; rows with null language are never learned from; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+result; an id with several texts of one language is learned from one of them (least hash); equally likely languages: the one
+that sorts first; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from .sampling import HELD_OUT, bounded_sample, fold
 from .shared import documents
 from .textcore import chunks, text_buffers, trimmed
 
-#: Labelled rows of each language that are learned from (at most), and languages (at most).
+#: Labelled rows that are learned from, at most: of each language, and of all (with very many languages each has fewer).
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 500
+LEARNED = 20_000
 BUCKETS = 1 << 15
 DIMENSION = 16
 GRAMS = (2, 3, 4)
@@ -107,13 +109,14 @@ def has_letter(raw: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # (BUCKETS, languages): embeddings times output weights
+    table: np.ndarray  # (BUCKETS, languages): embeddings times output weights; with `head`, embeddings alone
     bias: np.ndarray
     temperature: float
     threshold: float
     seen: np.ndarray | None = None  # a bit for each three-byte gram
     usual: float = 0.0  # share of unseen grams in a learned text, by the others
     most_unseen: float = 1.0
+    head: np.ndarray | None = None  # (DIMENSION, languages) output weights
 
     def unseen(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Share of unseen grams of each text, beside USUAL_GRAMS usual ones."""
@@ -127,14 +130,15 @@ class LanguageModel:
 
     def scores(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total, count = row_sums(self.table, raw, ends)
-        z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        mean = total / np.maximum(count, 1)[:, None]
+        z = ((mean if self.head is None else mean @ self.head) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int,
-          epochs: int = 8, least_steps: int = 300, rate: float = 8.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """SGD on (buckets, weights) rows: the table of embeddings times output weights, and the bias."""
+          epochs: int = 8, least_steps: int = 300, rate: float = 8.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SGD on (buckets, weights) rows: the embeddings, the output weights and the bias."""
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((BUCKETS, DIMENSION)) * 0.1).astype(np.float64)
     out = rng.standard_normal((DIMENSION, n_labels)) * 0.5
@@ -162,7 +166,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_l
             out -= step * (mean.T @ error)
             bias -= 0.1 * step * error.sum(axis=0)
             np.subtract.at(emb, index, step * weight[:, None] * back[owner])
-    return emb @ out, bias
+    return emb, out, bias
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,21 +209,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """Learns from at most per_language labelled rows of each language outside the held-out fold."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col(text_col).isNotNull() & (fold("id") != HELD_OUT))
-    drawn, counts = bounded_sample(labelled, "id", "lang", per_language)
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    drawn, counts = bounded_sample(labelled, "id", "lang", per_language, LEARNED)
     languages = sorted(counts)
     if not drawn:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     spark = df.sparkSession
-    ids = spark.createDataFrame(sorted({i for i, _ in drawn}), "long").toDF("pick")
+    picked = spark.createDataFrame(drawn, "pick long, of string")
     texts = (
-        df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .join(F.broadcast(ids), F.col("id") == F.col("pick"), "left_semi")
-        .where("lang is not null and text is not null")
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        .join(F.broadcast(picked), (F.col("id") == F.col("pick")) & (F.col("lang") == F.col("of")), "left_semi")
+        .where("text is not null")
+        .groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
     rows = texts.mapInArrow(_sparse, "id long, lang string, buckets binary, shares binary, grams binary, times binary").toPandas()
-    rows = rows.drop_duplicates().sort_values(["id", "lang"], kind="stable")
+    rows = rows.sort_values(["id", "lang"], kind="stable")
     rows = rows[rows["buckets"].str.len() > 0]
     features = [(np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(s, "<f4").astype(np.float64))
                 for b, s in zip(rows["buckets"], rows["shares"], strict=True)]
@@ -227,9 +230,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     labels = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     apart = np.arange(len(features)) % 4 == 3 if len(features) >= 8 else np.zeros(len(features), dtype=bool)
-    table, bias = train([f for f, x in zip(features, apart, strict=True) if not x], labels[~apart], len(languages))
+    emb, out, bias = train([f for f, x in zip(features, apart, strict=True) if not x], labels[~apart], len(languages))
     check = np.flatnonzero(apart) if apart.any() else np.arange(len(features))
-    z = np.array([(table[features[i][0]] * features[i][1][:, None]).sum(axis=0) for i in check]) + bias
+    z = np.array([(emb[features[i][0]] * features[i][1][:, None]).sum(axis=0) for i in check]) @ out + bias
     own = labels[check]
 
     def likelihood(t: float) -> float:
@@ -243,7 +246,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     distinct = rows.drop_duplicates(["grams", "times"])  # a copy would hide what is rare
     seen = seen_grams([(np.frombuffer(g, "<u4"), np.frombuffer(t, "<u4").astype(np.int64))
                        for g, t in zip(distinct["grams"], distinct["times"], strict=True)])
-    return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold, *seen)
+    table, head = (emb @ out, None) if len(languages) <= DIMENSION else (emb, out)
+    return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold, *seen, head)
 
 
 def identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

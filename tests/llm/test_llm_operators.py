@@ -305,6 +305,49 @@ def test_language_never_sees_held_out_rows(spark):
     assert a.languages == b.languages and np.array_equal(a.table, b.table)
 
 
+def test_language_of_many_languages(spark):
+    """A thousand languages of four texts each, more than the model has dimensions."""
+    def word(i):
+        return "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:03d}")
+
+    rows = [(4 * i + j, f"{word(i)} {word(i)}x{j} {word(i)}", f"l{i:03d}") for i in range(1000) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(df, per_language=2)
+    assert len(model.languages) == 1000 and model.head is not None
+    got = language.identified(df, model).join(df.select("doc_id", "lang"), "doc_id")
+    assert got.count() == 4000 and got.where("lang = lang_pred").count() > 400  # a guess gets 4
+
+
+def test_language_scores_like_brute_force(spark, docs):
+    """Averages, softmax and rejection by plain loops, on awkward and repeated rows; equal texts get equal results."""
+    model = language.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    fold = [97 + b - 65 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)]
+    k = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
+
+    def scored(t):
+        raw = [fold[b] for b in (t or "").encode()]
+        total, count = np.zeros(len(model.languages)), 0
+        for n in (2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                code = sum(raw[i + j] << (8 * j) for j in range(n))
+                total += model.table[(code * k[n] & 0xFFFFFFFF) >> 17]
+                count += 1
+        z = (total / max(count, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        grams = [raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16 for i in range(len(raw) - 2)]
+        new = sum(not model.seen[g >> 3] >> (g & 7) & 1 for g in grams)
+        unseen = (new + language.USUAL_GRAMS * model.usual) / (len(grams) + language.USUAL_GRAMS)
+        if not any(c.isalpha() for c in t or ""):
+            return "und", 0.0, True
+        return model.languages[int(p.argmax())], float(p.max()), bool(p.max() < model.threshold or unseen > model.most_unseen)
+
+    rows = language.identified(docs.unionByName(docs), model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    want = {t: scored(t) for t in {r.text for r in rows}}
+    for r in rows:
+        assert (r.lang_pred, r.rejected) == (want[r.text][0], want[r.text][2]) and abs(r.score - want[r.text][1]) < 1e-5
+
+
 # ------------------------------------------------------------------ 6
 
 

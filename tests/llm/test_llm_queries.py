@@ -43,13 +43,59 @@ def test_op5_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
 
 
-def test_op6_op7_op10_shapes(spark, rows):
-    n = len(rows)
-    assert QUERIES["op6_media"](spark, DATA).count() == n
+def test_op6(spark, rows):
+    """Payloads padded, stored and measured by hand."""
+    import hashlib
+    import struct
+
+    got = {r.doc_id: r for r in QUERIES["op6_media"](spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(576, (len(raw) + 575) // 576 * 576) - len(raw))
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (
+            len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest())
+        assert r.feature.startswith(f"audio/wav;bits=8;channels=1;rate=8000;frames={len(payload)};")
+
+
+def test_op7_shape(spark, rows):
     tox = QUERIES["op7_toxicity"](spark, DATA).collect()
-    assert len(tox) == n and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in tox)
-    mix = QUERIES["op10_mixing"](spark, DATA).collect()
-    assert len({(r.slot, r.place) for r in mix}) == n == len({r.doc_id for r in mix})
+    assert len(tox) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in tox)
+
+
+def test_op10(spark, db):
+    """The order of blocks by a simulation, slot by slot, of earliest deadlines first among the released."""
+    from fractions import Fraction
+    from math import ceil, floor, isqrt
+
+    from cadenza.llm import mixing
+
+    sizes = dict(db.execute("SELECT source, count(*) FROM documents GROUP BY 1").fetchall())
+    share = mixing.shares({s: n**0.5 for s, n in sizes.items()}, mixing.PERIOD)
+    assert sum(share.values()) == mixing.PERIOD
+    total = sum(n**0.5 for n in sizes.values())
+    assert all(abs(share[s] - n**0.5 / total * mixing.PERIOD) < 1 for s, n in sizes.items()) and isqrt(4) == 2
+    got = QUERIES["op10_mixing"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(x[0] for x in db.execute("SELECT doc_id FROM documents").fetchall())
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.source, r.block), []).append(r)
+    last = {s: max(b for x, b in blocks if x == s) for s in sizes}
+    for (s, b), held in blocks.items():
+        assert sorted(r.place for r in held) == list(range(mixing.BLOCK_DOCS if b < last[s] else sizes[s] - b * mixing.BLOCK_DOCS))
+        assert len({(r.slot, r.release, r.deadline) for r in held}) == 1
+    at = {(s, b): held[0] for (s, b), held in blocks.items()}
+    names = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    weight, done = {s: Fraction(share[s], mixing.PERIOD) for s in names}, dict.fromkeys(names, 0)
+    for slot in range(max(r.slot for r in got) + 1):
+        ready = [(ceil((done[s] + 1) / weight[s]), i, s) for i, s in enumerate(names) if floor(done[s] / weight[s]) <= slot]
+        deadline, _, s = min(ready)
+        if (s, done[s]) in at:
+            r = at[s, done[s]]
+            assert (r.slot, r.release, r.deadline) == (slot, floor(done[s] / weight[s]), deadline)
+        done[s] += 1
 
 
 def test_op9(spark, rows):
