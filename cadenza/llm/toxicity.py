@@ -45,7 +45,9 @@ SURE = 25.0
 NEIGHBOURS = 24
 BLOCK = 50
 #: Terms of so many examples are kept as matrix rows.
-COMMON = 64
+COMMON = 32
+#: Texts searched for together.
+QUERIES = 128
 THRESHOLD = 0.3
 
 
@@ -149,41 +151,51 @@ class BlockMaxIndex:
         self.entry_most = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0, np.float32)
         self.entry = np.searchsorted(cell[new], np.arange(columns + 1) * self.blocks).astype(np.int64)
 
-    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(similarities, examples) of the k best with similarity over 0, by similarity, ties by example."""
+    def nearest(self, query: np.ndarray, columns: np.ndarray, weights: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, similarity, example) of each query's k best with similarity over 0, by query and similarity, ties by example.
+
+        query, columns, weights: the vectors of all queries, ascending by query; blocks are read for all queries that need them together.
+        """
         weights = weights.astype(np.float32)
         row = self.dense[columns]
         in_matrix = row >= 0
-        row, row_weight = row[in_matrix], weights[in_matrix]
-        columns, weights = columns[~in_matrix], weights[~in_matrix]
+        vectors = np.zeros((queries, self.matrix.shape[1]), dtype=np.float32)
+        vectors[query[in_matrix], row[in_matrix]] = weights[in_matrix]
+        query, columns, weights = query[~in_matrix], columns[~in_matrix], weights[~in_matrix]
         size = self.entry[columns + 1] - self.entry[columns]
         entries = _ranges(self.entry[columns], size)
-        weight = np.repeat(weights, size)
-        where = self.entry_block[entries]
-        bounds = np.bincount(where, weight * self.entry_most[entries], minlength=self.blocks) + row_weight @ self.matrix_most[row]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        sims = np.zeros(self.blocks * self.block, dtype=np.float32)
-        best, at, step = np.zeros(0, np.int64), 0, 4
-        while at < len(order):
-            floor = sims[best[-1]] if len(best) == k else 0.0
-            take = order[at : at + step]
-            take = take[bounds[take] * 1.0001 + 1e-6 >= floor]
-            if not len(take):
+        weight, owner = np.repeat(weights, size), np.repeat(query, size)
+        cell = owner * self.blocks + self.entry_block[entries]
+        bounds = vectors @ self.matrix_most
+        bounds += np.bincount(cell, weight * self.entry_most[entries], minlength=queries * self.blocks).reshape(queries, -1)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(self.blocks)[None, :], axis=1)
+        width = self.blocks * self.block
+        sims = np.zeros((queries, width), dtype=np.float32)
+        at, step, floor = 0, 4, np.zeros(queries, dtype=np.float32)
+        while at < self.blocks:
+            need = (place >= at) & (place < at + step) & (bounds > 0) & (bounds * 1.0001 + 1e-6 >= floor[:, None])
+            if not need.any():
                 break
-            at, step = at + step, 2 * step
-            read = np.zeros(self.blocks, dtype=bool)
-            read[take] = True
-            some = read[where]
-            own, some_weight = entries[some], weight[some]
+            some = np.flatnonzero(need.ravel()[cell])
+            own = entries[some]
             size = self.post[own + 1] - self.post[own]
             posts = _ranges(self.post[own], size)
-            sims += np.bincount(self.example[posts], np.repeat(some_weight, size) * self.weight[posts], minlength=len(sims)).astype(np.float32)
-            for b in take:
-                sims[b * self.block : (b + 1) * self.block] += row_weight @ self.matrix[b, row]
-            best = np.argsort(-sims, kind="stable")[:k]
-            best = best[sims[best] > 0]
-        return sims[best].astype(np.float64), best
+            where = np.repeat(owner[some] * width, size) + self.example[posts]
+            sims += np.bincount(where, np.repeat(weight[some], size) * self.weight[posts], minlength=queries * width).reshape(queries, width).astype(np.float32)
+            for b in np.flatnonzero(need.any(axis=0)):
+                who = np.flatnonzero(need[:, b])
+                sims[who, b * self.block : (b + 1) * self.block] += vectors[who] @ self.matrix[b]
+            at, step = at + step, 2 * step
+            if width > k:
+                floor = np.partition(sims, width - k, axis=1)[:, width - k]
+        query, example = np.nonzero((sims >= floor[:, None]) & (sims > 0))
+        found = sims[query, example]
+        order = np.lexsort((example, -found, query))
+        query, found, example = query[order], found[order], example[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k  # examples as near as the k-th come by number
+        return query[keep], found[keep].astype(np.float64), example[keep]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,32 +222,39 @@ class ToxicityModel:
     example_ids: np.ndarray | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
-    def vote(self, columns: np.ndarray, own: int = -1) -> tuple[float, np.ndarray]:
-        """Distance-weighted share of label 1 among the nearest; own: an example to leave out."""
+    def votes(self, query: np.ndarray, columns: np.ndarray, queries: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distance-weighted share of label 1 among each query's nearest (NaN if it has none), and (query, example) of those.
+
+        own: query n is example own + n, which doesn't vote for itself."""
         weight = self.weight[columns]
-        norm = float(np.sqrt(weight @ weight))
-        if norm == 0:
-            return self.none, np.zeros(0, np.int64)
-        sims, found = self.index.nearest(columns, weight / norm, NEIGHBOURS + (own >= 0))
-        if own >= 0:
-            sims, found = sims[found != own], found[found != own]
+        norm = np.sqrt(np.bincount(query, weight**2, minlength=queries))
+        query, sims, found = self.index.nearest(query, columns, weight / norm[query], queries, NEIGHBOURS + (own is not None))
+        if own is not None:
+            other = query + own != found
+            query, sims, found = query[other], sims[other], found[other]
         near = np.minimum(sims, 1.0)
         close = near**3 / (1.05 - near) * self.stands_for[found]
-        total = float(close.sum())
-        return (float(close @ self.label[found]) / total if total > 1e-15 else self.none), found
-
-    def score(self, columns: np.ndarray) -> tuple[float, list[int]]:
-        raw, found = self.vote(columns)
-        if not len(found):
-            return self.none, []
-        return float(np.interp(raw, *self.knots)), self.example_ids[found[:3]].tolist()
-
-    def scores(self, part: pa.RecordBatch) -> list[tuple[float, list[int]]]:
+        total = np.bincount(query, close, minlength=queries)
+        up = np.bincount(query, close * self.label[found], minlength=queries)
+        return np.where(total > 1e-15, up / np.maximum(total, 1e-300), np.nan), query, found
+
+    def scores(self, part: pa.RecordBatch) -> tuple[np.ndarray, list[list[int]]]:
+        """Score and evidence of each text."""
+        n = part.num_rows
+        score, evidence = np.full(n, self.none), [[] for _ in range(n)]
         if self.index is None:
-            return [(self.none, [])] * part.num_rows
+            return score, evidence
         rows, columns = self.vocabulary.columns(part)
-        cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        return [self.score(columns[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for a in range(0, n, QUERIES):
+            m = min(QUERIES, n - a)
+            lo, hi = np.searchsorted(rows, [a, a + m])
+            raw, query, found = self.votes(rows[lo:hi] - a, columns[lo:hi], m)
+            known = ~np.isnan(raw)
+            score[a : a + m][known] = np.interp(raw[known], *self.knots)
+            first = np.arange(len(query)) - np.searchsorted(query, query) < 3
+            for q, i in zip(query[first].tolist(), self.example_ids[found[first]].tolist(), strict=True):
+                evidence[a + q].append(i)
+        return score, evidence
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +361,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     stands = {y: counts[y] / max(1, int((label[chosen] == y).sum())) for y in (0, 1)}
     model = ToxicityModel(none, vocabulary, weight, BlockMaxIndex(example, column, weight[column] / norm[example], vocabulary.size, len(full)),
                           label[full].astype(float), np.array([stands[label[i]] for i in full]), rows["id"].to_numpy()[full])
-    raw = np.array([model.vote(own[i], n)[0] for n, i in enumerate(full)])
-    model.knots = monotone(raw, model.label, model.stands_for)
+    raw = []
+    for a in range(0, len(full), QUERIES):
+        lo, hi = np.searchsorted(example, [a, a + QUERIES])
+        raw.append(model.votes(example[lo:hi] - a, column[lo:hi], min(QUERIES, len(full) - a), a)[0])
+    raw = np.concatenate(raw)
+    model.knots = monotone(np.where(np.isnan(raw), none, raw), model.label, model.stands_for)
     return model
 
 
@@ -356,11 +379,10 @@ def scored(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col
         m = held.value
         for batch in batches:
             for part in chunks(batch):
-                found = m.scores(part)
-                score = np.array([s for s, _ in found], dtype=float)
+                score, evidence = m.scores(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)),
-                     pa.array([e for _, e in found], pa.list_(pa.int64()))],
+                     pa.array(evidence, pa.list_(pa.int64()))],
                     names=["id", "score", "predicted", "evidence"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

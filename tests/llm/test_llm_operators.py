@@ -431,7 +431,10 @@ def test_block_max_search_is_exact(raw, k):
     want = [s for s, _ in sorted(((s, i) for s, i in sims if s > 0), key=lambda x: (-x[0], x[1]))[:k]]
     for common in (2, 5, 10**9):
         index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat, strict=True)), 13, len(vectors), block=3, common=common)
-        got, at = index.nearest(np.array(list(query)), np.array(list(query.values())), k)
+        again = [np.array(list(query)) for _ in range(3)]  # three equal queries at once
+        who, got, at = index.nearest(np.repeat(np.arange(3), len(query)), np.concatenate(again), np.array(list(query.values()) * 3), 3, k)
+        assert (got[who == 0] == got[who == 2]).all() and (at[who == 0] == at[who == 2]).all()
+        got, at = got[who == 1], at[who == 1]
         assert len(got) == len(want) and np.allclose(got, want, atol=1e-5)
         assert np.allclose([dict(sims_by(sims))[i] for i in at.tolist()], got, atol=1e-5)
 
