@@ -134,8 +134,43 @@ def test_substring_periodic_and_repeated_ids(spark):
 
 
 def test_factors_are_greedy():
-    at = [(3, 7, 10), (4, 7, 11), (5, 7, 12), (6, 9, 0), (20, 9, 1)]
-    assert substring_dedup.parse(at, 5) == [(3, 7, 7, 10), (6, 5, 9, 0), (20, 5, 9, 1)]
+    """A factor goes on as long as words are equal; windows that stick out of it are looked up; clashes make no factor."""
+    words = lambda t: t.encode().split()
+    doc = words("a b c d e f g h i j k l m n o p")
+    blocks = substring_dedup.Blocks([(7, 0, b"z z a b c d e f"), (9, 2, b"e f g h i j k l q"), (4, 0, b"m n o x")])
+    assert blocks.at(9, 2 * substring_dedup.SLICE + 1) == (words("e f g h i j k l q"), 1)
+    at = [(i, 7, 2 + i) for i in range(3)] + [(i, 9, 2 * substring_dedup.SLICE + i - 4) for i in range(4, 9)] + [(12, 4, 0)]
+    assert substring_dedup.parse(doc, 1, at, blocks, 4) == [(0, 6, 7, 2), (4, 8, 9, 2 * substring_dedup.SLICE)]
+    twice = words("u v w u v w u v w")
+    assert substring_dedup.parse(twice, 1, [(0, 1, 3), (3, 1, 0), (4, 1, 1)], substring_dedup.Blocks([]), 3) == [(0, 6, 1, 3), (4, 5, 1, 1)]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "dd"]), max_size=40), max_size=4), st.integers(2, 6))
+@settings(max_examples=60, deadline=None)
+def test_factors_cover_what_repeats(texts, k):
+    """Parsing with first and last places covers exactly the words of repeated windows."""
+    from collections import defaultdict
+
+    docs = [[w.encode() for w in t] for t in texts]
+    places = defaultdict(list)
+    for no, w in enumerate(docs):
+        for i in range(len(w) - k + 1):
+            places[tuple(w[i : i + k])].append((no, i))
+    want = [x[2] for x in sorted(brute.substring([(i, " ".join(t)) for i, t in enumerate(texts)], k))]
+    for no, w in enumerate(docs):
+        at, slices = [], []
+        for i in range(len(w) - k + 1):
+            held = places[tuple(w[i : i + k])]
+            if len(held) > 1:
+                at.append((i, *(held[0] if held[0] != (no, i) else held[-1])))
+        for other, u in enumerate(docs):
+            n = substring_dedup.SLICE
+            slices += [(other, j, b" ".join(u[j * n : (j + 1) * n + k - 1])) for j in range(-(-len(u) // n))]
+        factors = substring_dedup.parse(w, no, at, substring_dedup.Blocks(slices), k)
+        gone = {x for f, n, _, _ in factors for x in range(f, f + n)}
+        assert len(gone) == want[no]
+        for f, n, other, word in factors:
+            assert w[f : f + n] == docs[other][word : word + n] and (other, word) != (no, f)
 
 
 # ------------------------------------------------------------------ 3
