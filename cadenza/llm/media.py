@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -30,13 +31,28 @@ from .shared import Scratch, documents
 from .textcore import chunks
 
 UNIT = 576
+#: Bytes that are read or inflated at once.
+PIECE = 1 << 16
 RATE = 8000
 _FMT = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
+class Marks:
+    """Places of the markers that end or confirm a file, found in the same pass as the magic bytes."""
+
+    def __init__(self, places: dict[bytes, list[int]]):
+        self.places = places
+
+    def first(self, marker: bytes, at: int, stop: int | None = None) -> int:
+        """The marker's first place from `at` on (and before `stop`), or -1."""
+        held = self.places.get(marker, [])
+        i = bisect_left(held, at)
+        return held[i] if i < len(held) and (stop is None or held[i] + len(marker) <= stop) else -1
+
+
 # ---------------------------------------------------------------- validators: end of the file that starts at `at`, or None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 12 or b[at + 8 : at + 12] not in (b"WAVE", b"AVI ", b"WEBP"):
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -52,7 +68,7 @@ def _riff(b: bytes, at: int) -> int | None:
     return end if seen and pos in (end, end + 1) else None
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, marks: Marks) -> int | None:
     pos, first = at + 8, True
     while pos + 12 <= len(b):
         size, kind = int.from_bytes(b[pos : pos + 4], "big"), b[pos + 4 : pos + 8]
@@ -67,7 +83,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 14:
         return None
     flags = b[at + 10]
@@ -89,14 +105,14 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> int | None:
     pos = at + 2
     while pos + 4 <= len(b):
         if b[pos] != 0xFF:
             return None
         mark = b[pos + 1]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = marks.first(b"\xff\xd9", pos)
             return end + 2 if end >= 0 else None
         if mark < 0xC0 or mark == 0xFF:
             return None
@@ -107,7 +123,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 30:
         return None
     size, offset, header = (int.from_bytes(b[at + i : at + i + 4], "little") for i in (2, 10, 14))
@@ -116,27 +132,31 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if ok and 14 + header <= offset <= size and at + size <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
-    inflate = zlib.decompressobj(31)
+    inflate, pos, rest = zlib.decompressobj(31), at, b""
     try:
-        pos = at
-        while not inflate.eof and pos < len(b):
-            inflate.decompress(b[pos : pos + 65536])
-            pos += 65536
+        while not inflate.eof:
+            if not rest:
+                if pos >= len(b):
+                    return None
+                rest = b[pos : pos + PIECE]
+                pos += len(rest)
+            inflate.decompress(rest, PIECE)  # at most PIECE bytes of output at once
+            rest = inflate.unconsumed_tail
     except zlib.error:
         return None
-    return min(pos, len(b)) - len(inflate.unused_data) if inflate.eof else None
+    return pos - len(inflate.unused_data)
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.first(b"%%EOF", at)
+    return end + 5 if end >= 0 and marks.first(b"startxref", at, end) >= 0 and b[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.first(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset = (int.from_bytes(b[end + i : end + i + 4], "little") for i in (12, 16))
@@ -144,7 +164,7 @@ def _zip(b: bytes, at: int) -> int | None:
     return stop if offset + size == end - at and b[at + offset : at + offset + 4] == b"PK\x01\x02" and stop <= len(b) else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: bytes, at: int, marks: Marks) -> int | None:
     pos = at
     while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
         n = b[pos + 26]
@@ -153,7 +173,7 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 #: type, magic bytes, validator (fixed values of the public formats)
-FORMATS: list[tuple[str, bytes, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[str, bytes, Callable[[bytes, int, Marks], int | None]]] = [
     ("riff", b"RIFF", _riff),
     ("image/png", b"\x89PNG\r\n\x1a\n", _png),
     ("image/gif", b"GIF87a", _gif),
@@ -165,6 +185,8 @@ FORMATS: list[tuple[str, bytes, Callable[[bytes, int], int | None]]] = [
     ("application/zip", b"PK\x03\x04", _zip),
     ("application/ogg", b"OggS", _ogg),
 ]
+#: Markers that validators look for behind the magic bytes.
+MARKERS = [b"\xff\xd9", b"%%EOF", b"startxref", b"PK\x05\x06"]
 _RIFF_TYPES = {b"WAVE": "audio/wav", b"AVI ": "video/avi", b"WEBP": "image/webp"}
 
 
@@ -173,15 +195,24 @@ class Sniffer:
         self.automaton = ahocorasick.Automaton()
         for i, (_, magic, _) in enumerate(FORMATS):
             self.automaton.add_word(magic.decode("latin-1"), i)
+        for i, marker in enumerate(MARKERS):
+            self.automaton.add_word(marker.decode("latin-1"), -1 - i)
         self.automaton.make_automaton()
 
     def media(self, raw: bytes) -> list[tuple[int, int, str]]:
         """(start, end, type) of every structurally valid file; one inside an earlier one's container is kept too."""
-        found = []
+        found, heads = [], []
+        places: dict[bytes, list[int]] = {m: [] for m in MARKERS}
         for last, i in self.automaton.iter(raw.decode("latin-1")):
-            kind, magic, validate = FORMATS[i]
-            at = last - len(magic) + 1
-            end = validate(raw, at)
+            if i >= 0:
+                heads.append((last - len(FORMATS[i][1]) + 1, i))
+            else:
+                marker = MARKERS[-1 - i]
+                places[marker].append(last - len(marker) + 1)
+        marks = Marks(places)
+        for at, i in heads:
+            kind, _, validate = FORMATS[i]
+            end = validate(raw, at, marks)
             if end is not None:
                 found.append((at, end, _RIFF_TYPES[raw[at + 8 : at + 12]] if kind == "riff" else kind))
         return sorted(found)

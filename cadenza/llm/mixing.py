@@ -15,7 +15,7 @@ the others keep their order, so every document is placed exactly once.
 
 Documents of a source are taken in order of a hash of their id.  Their rank within the source
 never needs a source in one task: rows are counted in (source, hash range) cells, cells
-are summed up in order, and rows are ranked within their cell.
+are summed up in order in two levels, and rows are ranked within their cell.
 
 Contract of `mixed`: a null source is a source of its own; a source without a weight gets weight
 `other` (default: the least given one); text may be null or of any length, it isn't read; repeated
@@ -43,6 +43,8 @@ SLOTS_A_SOURCE = 5
 BROADCAST_SLOTS = 100_000
 #: Rows ranked together in one (source, hash range) cell, on average, at most.
 CELL_ROWS = 2_000
+#: Cells that are summed up in one task.
+CELLS = 4_096
 
 
 def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -102,11 +104,16 @@ def ranked_in_source(rows: DataFrame, scratch: Scratch) -> DataFrame:
     top = F.shiftrightunsigned("h", 33)
     flipped = F.when(top >= 2**30, top - 2**30).otherwise(top + 2**30)
     rows = scratch.keep(rows.withColumn("cell", F.floor(flipped * F.lit(cells) / F.lit(2.0**31)).cast("long")), "ranks")
-    counts = rows.groupBy("src", "cell").agg(F.count("*").alias("n"))
-    before = counts.withColumn(
-        "before",
-        F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select(F.col("src").alias("c_src"), F.col("cell").alias("c_cell"), "before")
+    # Rows before a cell: those of the earlier stretches of CELLS cells, and those before it in its own stretch.
+    counts = rows.groupBy("src", "cell").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("cell") / F.lit(CELLS)))
+    counts = scratch.keep(counts, "cells")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = counts.groupBy("src", "stretch").agg(F.sum("n").alias("n")).select(
+        F.col("src").alias("s_src"), F.col("stretch").alias("s_stretch"), upto(Window.partitionBy("src").orderBy("stretch")).alias("earlier"))
+    before = (
+        counts.withColumn("own", upto(Window.partitionBy("src", "stretch").orderBy("cell")))
+        .join(stretches, F.col("src").eqNullSafe(F.col("s_src")) & (F.col("stretch") == F.col("s_stretch")))
+        .select(F.col("src").alias("c_src"), F.col("cell").alias("c_cell"), (F.col("own") + F.col("earlier")).alias("before")))
     inner = Window.partitionBy("src", "cell").orderBy("h", F.col("id").asc_nulls_first())
     return (
         rows.withColumn("r", F.row_number().over(inner) - 1)

@@ -2,12 +2,13 @@
 
 Intermediate tables are written to the folder that the cluster names in
 spark.checkpoint.dir (shared by driver and executors), so a lost executor costs one task
-and never a lineage.  Only where that setting is missing, as in tests, a folder of the
-driver's own is made and recorded in the session.
+and never a lineage.  Only where that setting is missing and everything runs in one process, as in tests, a folder
+of the driver's own is made and recorded in the session; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     key = "spark.checkpoint.dir"
     named = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{key} must name a folder that the driver and all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set(key, named)
     return named.rstrip("/")

@@ -343,15 +343,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     for i in range(len(label)):
         with_term[label[i]][columns(i)] += 1
     relevance = np.clip((likelihood_ratio(with_term[1], with_term[0], size[1], size[0]) / SURE) ** 2, FLOOR, 1.0)
-    found = texts.mapInArrow(_document_frequencies(spark.sparkContext.broadcast(vocabulary)), "c int, n long").groupBy("c").agg(
+    rows = rows[["id", "place"]]
+    own = {int(i): columns(int(i)) for i in chosen}
+    del terms, times, where
+    held = spark.sparkContext.broadcast(vocabulary)
+    found = texts.mapInArrow(_document_frequencies(held), "c int, n long").groupBy("c").agg(
         F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(vocabulary.size)
     frequency[found["c"].to_numpy()] = found["n"].to_numpy()
     weight = np.log((1 + df.count()) / (1 + frequency)) * relevance
     weight = np.maximum(weight, 1e-6)
+    held.destroy()
+    del found, frequency, with_term, relevance
 
     # Neighbours in the index share their strongest terms, which keeps block bounds low.
-    own = {int(i): columns(int(i)) for i in chosen}
     full = [int(i) for i in chosen if len(own[int(i)])]
     full.sort(key=lambda i: (label[i], int(own[i][np.argmax(weight[own[i]])]), rows["place"].iloc[i]))
     size_of = np.array([len(own[i]) for i in full])

@@ -383,6 +383,17 @@ def test_language_scores_like_brute_force(spark, docs):
         assert (r.lang_pred, r.rejected) == (want[r.text][0], want[r.text][2]) and abs(r.score - want[r.text][1]) < 1e-5
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from cadenza.llm import shared
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
+
+
 # ------------------------------------------------------------------ 6
 
 
@@ -419,6 +430,21 @@ def test_sniffing_corrects_and_carves(spark):
     assert got[3].embedded == [] and got[4].sniffed_type == "x" and got[5].sniffed_type is None and not got[6].type_corrected
 
 
+def test_media_scans_are_linear():
+    """Thousands of heads without an end, and an inflating stream, are read once."""
+    import time
+    import zlib as z
+
+    s = media.Sniffer()
+    for head in (b"%PDF-1", b"PK\x03\x04", b"\xff\xd8\xff\xda"):
+        start = time.time()
+        assert s.media((head + b"x" * 30) * 40_000) == []
+        assert time.time() - start < 5
+    packer = z.compressobj(9, z.DEFLATED, 31)
+    bomb = packer.compress(b"\0" * (1 << 26)) + packer.flush()
+    assert s.media(b"lead" + bomb + b"tail") == [(4, 4 + len(bomb), "application/gzip")]
+
+
 # ------------------------------------------------------------------ 7
 
 
