@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING = "<missing>"
 
-# Latin letters with marks and their plain forms.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-
 # Keyword families in order of precedence, each with the substrings that name it.
 FAMILIES = {
     "indoor_virtual_cycling": [
@@ -33,19 +32,34 @@ OTHER = "other_unknown"
 
 #: Paths that give away a person or machine (fixed values).
 PRIVATE_PATHS = [
-    ("windows_path", r"(?i)[a-z]:\\[^\s]"),
-    ("unc_path", r"\\\\[A-Za-z0-9._-]+\\"),
-    ("posix_home", r"/(home|Users)/[^/\s]+"),
-    ("file_uri", r"(?i)file://"),
+    ("windows_path", r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/]"),
+    ("unc_path", r"(?<![\\])\\\\[A-Za-z0-9_.\-$]+[\\/]"),
+    ("posix_home", r"(?<![A-Za-z0-9_])/(?:home|Users|mnt)/[A-Za-z0-9_.\-]+/"),
+    ("file_uri", r"(?i)\bfile://"),
 ]
-#: Column names that must not be published, and endings that betray one (fixed values).
-PRIVATE_NAMES = ["user_id", "email", "name", "phone", "address", "latitude", "longitude", "gender", "birth_date"]
-PRIVATE_ENDINGS = ["_user_id", "_email", "_name", "_phone", "_address", "_path"]
+#: Column names, once normalised, that must not be published, and endings that betray one (fixed values).
+PRIVATE_NAMES = [
+    "activity_id", "athlete_id", "byte_offset", "csv_local_datetime", "csv_relative_path", "end_timestamp", "file_path", "gender",
+    "latitude", "longitude", "metadata_ride_index", "metadata_utc_datetime", "origin_time", "record_index", "session_id", "session_key",
+    "source_key", "source_path", "start_timestamp", "timestamp", "user_id", "user_index",
+]
+PRIVATE_ENDINGS = ["_activity_id", "_athlete_id", "_session_id", "_user_id"]
+
+
+def _decomposed(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
 
 
 def plain_text(x: Column) -> Column:
-    """Lower case, without marks on Latin letters."""
-    return F.lower(F.translate(x, _MARKED, _PLAIN))
+    """Compatibility decomposition without combining marks, in lower case; null stays null.
+
+    Spark has no Unicode normalisation, so this is a vectorised UDF that only works on values beyond ASCII."""
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else v.lower() if v.isascii() else _decomposed(v))
+
+    return plain(x)
 
 
 def keyword_family(label: Column) -> Column:
@@ -60,8 +74,8 @@ def keyword_family(label: Column) -> Column:
 
 
 def field_name(x: Column) -> Column:
-    """Lower case, runs of anything but letters and digits as one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower case without a byte order mark, runs of anything but letters and digits as one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def private_paths(x: Column) -> Column:

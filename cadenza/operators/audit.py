@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PRIVATE_ENDINGS, PRIVATE_NAMES
+from ..functions.text import PRIVATE_ENDINGS, PRIVATE_NAMES, field_name
+
+
+#: Hexadecimal digits that deal items to the parts of a set's digest.
+PARTS_HEX = 3
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,10 +44,11 @@ def job_matrix(expected: DataFrame, found: DataFrame, keys: list[str], needed: l
 
 
 def private_columns(columns: DataFrame, name: str) -> DataFrame:
-    """Adds `private`: on the list of names, or with an ending that betrays one."""
-    rule = F.col(name).isin(PRIVATE_NAMES)
+    """Adds `private`: the normalised name is on the list, or has an ending that betrays one; a null name isn't private."""
+    plain = field_name(F.coalesce(F.col(name), F.lit("")))
+    rule = plain.isin(PRIVATE_NAMES)
     for end in PRIVATE_ENDINGS:
-        rule = rule | F.col(name).endswith(end)
+        rule = rule | plain.endswith(end)
     return columns.withColumn("private", rule)
 
 
@@ -84,8 +89,12 @@ def mode_pairs(df: DataFrame, keys: list[str], mode: str, value: str, first: str
 
 
 def set_hash(df: DataFrame, by: list[str], item: Column) -> DataFrame:
-    """Digest of the sorted items of each group, each on its own line.
-
-    Items are hashed first, so a group's list holds 64 characters an item whatever their size."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(item.cast("binary"), 256))), "\n").cast("binary"), 256).alias("digest"),
-                               F.count("*").alias("items"))
+    """Digest of the multiset of items of each group (null items don't count): a tree of two levels.
+
+    Items are hashed and dealt by the first PARTS_HEX digits of their hash; a part's digest is that of its sorted hashes, a line
+    each, and the group's that of its parts' digests in order.  So a task holds one part, whatever the group's size."""
+    rows = df.select(*by, F.sha2(item.cast("binary"), 256).alias("_h")).where("_h is not null").withColumn("_p", F.substring("_h", 1, PARTS_HEX))
+    lines = lambda c: F.sha2(F.array_join(c, "\n").cast("binary"), 256)
+    parts = rows.groupBy(*by, "_p").agg(lines(F.array_sort(F.collect_list("_h"))).alias("_d"), F.count("*").alias("_n"))
+    return parts.groupBy(*by).agg(
+        lines(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"])).alias("digest"), F.sum("_n").alias("items"))

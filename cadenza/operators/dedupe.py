@@ -14,8 +14,9 @@ def fingerprint(*fields: Column) -> Column:
 
 
 def exact_groups(df: DataFrame, key: str, digest: Column) -> DataFrame:
-    """(digest, key, group_size, group_no): members of groups of two and more, groups numbered by their least key.
+    """Rows with digest, group_size and least (the group's least key, which names it): members of groups of two and more.
 
+    A null digest is in no group.  Repeated rows are members of their own.  `numbered` gives groups their numbers.
     Group sizes come from a partial aggregate; the members are joined back on the digest, a join that Spark
     splits where one group is very large."""
     rows = df.withColumn("digest", digest)
@@ -23,6 +24,13 @@ def exact_groups(df: DataFrame, key: str, digest: Column) -> DataFrame:
     return rows.join(groups, "digest")
 
 
+def numbered(members: DataFrame) -> DataFrame:
+    """(least, group_no): groups numbered from 1 by their least key, in two levels."""
+    from .hierarchy import running
+
+    return running(members.select("least").distinct(), [], "least").select("least", (F.col("before") + 1).cast("long").alias("group_no"))
+
+
 def resolved(members: DataFrame, key: str, user: str, family: str) -> DataFrame:
     """Decision and action for every member: groups of several users go, then groups of several families, else
     the least key stays."""
@@ -115,11 +123,17 @@ def best_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_b")).select(key, "_b.*")
 
 
-def even_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """n rows at even places floor((i + 0.5) N / n) of the order; all rows if there are no more than n."""
-    total = df.agg(F.count("*").alias("_n"))
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(total))
-    slot = F.floor(F.col("_i").cast("double") * n / F.col("_n"))
-    hit = lambda s: F.floor((s + 0.5) * F.col("_n") / n)
-    chosen = (hit(slot) == F.col("_i")) | (hit(slot - 1) == F.col("_i")) | (hit(slot + 1) == F.col("_i"))
-    return numbered.where(chosen | (F.col("_n") <= n)).drop("_i", "_n")
+def even_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """n rows at even places floor((i + 0.5) N / n) of the order (ties: the other columns); all rows if there are no more than n.
+
+    Rows before a value are counted in two levels, so no task sees all rows; only values that hold a place are joined back."""
+    from .hierarchy import running
+
+    places = running(df, [], order)
+    slot = lambda x: F.floor(x.cast("double") * n / F.col("total")).cast("long")
+    near = F.sequence(F.greatest(slot(F.col("before")) - 1, F.lit(0).cast("long")), slot(F.col("before") + F.col("w")) + 1)
+    held = F.filter(F.transform(near, lambda s: F.floor((s + 0.5) * F.col("total") / n)), lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("w")))
+    chosen = places.withColumn("_places", held).where((F.size("_places") > 0) | (F.col("total") <= n)).select(order, "before", "total", "_places")
+    rest = [c for c in df.columns if c != order]
+    tied = df.join(chosen, order).withColumn("_i", F.row_number().over(Window.partitionBy(order).orderBy(*(rest or [order]))) - 1 + F.col("before"))
+    return tied.where((F.col("total") <= n) | F.array_contains("_places", F.col("_i"))).select(*df.columns)

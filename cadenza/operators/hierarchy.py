@@ -94,17 +94,56 @@ def standardized(cells: DataFrame, cell: str, mix: DataFrame) -> DataFrame:
         F.avg("value").alias("macro"), F.count("*").alias("cells"))
 
 
+#: Stretches of about equal size that a group's values are cut into, and values that decide where.
+STRETCHES = 256
+SAMPLED = 16_384
+
+
+def running(df: DataFrame, by: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """(by, value, w, before, total): each distinct value, its weight (default: rows), that of smaller values, and of all.
+
+    Two levels: values are cut into STRETCHES of about equal size, stretches are summed up in one short window, and values within
+    their stretch.  Where to cut is decided on about SAMPLED values, drawn by hash, so that a plan that is run twice cuts alike;
+    results are exact.  Null values don't count; an empty table gives an empty result."""
+    rows = df.where(F.col(value).isNotNull())
+    if not by:
+        return running(rows.withColumn("_all", F.lit(0)), ["_all"], value, weight).drop("_all")
+    values = rows.groupBy(*by, value).agg((F.count("*") if weight is None else weight).alias("w"))
+    sizes = values.groupBy(*by).agg(F.sum("w").alias("total"), F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLED)).alias("_one_in"))
+    sample = values.join(sizes, by).where(F.pmod(F.xxhash64(value), F.col("_one_in")) == 0)
+    cuts = sample.groupBy(*by).agg(
+        F.percentile(value, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])).alias("_cuts"), F.first("total").alias("total"))
+    own = values.join(cuts, by).withColumn("_stretch", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = own.groupBy(*by, "_stretch").agg(F.sum("w").alias("_weight_of")).select(*by, "_stretch", F.coalesce(F.sum("_weight_of").over(earlier), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(*by, "_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return own.join(stretches, [*by, "_stretch"]).withColumn("before", F.col("_earlier") + F.coalesce(F.sum("w").over(inside), F.lit(0))).select(
+        *by, value, "w", "before", "total")
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(by, n, one column a name): the value of each rank (from 1; an expression of n)."""
+    rows = running(df, by, value).withColumnRenamed("total", "n")
+    return rows.groupBy(*by).agg(
+        F.max("n").alias("n"), *[F.min(F.when(F.col("before") + F.col("w") >= k, F.col(value))).alias(name) for name, k in ranks.items()])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """(by, n, one column a name): quantiles, linear between order statistics."""
+    place = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in levels.items()}
+    ranks = {f"_{side}_{name}": F.floor(x) + 1 if side == "a" else F.ceil(x) + 1 for name, x in place.items() for side in ("a", "b")}
+    found = order_statistics(df, by, value, ranks)
+    line = lambda name: F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (place[name] - F.floor(place[name]))
+    return found.select(*by, "n", *[line(name).alias(name) for name in levels])
+
+
 def weighted_quantile_higher(df: DataFrame, by: list[str], value: str, weight: str, p: float) -> DataFrame:
     """Least value whose cumulated weight reaches p of the total.
 
-    Weights are first summed for each distinct value, so the running sum sees distinct values only.
+    Weights are summed up in two levels (`running`), so no task holds a group.
     """
-    values = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*by)
-    reached = values.withColumn("cum", F.sum("w").over(order)).withColumn("total", F.sum("w").over(total))
-    return reached.where(F.col("cum") >= F.lit(p) * F.col("total") - F.lit(1e-12) * F.col("total")).groupBy(*by).agg(
-        F.min(value).alias("quantile"))
+    reached = running(df, by, value, F.sum(weight))
+    return reached.where(F.col("before") + F.col("w") >= F.lit(p - 1e-12) * F.col("total")).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
 def weighted_cdf(df: DataFrame, by: list[str], value: str, weight: str, thresholds: list[float]) -> DataFrame:
@@ -128,8 +167,12 @@ def mean_user_spearman(df: DataFrame, by: list[str], x: str, y: str, least: int
     keys = [*by, USER]
     ranked = average_ranks(average_ranks(df.select(*keys, x, y), keys, x, "rx"), keys, y, "ry")
     users = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.corr("rx", "ry").alias("rho"))
-    kept = users.where((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0))
+        F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"),
+        F.sum(F.col("ry") * F.col("ry")).alias("syy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
+    n = F.col("n")  # sums of ranks are exact, so a constant side has variance 0
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    rho = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(vx * vy), F.lit(0.0))
+    kept = users.withColumn("rho", rho).where((n >= least) & F.col("rho").isNotNull())
     return kept.groupBy(*by).agg(F.avg("rho").alias("spearman"), F.count("*").alias("users"))
 
 
@@ -149,13 +192,10 @@ def seed_summary(df: DataFrame, by: list[str], seed: str, value: str) -> DataFra
 
 def numeric_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, min, p10, median, p90, max; quantiles interpolate linearly between order statistics."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("low"), F.percentile(value, 0.1).alias("p10"),
-        F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), F.max(value).alias("high"))
+    return quantiles(df, by, value, {"low": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "high": 1.0})
 
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, sample standard deviation, and quantiles."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-        *[F.percentile(value, p).alias(f"p{int(100 * p):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return quantiles(df, by, value, {f"p{int(100 * p):02d}": p for p in (0.05, 0.25, 0.5, 0.75, 0.95)}).join(moments, by)

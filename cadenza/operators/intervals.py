@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 
 
 def _kth(df: DataFrame, by: list[str], value: str, k: Column, name: str) -> DataFrame:
-    """The k-th smallest value of each group, where k is an expression of n.
+    """The k-th smallest value of each group, where k is an expression of n; null values don't count."""
+    from .hierarchy import order_statistics
 
-    Equal values are counted first, so the running count sees distinct values only."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("c"))
-    run = counted.withColumn("n", F.sum("c").over(Window.partitionBy(*by))).withColumn(
-        "upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.where(F.col("upto") >= k).groupBy(*by).agg(F.min(value).alias(name), F.max("n").alias("n"))
+    return order_statistics(df, by, value, {name: k})
 
 
 def split_conformal_radius(df: DataFrame, by: list[str], residual: Column, coverage: float) -> DataFrame:

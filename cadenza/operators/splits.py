@@ -78,10 +78,10 @@ def external_split(sessions: DataFrame, user: str, family: str, namespace: str)
     """(user, adaptation): the first ceil(20 %) of each family's users by hash; chosen in one family, chosen in all."""
     pairs = sessions.select(user, family).distinct().withColumn(
         "fraction", stable_fraction_by(namespace, F.col(family), F.col(user)))
-    order = Window.partitionBy(family).orderBy("fraction", user)
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(family)))
-    return ranked.groupBy(user).agg(
-        F.max(F.col("rank") <= F.ceil(F.lit(ADAPTATION_SHARE).cast("double") * F.col("n"))).alias("adaptation"))
+    from .hierarchy import order_statistics
+
+    last = order_statistics(pairs, [family], "fraction", {"last": F.ceil(F.lit(ADAPTATION_SHARE).cast("double") * F.col("n"))})
+    return pairs.join(last, family).groupBy(user).agg(F.max(F.col("fraction") <= F.col("last")).alias("adaptation"))
 
 
 def stable_fraction_by(namespace: str, family: Column, key: Column) -> Column:
@@ -122,13 +122,18 @@ def shift_candidates(sessions: DataFrame, family: str, user: str, least_sessions
         "candidate", (F.col("sessions") >= least_sessions) & (F.col("users") >= least_users))
 
 
-def contaminated_rows(rows: DataFrame, namespace: str, session: str, origin: str, evaluation: Column,
+def contaminated_rows(rows: DataFrame, namespace: str, session: str, origin: str, partition: str, evaluation: Column,
                       ranges: list[tuple[str, float]] = USER_RANGES[:3]) -> DataFrame:
-    """A deliberate leak: rows of test sessions that aren't evaluated are hashed into the other partitions."""
+    """A deliberate leak.  Evaluated test rows stay the test; the other rows of their sessions are hashed into the other
+    partitions; training rows, and evaluated validation and calibration rows, keep theirs; all others are unused (null)."""
+    tested = rows.where((F.col(partition) == "test") & evaluation).select(session).distinct().withColumn("_tested", F.lit(True))
     fraction = row_fraction(namespace, F.col(session), F.col(origin))
     scaled = [(name, end / ranges[-1][1]) for name, end in ranges]
-    return rows.withColumn("fraction", fraction).withColumn(
-        "leak_partition", F.when(evaluation, "test").otherwise(F.coalesce(by_fraction(F.col("fraction"), scaled), F.lit(ranges[-1][0]))))
+    clean = F.when(F.col(partition) == "train", "train").when(F.col(partition).isin("validation", "calibration") & evaluation, F.col(partition))
+    hashed = F.coalesce(by_fraction(fraction, scaled), F.lit(ranges[-1][0]))
+    is_test = F.col(partition) == "test"
+    return rows.join(tested, session, "left").withColumn("leak_partition", F.when(is_test & evaluation, "test").when(
+        is_test & F.col("_tested"), hashed).when(~is_test, clean)).withColumn("contamination", is_test & ~evaluation & F.coalesce("_tested", F.lit(False))).drop("_tested")
 
 
 def nearest_distance(probes: DataFrame, anchors: DataFrame, by: list[str], t: str, limit: float) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import audits, duplicates, metrics, partitions, profiles, signals, tables
-from .base import nudged
+from .base import rounded_alike
 
 _GROUPS = (metrics, partitions, duplicates, signals, profiles, audits, tables)
 
@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: nudged(sql) for group in _GROUPS for name, (_, sql) in group.PLANS.items() if sql}
+    return {name: rounded_alike(sql) for group in _GROUPS for name, (_, sql) in group.PLANS.items() if sql}

@@ -34,8 +34,11 @@ def audit_recompute(spark, d):
     return rounded(audit.recomputed(a, b, ["regime"], "mae", 5e-6), "value_a", "value_b")
 
 
-AUDIT_RECOMPUTE = f"""WITH {EV}, s AS (SELECT regime, user_key, session_key, avg(abs(prediction - target)) AS e FROM ev GROUP BY ALL), u AS (SELECT regime, user_key, avg(e) AS e FROM s GROUP BY ALL)
-SELECT regime, round(avg(e), 6) AS value_a, round(avg(e), 6) AS value_b, TRUE AS ok FROM u GROUP BY ALL"""
+AUDIT_RECOMPUTE = f"""WITH {EV}, s AS (SELECT regime, user_key, session_key, avg(abs(prediction - target)) AS e FROM ev GROUP BY ALL), u AS (SELECT regime, user_key, avg(e) AS e FROM s GROUP BY ALL),
+a AS (SELECT regime, avg(e) AS a FROM u GROUP BY ALL),
+n AS (SELECT regime, user_key, session_key, count(*) AS n FROM ev GROUP BY ALL), ns AS (SELECT regime, user_key, count(*) AS ns FROM n GROUP BY ALL), nu AS (SELECT regime, count(*) AS nu FROM ns GROUP BY ALL),
+b AS (SELECT regime, sum(abs(prediction - target) / (nu * ns * n)) AS b FROM ev JOIN n USING (regime, user_key, session_key) JOIN ns USING (regime, user_key) JOIN nu USING (regime) GROUP BY ALL)
+SELECT regime, round(a, 6) AS value_a, round(b, 6) AS value_b, abs(a - b) <= 5e-6 AS ok FROM a JOIN b USING (regime)"""
 
 
 def job_matrix(spark, d):
@@ -53,12 +56,17 @@ SELECT c_nationkey, c_mktsegment, CASE WHEN fs IS NULL THEN 'pending' WHEN list_
 
 
 def privacy_columns(spark, d):
-    names = [(t, c) for t in ("customer", "orders", "events", "supplier") for c in table(spark, d, t).columns]
+    """The columns of all tables, and names as other tools write them."""
+    tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    names = [(t, c) for t in tables for c in table(spark, d, t).columns]
+    names += [("planted", n) for n in ("User_ID", " Session Key ", "\ufefftimestamp", "my-athlete-id", "users", "mean_hr", "Origin.Time", "ride_user_id", "user")]
     return audit.private_columns(spark.createDataFrame(names, "tab string, col string"), "col")
 
 
-PRIVACY_COLUMNS = """WITH c AS (SELECT table_name AS tab, column_name AS col FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'events', 'supplier'))
-SELECT tab, col, col IN ('user_id', 'email', 'name', 'phone', 'address', 'latitude', 'longitude', 'gender', 'birth_date') OR regexp_matches(col, '(_user_id|_email|_name|_phone|_address|_path)$') AS private FROM c"""
+PRIVACY_COLUMNS = """WITH c AS (SELECT table_name AS tab, column_name AS col FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem',
+    'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+  UNION ALL SELECT 'planted', unnest(['User_ID', ' Session Key ', chr(65279) || 'timestamp', 'my-athlete-id', 'users', 'mean_hr', 'Origin.Time', 'ride_user_id', 'user']))
+SELECT tab, col, (tab = 'events' AND col = 'user_id') OR (tab = 'planted' AND col NOT IN ('users', 'mean_hr', 'user')) AS private FROM c"""
 
 
 def k_anonymity(spark, d):
@@ -101,7 +109,9 @@ def tree_hash(spark, d):
     return audit.set_hash(p, ["p_brand"], F.concat_ws("|", F.col("p_partkey").cast("string"), "p_type"))
 
 
-TREE_HASH = "SELECT p_brand, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest, count(*) AS items FROM (SELECT p_brand, sha256(concat_ws('|', p_partkey, p_type)) AS x FROM part) GROUP BY ALL"
+TREE_HASH = """WITH x AS (SELECT p_brand, sha256(concat_ws('|', p_partkey, p_type)) AS x FROM part),
+p AS (SELECT p_brand, substr(x, 1, 3) AS p, sha256(string_agg(x, chr(10) ORDER BY x)) AS d, count(*) AS n FROM x GROUP BY ALL)
+SELECT p_brand, sha256(string_agg(d, chr(10) ORDER BY p)) AS digest, sum(n)::BIGINT AS items FROM p GROUP BY ALL"""
 
 
 def leak_optimism(spark, d):

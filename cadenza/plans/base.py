@@ -10,21 +10,29 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-#: Means of prices often lie halfway between two six-digit numbers, where the order of a sum decides; this moves them off.
-NUDGE = 1.7e-8
-
-
-def r6(c: Column | str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + NUDGE, 6)
-
-
-def nudged(sql: str) -> str:
-    """The same rounding in SQL: round(x, 6) as written in the queries' twins."""
-    return sql.replace(", 6)", f" + {NUDGE}, 6)")
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: r6(n) for n in names})
+def r6(c: Column | str, digits: int = 6) -> Column:
+    """Six digits (or fewer), by way of nine: where a mean lies halfway, the last bit of a sum would decide otherwise."""
+    return F.rint(F.rint((F.col(c) if isinstance(c, str) else c) * 1e9) / 1e9 * 10.0**digits) / 10.0**digits
+
+
+def rounded_alike(sql: str) -> str:
+    """The same arithmetic in the queries' twins, for round(x, 6) or round(x, 4) as written: engines differ in how they round decimals' halves."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + 6 : end - 1]
+        out += sql[at:start]
+        digits = inner[-1] if inner.endswith((", 4", ", 6")) else None
+        out += f"(round_even(round_even(({rounded_alike(inner[:-3])}) * 1e9, 0) / 1e9 * 1e{digits}, 0) / 1e{digits})" if digits else f"round({rounded_alike(inner)})"
+        at = end
+    return out + sql[at:]
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: r6(n, digits) for n in names})
 
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:

@@ -179,13 +179,13 @@ PROFILE_DIGEST = "SELECT vec_id, sha256(array_to_string(list_transform(embedding
 def pii_patterns(spark, d):
     """Texts with planted paths: which privacy patterns each matches."""
     t = table(spark, d, "conversations")
-    planted = F.element_at(F.array(F.lit(" C:\\Users\\x"), F.lit(" \\\\srv\\share"), F.lit(" /home/anna/data"), F.lit(" file:///etc"), F.lit("")), (F.col("conv_id") % 5 + 1).cast("int"))
+    planted = F.element_at(F.array(F.lit(" C:\\Users\\x"), F.lit(" \\\\srv\\share"), F.lit(" /home/anna/data"), F.lit(" File:///etc"), F.lit(" see C:/data/x"), F.lit(" /mnt/a/b"), F.lit(" xC:/data"), F.lit(" home/anna/x"), F.lit("")), (F.col("conv_id") % 9 + 1).cast("int"))
     return t.select("conv_id", "turn", F.array_join(private_paths(F.concat("text", planted)), ",").alias("patterns"))
 
 
-PII_PATTERNS = r"""WITH t AS (SELECT conv_id, turn, text || [' C:\Users\x', ' \\srv\share', ' /home/anna/data', ' file:///etc', ''][(conv_id % 5 + 1)::INT] AS x FROM conversations)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(x, '(?i)[a-z]:\\[^\s]') THEN 'windows_path' END, CASE WHEN regexp_matches(x, '\\\\[A-Za-z0-9._-]+\\') THEN 'unc_path' END,
-  CASE WHEN regexp_matches(x, '/(home|Users)/[^/\s]+') THEN 'posix_home' END, CASE WHEN regexp_matches(x, '(?i)file://') THEN 'file_uri' END], lambda p: p IS NOT NULL), ',') AS patterns FROM t"""
+PII_PATTERNS = r"""WITH t AS (SELECT conv_id, turn, text || [' C:\Users\x', ' \\srv\share', ' /home/anna/data', ' File:///etc', ' see C:/data/x', ' /mnt/a/b', ' xC:/data', ' home/anna/x', ''][(conv_id % 9 + 1)::INT] AS x FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(x, '(^|[^A-Za-z0-9_])[A-Za-z]:[\\/]') THEN 'windows_path' END, CASE WHEN regexp_matches(x, '(^|[^\\])\\\\[A-Za-z0-9_.$-]+[\\/]') THEN 'unc_path' END,
+  CASE WHEN regexp_matches(x, '(^|[^A-Za-z0-9_])/(home|Users|mnt)/[A-Za-z0-9_.-]+/') THEN 'posix_home' END, CASE WHEN regexp_matches(x, '(?i)\bfile://') THEN 'file_uri' END], lambda p: p IS NOT NULL), ',') AS patterns FROM t"""
 
 
 def field_normalize(spark, d):

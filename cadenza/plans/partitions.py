@@ -119,15 +119,25 @@ SHIFT_CANDIDATES = f"WITH {SESS} SELECT family, count(*) AS sessions, count(DIST
 
 
 def leak_partition(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
-    out = sp.contaminated_rows(lines, "leak", "l_orderkey", "l_suppkey", F.col("l_linenumber") == 1)
-    return out.groupBy("l_linenumber", "leak_partition").agg(F.count("*").alias("rows"))
+    out = _leaky(spark, d)
+    return out.groupBy("partition", "leak_partition", "contamination").agg(F.count("*").alias("rows"), F.countDistinct("session_key").alias("sessions"))
 
 
-LEAK_PARTITION = f"""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem),
-f AS (SELECT *, {_fraction("'leak|' || l_orderkey || '|' || l_suppkey")} AS f FROM l)
-SELECT l_linenumber, CASE WHEN l_linenumber = 1 THEN 'test' WHEN f < 0.70::DOUBLE / 0.90::DOUBLE THEN 'train' WHEN f < 0.80::DOUBLE / 0.90::DOUBLE THEN 'validation' ELSE 'calibration' END AS leak_partition,
-  count(*) AS rows FROM f GROUP BY ALL"""
+def _leaky(spark, d):
+    """Lines as origins of the sessions of the temporal split; every fourth line number is evaluated."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_key"), "l_linenumber", "l_suppkey").distinct()
+    rows = lines.join(_temporal(spark, d).select("session_key", "user_key", "partition").where("partition <> 'insufficient_user_history'"), "session_key")
+    return sp.contaminated_rows(rows, "leak", "session_key", "l_suppkey", "partition", F.col("l_linenumber") % 4 == 1)
+
+
+LEAKY = f"""{TEMPORAL}, ll AS (SELECT DISTINCT l_orderkey AS session_key, l_linenumber, l_suppkey FROM lineitem),
+lr AS (SELECT ll.*, user_key, partition, l_linenumber % 4 = 1 AS ev FROM ll JOIN tp USING (session_key) WHERE partition <> 'insufficient_user_history'),
+ts AS (SELECT DISTINCT session_key FROM lr WHERE partition = 'test' AND ev),
+lf AS (SELECT *, {_fraction("'leak|' || session_key || '|' || l_suppkey")} AS f, session_key IN (SELECT session_key FROM ts) AS tested FROM lr),
+lk AS (SELECT *, CASE WHEN partition = 'test' AND ev THEN 'test' WHEN partition = 'test' AND tested THEN CASE WHEN f < 0.70::DOUBLE / 0.90::DOUBLE THEN 'train'
+    WHEN f < 0.80::DOUBLE / 0.90::DOUBLE THEN 'validation' ELSE 'calibration' END WHEN partition = 'train' THEN 'train' WHEN partition IN ('validation', 'calibration') AND ev THEN partition END AS leak_partition,
+  partition = 'test' AND NOT ev AND tested AS contamination FROM lf)"""
+LEAK_PARTITION = f"WITH {LEAKY} SELECT partition, leak_partition, contamination, count(*) AS rows, count(DISTINCT session_key) AS sessions FROM lk GROUP BY ALL"
 
 
 def leak_proximity(spark, d):
@@ -179,7 +189,7 @@ def _history(spark, d, **kw):
 
 
 def causal_history(spark, d):
-    return rounded(_history(spark, d), *hi.FEATURES)
+    return rounded(_history(spark, d), *hi.FEATURES, digits=4)
 
 
 def _history_sql(enters: str = "TRUE") -> str:
@@ -192,10 +202,10 @@ a AS (SELECT user_key, session_key, count(start_day) AS n, avg(end_day - start_d
 
 
 CAUSAL_HISTORY = f"""WITH {_history_sql()} SELECT user_key, session_key, n AS prior_count, n > 0 AS mask,
-  round(ln(1 + n), 6) AS log_count, round(ln(1 + coalesce(d, 0)), 6) AS log_duration_mean, round(ln(1 + coalesce(dsd, 0)), 6) AS log_duration_sd,
-  round(coalesce(v, 0), 6) AS value_mean, round(coalesce(vsd, 0), 6) AS value_mean_sd, round(coalesce(vs, 0), 6) AS value_sd_mean, round(coalesce(s, 0), 6) AS speed_mean,
-  round(coalesce(ssd, 0), 6) AS speed_mean_sd, round(coalesce(al, 0), 6) AS altitude_sd_mean, round(ln(1 + sn), 6) AS log_same_count, round(coalesce(sv, 0), 6) AS same_value_mean,
-  round(coalesce(ssp, 0), 6) AS same_speed_mean, round(ln(1 + coalesce(now - prev, 0)), 6) AS log_days_since FROM a"""
+  round(ln(1 + n), 4) AS log_count, round(ln(1 + coalesce(d, 0)), 4) AS log_duration_mean, round(ln(1 + coalesce(dsd, 0)), 4) AS log_duration_sd,
+  round(coalesce(v, 0), 4) AS value_mean, round(coalesce(vsd, 0), 4) AS value_mean_sd, round(coalesce(vs, 0), 4) AS value_sd_mean, round(coalesce(s, 0), 4) AS speed_mean,
+  round(coalesce(ssd, 0), 4) AS speed_mean_sd, round(coalesce(al, 0), 4) AS altitude_sd_mean, round(ln(1 + sn), 4) AS log_same_count, round(coalesce(sv, 0), 4) AS same_value_mean,
+  round(coalesce(ssp, 0), 4) AS same_speed_mean, round(ln(1 + coalesce(now - prev, 0)), 4) AS log_days_since FROM a"""
 
 
 def history_masked(spark, d):

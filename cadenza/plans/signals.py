@@ -224,7 +224,7 @@ def audit_origins(spark, d):
                     span=F.greatest("span_1", "span_2", "span_3") <= P.max_span)
 
 
-AUDIT_ORIGINS = f"""WITH {ORG} SELECT 0::BIGINT AS aligned, 0::BIGINT AS past_only, count(*) FILTER (bins / {P.bins} < {P.coverage}::DOUBLE) AS coverage, count(*) FILTER (max_gap > {P.max_gap}) AS gap,
+AUDIT_ORIGINS = f"""WITH {ORG} SELECT count(*) FILTER (origin % {P.stride} <> 0) AS aligned, count(*) FILTER (input_last > origin) AS past_only, count(*) FILTER (bins / {P.bins} < {P.coverage}::DOUBLE) AS coverage, count(*) FILTER (max_gap > {P.max_gap}) AS gap,
   count(*) FILTER (target_1 IS NULL OR target_2 IS NULL OR target_3 IS NULL) AS targets, count(*) FILTER (greatest(span_1, span_2, span_3) > {P.max_span}) AS span, count(*) AS checked
 FROM orow WHERE reason IS NULL"""
 

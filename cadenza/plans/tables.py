@@ -48,10 +48,10 @@ JSON_EXPLODE = """SELECT event_id, k AS name, json_extract(props, '$.' || k)::BI
 
 
 def even_sample(spark, d):
-    return even_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)
+    return even_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100)
 
 
-EVEN_SAMPLE = """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+EVEN_SAMPLE = """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, o_custkey FROM r WHERE n <= 100 OR i IN (SELECT floor((s + 0.5::DOUBLE) * (SELECT count(*) FROM orders) / 100)::BIGINT FROM range(100) t(s))"""
 
 

@@ -162,7 +162,7 @@ def test_resolution_policy(spark):
 
 
 def test_even_sample(spark):
-    got = [r.id for r in dedupe.even_rows(spark.range(10), ["id"], 3).orderBy("id").collect()]
+    got = [r.id for r in dedupe.even_rows(spark.range(10), "id", 3).orderBy("id").collect()]
     assert got == [1, 5, 8]
 
 
@@ -237,3 +237,48 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r.u, r.start)
     assert sorted(map(tuple, spark.table("last_value").collect())) == sorted(map(tuple, batch.collect()))
     assert key(batch.orderBy("u", "start").first())[0] == 1
+
+
+def test_spearman_with_a_constant_side(spark):
+    """A user whose values don't vary, or vary on one side only, has no correlation and doesn't fail the rest."""
+    rows = [(1, 1.0, 2.0), (1, 1.0, 3.0), (1, 1.0, 4.0), (2, 1.0, 5.0), (2, 2.0, 6.0), (2, 3.0, 9.0), (3, 1.0, 1.0), (3, 1.0, 1.0), (4, 2.0, 2.0), (5, None, 1.0)]
+    df = spark.createDataFrame(rows, "user_key int, x double, y double").withColumn("r", F.lit("a"))
+    (got,) = hierarchy.mean_user_spearman(df, ["r"], "x", "y").collect()
+    assert (got.users, round(got.spearman, 9)) == (1, 1.0)
+
+
+def test_running_sums_and_quantiles(spark, monkeypatch):
+    """Two levels give what one window would, with ties, nulls, skew and an empty table."""
+    import numpy as np
+
+    monkeypatch.setattr(hierarchy, "STRETCHES", 8)
+    monkeypatch.setattr(hierarchy, "SAMPLED", 16)
+    rng = np.random.default_rng(3)
+    x = [*np.round(rng.lognormal(0, 3, 700), 2).tolist(), *[5.0] * 200, None]
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", 1.0)], "g string, v double").repartition(5)
+    known = np.sort([v for v in x if v is not None])
+    for r in hierarchy.running(df.where("g = 'a'"), [], "v").collect():
+        assert (r.before, r.w, r.total) == (int((known < r.v).sum()), int((known == r.v).sum()), len(known))
+    got = {r.g: r for r in hierarchy.quantiles(df, ["g"], "v", {"low": 0.0, "q": 0.37, "p95": 0.95}).collect()}
+    assert np.allclose([got["a"].low, got["a"].q, got["a"].p95], np.quantile(known, [0, 0.37, 0.95]))
+    assert (got["b"].n, got["b"].low, got["b"].q) == (1, 1.0, 1.0)
+    assert hierarchy.quantiles(df.where("false"), ["g"], "v", {"q": 0.5}).count() == 0
+
+
+def test_privacy_rules_on_names_and_paths(spark):
+    """Names are normalised first; the patterns find drive, share, home and mount paths and file addresses."""
+    from cadenza.operators import audit
+
+    names = {"User_ID": True, "\ufeffTimestamp": True, "session key": True, "my-activity-id": True, "Origin Time": True, "users": False, "mean": False, "": False}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.private for r in audit.private_columns(df, "n").collect()} == names
+    paths = {"C:/data/x": "windows_path", "see d:\\a": "windows_path", "\\\\srv\\x\\y": "unc_path", "/mnt/a/b": "posix_home", "x /home/me/f": "posix_home",
+             "FILE://a": "file_uri", "abC:/x": "", "/home/me": "", "a/home/me/f": "", "profile://x": "", None: None}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.f for r in df.select("p", F.when(F.col("p").isNotNull(), F.array_join(text.private_paths(F.col("p")), ",")).alias("f")).collect()} == paths
+
+
+def test_plain_text_is_full_decomposition(spark):
+    values = {"Ště ﬁ ő ą": "ste fi o a", "ASCII Only": "ascii only", "Ａ①ǆ": "a1dz", "": "", None: None, "e\u0301": "e"}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r.v: r.p for r in df.select("v", text.plain_text(F.col("v")).alias("p")).collect()} == values
