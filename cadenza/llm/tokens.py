@@ -42,9 +42,9 @@ BLOCK = 1024
 PERCENTILE = 97
 #: A shard is closed once it holds this many tokens (a document is never split).
 SHARD_TOKENS = 16_000_000
-#: Places in a worker's table of pieces (40 bytes each), and ids of remembered pieces after which it starts anew.
-SLOTS = 1 << 20
-REMEMBERED_IDS = 8_000_000
+#: Places in a task's table of pieces (40 bytes each), and ids of remembered pieces after which it starts anew.
+SLOTS = 1 << 18
+REMEMBERED_IDS = 2_000_000
 #: Pieces that the library encodes in one call; its results are large.
 ENCODED_AT_ONCE = 4096
 
@@ -168,9 +168,10 @@ class Encoder:
         if splits_at_space(spec):
             added = {t["content"].encode()[0] for t in json.loads(spec).get("added_tokens", []) if t["content"]}
             self.splitter = Splitter(splits_in_runs(spec), bytes(added))
-            self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the table; most of its pages are untouched until they are used."""
         self.keys = np.zeros((SLOTS, 3), dtype=U)
         self.at = np.zeros(SLOTS, dtype=np.int64)
         self.size = np.zeros(SLOTS, dtype=np.int64)
@@ -253,7 +254,7 @@ class Encoder:
             size = np.array([len(x) for x in found], dtype=np.int64)
             return np.fromiter((i for x in found for i in x), "<u4", int(size.sum())), size
         if self.used > REMEMBERED_IDS:
-            self._forget()
+            self.forget()
         raw, ends = text_buffers(column)
         raw, starts, stops = self.splitter.pieces(raw, ends)
         at, size = self._places(raw, starts, stops)
@@ -443,6 +444,7 @@ def _write_partition(folder: str, tokenizer: str, end_id: int, in_place: bool):
                     writer.add(rows.column("id").to_pylist(), sizes, ids)
         if writer is not None:
             close()
+        enc.forget()  # the worker stays beside the next stages
         if shards:
             yield pa.RecordBatch.from_pylist(shards, schema=pa.schema([
                 ("file", pa.int64()), ("first", pa.int64()), ("path", pa.string()),
