@@ -43,8 +43,8 @@ PERCENTILE = 97
 #: A shard is closed once it holds this many tokens (a document is never split).
 SHARD_TOKENS = 16_000_000
 #: Places in a task's table of pieces (40 bytes each), and ids of remembered pieces after which it starts anew.
-SLOTS = 1 << 18
-REMEMBERED_IDS = 2_000_000
+SLOTS = 1 << 19
+REMEMBERED_IDS = 5_000_000
 #: Pieces that the library encodes in one call; its results are large.
 ENCODED_AT_ONCE = 4096
 
@@ -444,7 +444,7 @@ def _write_partition(folder: str, tokenizer: str, end_id: int, in_place: bool):
                     writer.add(rows.column("id").to_pylist(), sizes, ids)
         if writer is not None:
             close()
-        enc.forget()  # the worker stays beside the next stages
+        _encoders.clear()  # the worker stays beside the next stages
         if shards:
             yield pa.RecordBatch.from_pylist(shards, schema=pa.schema([
                 ("file", pa.int64()), ("first", pa.int64()), ("path", pa.string()),

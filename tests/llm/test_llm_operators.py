@@ -214,7 +214,7 @@ NASTY = [
 def test_pieces_are_encoded_like_whole_texts(tmp_path, monkeypatch):
     """Also with a table so small that pieces take each other's places, and from tokenizers that keep case or split otherwise."""
     path = tokens.word_bpe()
-    for slots, ids in ((1 << 18, 2_000_000), (8, 40)):
+    for slots, ids in ((1 << 19, 5_000_000), (8, 40)):
         monkeypatch.setattr(tokens, "SLOTS", slots)
         monkeypatch.setattr(tokens, "REMEMBERED_IDS", ids)
         enc = tokens.Encoder(path)
