@@ -98,3 +98,80 @@ def set_hash(df: DataFrame, by: list[str], item: Column) -> DataFrame:
     parts = rows.groupBy(*by, "_p").agg(lines(F.array_sort(F.collect_list("_h"))).alias("_d"), F.count("*").alias("_n"))
     return parts.groupBy(*by).agg(
         lines(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"])).alias("digest"), F.sum("_n").alias("items"))
+
+
+def blocked_paths(files: DataFrame, path: str, prefixes: list[str], folders: list[str], endings: list[str], allowed: list[str]) -> DataFrame:
+    """Adds `blocked`: the first rule that keeps a relative path out of a release (null: none).
+
+    Prefixes, folder names and endings are compared in lower case; a path that no allowed pattern (regular expression) matches
+    is `not_allowed`; a null path too."""
+    low = F.lower(F.col(path))
+    begins = [low.startswith(p.lower()) for p in prefixes]
+    ends = [low.endswith(e.lower()) for e in endings]
+    fits = [F.col(path).rlike(p) for p in allowed]
+    either = lambda rules: F.coalesce(F.array_contains(F.array(*rules), True), F.lit(False)) if rules else F.lit(False)
+    parts = F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(x.lower()) for x in folders])) if folders else F.lit(False)
+    return files.withColumn("blocked", F.when(either(begins), "location").when(parts, "folder").when(either(ends), "type").when(~either(fits), "not_allowed"))
+
+
+#: What a record must say before outcomes of the external source may be computed (fixed value).
+FROZEN = "frozen_before_external_inference"
+
+
+def freeze_errors(record: dict, artifacts: dict[str, str]) -> list[str]:
+    """What is wrong with a freeze record: its status, its flag, and artifacts (name -> digest) that are missing or changed."""
+    found = [] if record.get("status") == FROZEN else ["status"]
+    if record.get("external_outcomes_used_for_selection") is not False:
+        found.append("external_outcomes_used_for_selection")
+    held = record.get("artifacts")
+    held = held if isinstance(held, dict) else {}
+    return found + [name for name, digest in sorted(artifacts.items()) if not isinstance(held.get(name), dict) or held[name].get("sha256") != digest]
+
+
+def json_keys(value, prefix: str = "") -> list[str]:
+    """All keys of nested objects, also inside lists, by path."""
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in (f"{prefix}{k}", *json_keys(v, f"{prefix}{k}."))]
+    if isinstance(value, list):
+        return [p for v in value for p in json_keys(v, prefix)]
+    return []
+
+
+def postcondition_errors(result: dict, fields: list[str], positive: list[str]) -> list[str]:
+    """Fields (by path) that a job's result lacks, counts that aren't positive, and its audit flag."""
+    def at(path: str):
+        value = result
+        for k in path.split("."):
+            value = value.get(k) if isinstance(value, dict) else None
+        return value
+
+    found = [] if result.get("all_assertions_pass") is True else ["all_assertions_pass"]
+    found += [f for f in fields if at(f) is None]
+    return found + [f for f in positive if not isinstance(at(f), (int, float)) or isinstance(at(f), bool) or at(f) <= 0]
+
+
+def row_alignment(indices) -> str:
+    """SHA-256 of row numbers as little-endian 64-bit integers: equal rows in equal order, or not."""
+    import hashlib
+
+    import numpy as np
+
+    return hashlib.sha256(np.asarray(indices, dtype="<i8").tobytes()).hexdigest()
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys repeated on either side, and keys that only one side has; all zero if the sides match one to one."""
+    sides = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    each = sides.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    count = lambda rule: F.coalesce(F.sum(rule.cast("long")), F.lit(0))
+    return each.agg(count(F.col("l") > 1).alias("left_repeated"), count(F.col("r") > 1).alias("right_repeated"),
+                    count(F.col("r") == 0).alias("left_only"), count(F.col("l") == 0).alias("right_only"))
+
+
+def against_golden(found: DataFrame, golden: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """Reported numbers: (keys, reported, recomputed, status): ok, differs, missing (not recomputed) or unreported."""
+    both = golden.select(*keys, F.col(value).alias("reported"), F.lit(True).alias("_g")).join(
+        found.select(*keys, F.col(value).alias("recomputed"), F.lit(True).alias("_f")), keys, "full")
+    status = F.when(F.col("_f").isNull(), "missing").when(F.col("_g").isNull(), "unreported").when(
+        F.abs(F.col("reported") - F.col("recomputed")) <= tolerance, "ok").otherwise("differs")
+    return both.withColumn("status", status).drop("_g", "_f")

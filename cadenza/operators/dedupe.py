@@ -7,6 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What a duplicate without a decision of its own counts as (fixed value).
+NOT_DUPLICATE = "not_in_duplicate_group"
+
+
+def with_actions(rows: DataFrame, actions: DataFrame, key: str, eligible: Column) -> DataFrame:
+    """Adds the duplicate action (NOT_DUPLICATE where there is none) and `analysis_eligible`: eligible and not excluded.
+
+    actions: one row a key."""
+    out = rows.join(actions.select(key, "action"), key, "left").withColumn("action", F.coalesce("action", F.lit(NOT_DUPLICATE)))
+    return out.withColumn("analysis_eligible", F.coalesce(eligible, F.lit(False)) & (F.col("action") != "exclude"))
+
+
 def fingerprint(*fields: Column) -> Column:
     """Digest of fields with explicit framing, so neighbours can't run into each other."""
     framed = [F.concat(F.coalesce(f.cast("string"), F.lit("<missing>")), F.lit("\u001f")) for f in fields]
@@ -87,22 +99,134 @@ def projections(dimension: int, tables: int = 12, bits: int = 24, seed: int = 20
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def signatures(df: DataFrame, key: str, vector: str, directions: np.ndarray, bits: int) -> DataFrame:
-    """(key, table, signature): the signs of `bits` projections packed into one long, for each table."""
-    planes = F.array(*[F.array(*[F.lit(round(float(x), 6)) for x in row]) for row in directions])
-    n = len(directions) // bits
-    dot = lambda p: F.aggregate(F.zip_with(F.col(vector), p, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    signs = df.select(key, F.transform(planes, lambda p: F.when(dot(p) >= 0, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("signs"))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.struct(
-        t.alias("table"),
-        F.aggregate(F.slice("signs", t * bits + 1, bits), F.lit(0).cast("long"), lambda s, x: s * 2 + x).alias("signature")))
-    return signs.select(key, F.explode(packed).alias("p")).select(key, "p.table", "p.signature")
+def signatures(df: DataFrame, key: str, vector: str, directions: np.ndarray, bits: int, *keep: str) -> DataFrame:
+    """(key, keep, table, signature): the signs of `bits` projections of the z-scored vector, the first one in bit 0, for each table.
+
+    Vectors that are null, of another length or constant have no signature.  Signs come from one matrix product an Arrow batch."""
+    import pyarrow as pa
+
+    tables = len(directions) // bits
+    power = (1 << np.arange(bits, dtype=np.int64))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(vector).to_pylist()
+            some = [i for i, x in enumerate(rows) if x is not None and len(x) == directions.shape[1] and None not in x]
+            x = np.array([rows[i] for i in some], dtype=np.float64).reshape(len(some), directions.shape[1])
+            sd = x.std(axis=1)
+            x, some = x[sd > 0], np.array(some, dtype=np.int64)[sd > 0]
+            z = (x - x.mean(axis=1, keepdims=True)) / sd[sd > 0][:, None]
+            found = ((z @ directions.T >= 0).reshape(len(some), tables, bits) * power).sum(axis=2)
+            at = pa.array(np.repeat(some, tables))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in (key, *keep)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), pa.array(found.ravel())],
+                names=[key, *keep, "table", "signature"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in (key, *keep)] + ["table int", "signature long"])
+    return df.select(key, *keep, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, schema)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, key: str, span: str, most: float) -> DataFrame:
+    """Distinct (left_key, right_key) of different sources that share a (table, signature) and whose spans differ by at
+    most `most` of the longer one.
+
+    A span names the three neighbouring bands of its logarithm, so the join's keys include the duration and rows of a
+    bucket meet only those of about their length; collapse exact copies before, as they share all buckets."""
+    band = F.floor(F.log(F.col(span).cast("double")) / F.lit(float(-np.log(1 - most)))).cast("long")
+    l = left.select(F.col(key).alias("left_key"), "table", "signature", F.col(span).alias("_a"), band.alias("_band"))
+    r = right.select(F.col(key).alias("right_key"), "table", "signature", F.col(span).alias("_b"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+    near = F.abs(F.col("_a") - F.col("_b")) <= F.lit(most) * F.greatest("_a", "_b")
+    return l.join(r, ["table", "signature", "_band"]).where(near).select("left_key", "right_key").distinct()
+
+
+def percentile_of(values: Column, p: float) -> Column:
+    """Quantile of an array's elements, linear between neighbours."""
+    ordered, place = F.array_sort(values), F.lit(p) * (F.size(values) - 1)
+    low = F.floor(place).cast("int")
+    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(values)))
+    return a + (b - a) * (place - low)
+
+
+def verified(pairs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Adds mae, p95, r of the signals (columns a, b), support by speed (sa, sb) and altitude (ta, tb), and a status of three.
+
+    limits: mae, p95, r of the signal; speed_mae, speed_r; altitude_mae, altitude_r (altitudes less their medians).  A null or
+    constant auxiliary signal gives no support; a constant signal is screened out."""
+    def agreed(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
+        return vector_agreement(df, x, y).withColumnRenamed("mae", f"{name}mae").withColumnRenamed("r", f"{name}r")
+
+    gap = F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y))
+    p = agreed(pairs.withColumn("p95", percentile_of(gap, 0.95)), "a", "b", "signal_")
+    p = agreed(p, "sa", "sb", "speed_")
+    for c in ("ta", "tb"):
+        middle = percentile_of(F.col(c), 0.5)
+        p = p.withColumn("_m", middle).withColumn(c, F.transform(c, lambda v: v - F.col("_m"))).drop("_m")
+    p = agreed(p, "ta", "tb", "altitude_")
+    p = p.withColumnRenamed("signal_mae", "mae").withColumnRenamed("signal_r", "r")
+    good = lambda e, r, name: F.coalesce((F.col(e) <= limits[name + "mae"]) & (F.col(r) >= limits[name + "r"]), F.lit(False))
+    signal = good("mae", "r", "") & (F.col("p95") <= limits["p95"])
+    support = good("speed_mae", "speed_r", "speed_") | good("altitude_mae", "altitude_r", "altitude_")
+    return p.withColumn("status", F.when(signal & support, "near_candidate_hr_plus_auxiliary").when(signal, "near_candidate_hr_only")
+                        .otherwise("screened_out_after_continuous_verification"))
+
+
+def framed_digest(version: str, head: bytes, fields: list[tuple[str, bytes]]) -> str:
+    """SHA-256 of a version, a head, and fields each with the lengths of its name and body in front."""
+    import hashlib
+    import struct
+
+    out = hashlib.sha256(version.encode() + head)
+    for name, body in fields:
+        out.update(struct.pack("<I", len(name)) + name.encode() + struct.pack("<Q", len(body)) + body)
+    return out.hexdigest()
+
+
+def signal_digests(df: DataFrame, key: str, grid: int, channels: list[str], points: int = 48, quantum: float = 4.0, offsets: tuple[float, ...] = (0.0, 2.0),
+                   crops: tuple[tuple[int, int], ...] = ((0, 0), (1, 0), (0, 1))) -> DataFrame:
+    """(key, exact, trimmed, profiles) of sessions on a common grid, whose channels are arrays of doubles with null where nothing was observed.
+
+    exact: digest of all channels' 32-bit values and masks, whatever the clock; trimmed: of the first channel from its first to its
+    last observed bin; profiles: distinct digests of the first channel cropped by bins at either end, interpolated at
+    `points` places and quantised after each offset.  The last two are null and empty where nothing is observed."""
+    import hashlib
+    import struct
+
+    import pandas as pd
 
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for _, row in pdf.iterrows():
+                fields, first = [], None
+                for name in channels:
+                    given = row[name] if row[name] is not None else []
+                    x = np.array([np.nan if v is None else v for v in given], dtype=np.float64)
+                    mask = ~np.isnan(x)
+                    values = np.where(mask, x, 0.0).astype("<f4")
+                    fields += [(f"{name}_values_f32_le", values.tobytes()), (f"{name}_mask_u8", mask.astype(np.uint8).tobytes())]
+                    first = (values, mask) if first is None else first
+                values, mask = first
+                exact = framed_digest("normalized-10s-float32-v1", struct.pack("<II", grid, len(values)), fields)
+                seen = np.flatnonzero(mask)
+                trimmed, profiles = None, []
+                if len(seen):
+                    a, b = int(seen[0]), int(seen[-1])
+                    trimmed = framed_digest("trimmed-exact-hr-f32-v1", struct.pack("<I", b + 1 - a), [
+                        ("hr_values_f32_le", values[a : b + 1].tobytes()), ("hr_mask_u8", mask[a : b + 1].astype(np.uint8).tobytes())])
+                    for left, right in crops:
+                        c, d = a + left, b - right
+                        at = seen[(seen >= c) & (seen <= d)]
+                        if c >= d or len(at) < 2:
+                            continue
+                        profile = np.interp(np.linspace(c, d, points), at, values[at].astype(np.float64))
+                        for offset in offsets:
+                            q = np.rint((profile + offset) / quantum).astype("<i2")
+                            profiles.append(hashlib.sha256(b"trimmed-normalized-profile-v1" + struct.pack("<I", points) + q.tobytes()).hexdigest())
+                out.append((row[key], exact, trimmed, list(dict.fromkeys(profiles))))
+            yield pd.DataFrame(out, columns=[key, "exact", "trimmed", "profiles"])
 
-def candidate_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Distinct (left_key, right_key) of different sources that share a (table, signature)."""
-    l, r = left.withColumnRenamed(key, "left_key"), right.withColumnRenamed(key, "right_key")
-    return l.join(r, ["table", "signature"]).select("left_key", "right_key").distinct()
+    return df.select(key, *channels).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, exact string, trimmed string, profiles array<string>")
 
 
 def vector_agreement(pairs: DataFrame, left: str, right: str) -> DataFrame:

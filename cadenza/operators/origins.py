@@ -178,3 +178,69 @@ def cohorts(rows: DataFrame, profile: TimeProfile) -> DataFrame:
     return long.groupBy("horizon").agg(
         F.sum(F.col("every").cast("long")).alias("common"), F.count("target").alias("with_target"),
         F.sum((~F.col("every") & F.col("target").isNotNull()).cast("long")).alias("added"))
+
+
+STATISTICS = ("last", "mean", "sd", "low", "high", "change", "slope", "coverage")
+
+
+def feature_table(wanted: DataFrame, channels: dict[str, DataFrame], by: list[str], profile: TimeProfile, recent: tuple[int, int],
+                  elapsed: Column, code: Column, codes: int = 8) -> DataFrame:
+    """Ten statistics of each channel's context, log elapsed seconds and a column for each family code: 39 for three channels.
+
+    wanted: one row an origin; channels: contexts.  An origin without any point of a channel has zeros there; a code beyond
+    the last, or a null one, has zeros everywhere."""
+    names = [*STATISTICS, *(f"recent_{k}" for k in recent)]
+    out = wanted
+    for channel, context in channels.items():
+        found = channel_features(context, by, profile, recent).select(*by, "origin", *[F.col(n).alias(f"{channel}_{n}") for n in names])
+        out = out.join(found, [*by, "origin"], "left")
+    hot = [F.coalesce((code == i).cast("double"), F.lit(0.0)).alias(f"code_{i}") for i in range(codes)]
+    filled = [F.coalesce(f"{c}_{n}", F.lit(0.0)).alias(f"{c}_{n}") for c in channels for n in names]
+    return out.select(*by, "origin", *filled, F.log1p(elapsed).alias("log_elapsed"), *hot)
+
+
+def without_channels(df: DataFrame, channels: list[str], keep: list[str]) -> DataFrame:
+    """Signal ablation: feature columns of the channels that aren't kept are 0."""
+    gone = tuple(f"{c}_" for c in channels if c not in keep)
+    return df.withColumns({c: F.lit(0.0) for c in df.columns if gone and c.startswith(gone)})
+
+
+def held_code(code: Column, held: int) -> Column:
+    """A held-out family's code as the code of unknown families, 0."""
+    return F.when(code == held, F.lit(0)).otherwise(code)
+
+
+def cohort_errors(rows: DataFrame, persistence: DataFrame, by: list[str], profile: TimeProfile) -> DataFrame:
+    """(by, origin, horizon, error, common): the error of each target that exists; common: all targets of the origin exist."""
+    n = len(profile.horizons)
+    every = F.col("target_1").isNotNull()
+    for i in range(2, n + 1):
+        every = every & F.col(f"target_{i}").isNotNull()
+    stack = ", ".join(f"{h}D, target_{i}" for i, h in enumerate(profile.horizons, 1))
+    long = rows.where("reason is null or reason like 'target_%'").withColumn("common", every).selectExpr(
+        *by, "origin", "common", f"stack({n}, {stack}) as (horizon, target)").where("target is not null")
+    return long.join(persistence, [*by, "origin", "horizon"]).withColumn("error", F.abs(F.col("persistence") - F.col("target")))
+
+
+def extra_origins(rows: DataFrame, profile: TimeProfile) -> DataFrame:
+    """Origins with some targets but not all, with a 0/1 mask of those they have."""
+    masks = [F.col(f"target_{i}").isNotNull().cast("int") for i in range(1, len(profile.horizons) + 1)]
+    total = masks[0]
+    for m in masks[1:]:
+        total = total + m
+    return rows.where("reason like 'target_%'").withColumn("mask", F.array(*masks)).where((total > 0) & (total < len(masks)))
+
+
+def cohort_comparison(errors: DataFrame, user: str, session: str) -> DataFrame:
+    """(horizon, of both cohorts: users, sessions, origins, mae; retention, added, delta): equal weight to users and sessions."""
+    def metrics(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sessions = df.groupBy("horizon", user, session).agg(F.avg("error").alias("e"), F.count("*").alias("n"))
+        users = sessions.groupBy("horizon", user).agg(F.avg("e").alias(f"{name}_mae"), F.count("*").alias("s"), F.sum("n").alias("n"))
+        return users, users.groupBy("horizon").agg(
+            F.count("*").alias(f"{name}_users"), F.sum("s").alias(f"{name}_sessions"), F.sum("n").alias(f"{name}_origins"), F.avg(f"{name}_mae").alias(f"{name}_mae"))
+
+    _, common = metrics(errors.where("common"), "common")
+    _, specific = metrics(errors, "specific")
+    both = specific.join(common, "horizon")
+    return both.withColumn("retention", F.col("common_origins") / F.col("specific_origins")).withColumn(
+        "added", F.col("specific_origins") - F.col("common_origins")).withColumn("delta", F.col("specific_mae") - F.col("common_mae"))

@@ -136,6 +136,22 @@ def contaminated_rows(rows: DataFrame, namespace: str, session: str, origin: str
         is_test & F.col("_tested"), hashed).when(~is_test, clean)).withColumn("contamination", is_test & ~evaluation & F.coalesce("_tested", F.lit(False))).drop("_tested")
 
 
+def proximity(test: DataFrame, train: DataFrame, by: list[str], t: str, limits: list[float], horizons: list[float], context: float) -> DataFrame:
+    """One row: test rows, those near a training row of their group (by limit), the mean overlap of contexts, and exact
+    collisions of target times by horizon and in any.  Collisions are an equi-join on target times."""
+    near = nearest_distance(test, train, by, t, float("inf"))
+    targets = train.select(*by, F.explode(F.array(*[F.col(t) + h for h in horizons])).alias("_at")).distinct().withColumn("_hit", F.lit(1))
+    probes = test.withColumn("_row", F.monotonically_increasing_id()).select(*by, "_row", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), (F.col(t) + h).alias("at")) for i, h in enumerate(horizons)])).alias("p"))
+    hits = probes.select(*by, "_row", "p.i", F.col("p.at").alias("_at")).join(targets, [*by, "_at"])
+    collided = hits.agg(*[F.coalesce(F.sum((F.col("i") == i).cast("long")), F.lit(0)).alias(f"collisions_{i + 1}") for i in range(len(horizons))],
+                        F.countDistinct("_row").alias("collided_rows"))
+    shares = near.agg(
+        F.count("*").alias("rows"), *[F.coalesce(F.sum((F.col("distance") <= x).cast("long")), F.lit(0)).alias(f"within_{int(x)}") for x in limits],
+        F.avg(F.greatest(F.lit(0.0), context - F.col("distance"))).alias("overlap"))
+    return shares.crossJoin(F.broadcast(collided))  # one row each
+
+
 def nearest_distance(probes: DataFrame, anchors: DataFrame, by: list[str], t: str, limit: float) -> DataFrame:
     """Adds distance to the nearest anchor of the same group, null beyond `limit`.
 

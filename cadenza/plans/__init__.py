@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, duplicates, metrics, partitions, profiles, signals, tables
+from . import audits, duplicates, extended, metrics, partitions, profiles, signals, tables
 from .base import rounded_alike
 
-_GROUPS = (metrics, partitions, duplicates, signals, profiles, audits, tables)
+_GROUPS = (extended, metrics, partitions, duplicates, signals, profiles, audits, tables)
 
 
 def queries() -> dict:

@@ -125,47 +125,119 @@ s AS (SELECT o.u, o.f, ride, off, CASE WHEN same > 1 THEN 'duplicate_csv_timesta
   WHEN single > 1 THEN 'duplicate_metadata_match' ELSE 'unmatched_timestamp' END AS status FROM o JOIN tm USING (u, t) LEFT JOIN pt USING (u, t))
 SELECT u AS "user", f AS file_key, status, CASE WHEN status = 'linked' THEN ride END AS ride, CASE WHEN status = 'linked' THEN off::INT END AS "offset" FROM s"""
 
-TABLES, BITS = 4, 8
-PLANES = np.round(dd.projections(64, TABLES, BITS), 6)
+TABLES, BITS, POINTS = 12, 24, 48
+PLANES = np.round(dd.projections(POINTS, TABLES, BITS), 6)
+#: Limits of the prefilter on profiles, and of the verification (fixed values).
+PREFILTER = {"mae": 4.0, "p95": 8.0, "r": 0.98}
+LIMITS = {"mae": 2.0, "p95": 4.0, "r": 0.99, "speed_mae": 1.5, "speed_r": 0.98, "altitude_mae": 5.0, "altitude_r": 0.98}
+SPAN_LIMIT = 0.05
 
 
 def _sides(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return e.where("label < 5"), e.where("label >= 5")
+    """Vectors as signals of two sources: the second repeats the first's with noise on some, other spans, other ids."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: 120 + 40 * x).alias("v"))
+    e = e.withColumn("v", F.when(F.size("v") == 64, F.col("v")))
+    left = e.select("vec_id", "v", (200 + F.col("vec_id") % 40).alias("span"))
+    noise = F.transform("v", lambda x, i: x + F.when(F.col("vec_id") % 3 == 0, 0).when(F.col("vec_id") % 3 == 1, (F.col("vec_id") * 31 + i * 17) % 7 - 3).otherwise((F.col("vec_id") * 31 + i * 17) % 13 - 6) * 0.6)
+    right = e.select("vec_id", noise.alias("v"), ((200 + F.col("vec_id") % 40) * (1 + F.col("vec_id") % 4 * 0.02)).alias("span"))
+    return left, right
+
+
+def _signed(df):
+    from ..operators.profiles import resampled
+
+    return dd.signatures(df.withColumn("p", resampled(F.col("v"), POINTS)), "vec_id", "p", PLANES, BITS, "span")
 
 
 def lsh_signatures(spark, d):
-    return dd.signatures(table(spark, d, "embeddings"), "vec_id", "embedding", PLANES, BITS)
+    return _signed(_sides(spark, d)[0]).drop("span")
+
+
+def _resampled_sql(v: str, points: int) -> str:
+    at = f"(i * 63 / {points - 1}.0::DOUBLE)"
+    return f"list_transform(range({points}), lambda i: {v}[floor({at})::INT + 1] + ({v}[least(floor({at})::INT + 2, 64)] - {v}[floor({at})::INT + 1]) * ({at} - floor({at})))"
+
+
+SIDES = f"""sl AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: 120 + 40 * x) AS v, (200 + vec_id % 40)::DOUBLE AS span FROM embeddings),
+sr AS (SELECT vec_id, [v[j] + (CASE WHEN vec_id % 3 = 0 THEN 0 WHEN vec_id % 3 = 1 THEN (vec_id * 31 + (j - 1) * 17) % 7 - 3 ELSE (vec_id * 31 + (j - 1) * 17) % 13 - 6 END) * 0.6::DOUBLE FOR j IN range(1, 65)] AS v,
+  (200 + vec_id % 40) * (1 + vec_id % 4 * 0.02::DOUBLE) AS span FROM sl)"""
+_PL = f"pl AS (SELECT unnest(range({TABLES * BITS})) AS i, unnest({[[float(x) for x in row] for row in PLANES]}::DOUBLE[][]) AS p)"
 
 
-_SIG = f"""pl AS (SELECT unnest(range({TABLES * BITS})) AS i, unnest({[[float(x) for x in row] for row in PLANES]}::DOUBLE[][]) AS p),
-sg AS (SELECT vec_id, label, i // {BITS} AS tab, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN (1 << ({BITS - 1} - i % {BITS}))::BIGINT ELSE 0 END)::BIGINT AS signature FROM embeddings, pl GROUP BY ALL)"""
-LSH_SIGNATURES = f'WITH {_SIG} SELECT vec_id, tab::INT AS "table", signature FROM sg'
+def _signed_sql(name: str, side: str) -> str:
+    return f"""{name}p AS (SELECT vec_id, span, {_resampled_sql('v', POINTS)} AS q FROM {side}),
+{name}z AS (SELECT vec_id, span, list_transform(q, lambda x: (x - m) / sd) AS z FROM (SELECT *, list_avg(q) AS m, list_stddev_pop(q) AS sd FROM {name}p)),
+{name} AS (SELECT vec_id, span, i // {BITS} AS tab, sum(CASE WHEN list_dot_product(z, p) >= 0 THEN (1 << (i % {BITS}))::BIGINT ELSE 0 END)::BIGINT AS signature FROM {name}z, pl GROUP BY ALL)"""
+
+
+LSH_SIGNATURES = f'WITH {SIDES}, {_PL}, {_signed_sql("gl", "sl")} SELECT vec_id, tab::INT AS "table", signature FROM gl'
 
 
 def lsh_candidates(spark, d):
-    left, right = (dd.signatures(x, "vec_id", "embedding", PLANES, BITS) for x in _sides(spark, d))
-    return dd.candidate_pairs(left, right, "vec_id")
+    left, right = (_signed(x) for x in _sides(spark, d))
+    return dd.candidate_pairs(left, right, "vec_id", "span", SPAN_LIMIT)
 
 
-LSH_CANDIDATES = f"WITH {_SIG} SELECT DISTINCT a.vec_id AS left_key, b.vec_id AS right_key FROM sg a JOIN sg b ON a.tab = b.tab AND a.signature = b.signature WHERE a.label < 5 AND b.label >= 5"
+_CAND = f"""{SIDES}, {_PL}, {_signed_sql("gl", "sl")}, {_signed_sql("gr", "sr")},
+cand AS (SELECT DISTINCT a.vec_id AS left_key, b.vec_id AS right_key FROM gl a JOIN gr b ON a.tab = b.tab AND a.signature = b.signature WHERE abs(a.span - b.span) <= {SPAN_LIMIT}::DOUBLE * greatest(a.span, b.span))"""
+LSH_CANDIDATES = f"WITH {_CAND} SELECT * FROM cand"
 
 
-def pair_verify(spark, d):
-    """The best partner of every left vector among its candidates, by error, then by correlation."""
+def _with_signals(spark, d, pairs):
     left, right = _sides(spark, d)
-    pairs = lsh_candidates(spark, d)
-    p = pairs.join(left.select(F.col("vec_id").alias("left_key"), F.col("embedding").alias("a")), "left_key").join(
-        right.select(F.col("vec_id").alias("right_key"), F.col("embedding").alias("b")), "right_key")
-    v = rounded(dd.vector_agreement(p, "a", "b").select("left_key", "right_key", "mae", "r"), "mae", "r")
-    return dd.best_per_key(v, "left_key", F.col("mae"), -F.col("r"), F.col("right_key"))
+    return pairs.join(left.select(F.col("vec_id").alias("left_key"), F.col("v").alias("a")), "left_key").join(
+        right.select(F.col("vec_id").alias("right_key"), F.col("v").alias("b")), "right_key")
+
+
+def lsh_prefilter(spark, d):
+    """Candidates whose profiles agree."""
+    from ..operators.profiles import resampled
+
+    p = _with_signals(spark, d, lsh_candidates(spark, d)).withColumn("a", resampled(F.col("a"), POINTS)).withColumn("b", resampled(F.col("b"), POINTS))
+    p = dd.vector_agreement(p.withColumn("p95", dd.percentile_of(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), 0.95)), "a", "b")
+    kept = p.where((F.col("mae") <= PREFILTER["mae"]) & (F.col("p95") <= PREFILTER["p95"]) & (F.col("r") >= PREFILTER["r"]))
+    return rounded(kept.select("left_key", "right_key", "mae", "p95", "r"), "mae", "p95", "r")
+
 
+def _agreement_sql(name: str, pairs: str, points: int) -> str:
+    return f"""{name}x AS (SELECT left_key, right_key, unnest({_resampled_sql('l.v', points)}) AS x, unnest({_resampled_sql('r.v', points)}) AS y FROM {pairs} JOIN sl l ON l.vec_id = left_key JOIN sr r ON r.vec_id = right_key),
+{name} AS (SELECT left_key, right_key, avg(abs(x - y)) AS mae, quantile_cont(abs(x - y), 0.95) AS p95, corr(x, y) AS r FROM {name}x GROUP BY ALL)"""
 
-PAIR_VERIFY = f"""WITH {_SIG}, c AS ({LSH_CANDIDATES.replace(f'WITH {_SIG} ', '')}),
-p AS (SELECT left_key, right_key, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM c JOIN embeddings a ON a.vec_id = left_key JOIN embeddings b ON b.vec_id = right_key),
-x AS (SELECT left_key, right_key, unnest(a) AS x, unnest(b) AS y FROM p),
-v AS (SELECT left_key, right_key, round(avg(abs(x - y)), 6) AS mae, round(corr(x, y), 6) AS r FROM x GROUP BY ALL)
-SELECT left_key, right_key, mae, r FROM v QUALIFY row_number() OVER (PARTITION BY left_key ORDER BY mae, -r, right_key) = 1"""
+
+_PRE = f"""{_CAND}, {_agreement_sql("ag", "cand", POINTS)}, pre AS (SELECT * FROM ag WHERE mae <= {PREFILTER['mae']} AND p95 <= {PREFILTER['p95']} AND r >= {PREFILTER['r']})"""
+LSH_PREFILTER = f"WITH {_PRE} SELECT left_key, right_key, round(mae, 6) AS mae, round(p95, 6) AS p95, round(r, 6) AS r FROM pre"
+
+VERIFIED_POINTS = 256
+
+
+def pair_verify(spark, d):
+    """The best partner of every left signal by error, then 95th percentile, then correlation, with its status; speeds and altitudes stand in as
+    functions of the signals, absent for some."""
+    from ..operators.profiles import resampled
+
+    pairs = lsh_prefilter(spark, d).select("left_key", "right_key")
+    p = _with_signals(spark, d, pairs).withColumn("a", resampled(F.col("a"), VERIFIED_POINTS)).withColumn("b", resampled(F.col("b"), VERIFIED_POINTS))
+    scaled = lambda c, k, m: F.when(F.col("left_key") % m != 0, F.transform(c, lambda v: v * k))
+    p = p.withColumn("sa", scaled("a", 0.5, 4)).withColumn("sb", scaled("b", 0.5, 4)).withColumn("ta", scaled("a", 2.0, 2)).withColumn("tb", scaled("b", 2.0, 2))
+    v = dd.verified(p, LIMITS).select("left_key", "right_key", "mae", "p95", "r", "status")
+    best = dd.best_per_key(v, "left_key", F.col("mae"), F.col("p95"), -F.col("r"), F.col("right_key"))
+    return rounded(best, "mae", "p95", "r")
+
+
+PAIR_VERIFY = f"""WITH {_PRE}, {_agreement_sql("vf", "pre", VERIFIED_POINTS)},
+au AS (SELECT left_key, right_key, median(x) AS mx, median(y) AS my FROM vfx GROUP BY ALL),
+al AS (SELECT left_key, right_key, avg(abs((x - mx) - (y - my)) * 2) AS tm FROM vfx JOIN au USING (left_key, right_key) GROUP BY ALL),
+st AS (SELECT vf.*, CASE WHEN NOT (mae <= 2 AND p95 <= 4 AND r >= 0.99::DOUBLE) THEN 'screened_out_after_continuous_verification'
+  WHEN (left_key % 4 <> 0 AND mae * 0.5::DOUBLE <= 1.5::DOUBLE AND r >= 0.98::DOUBLE) OR (left_key % 2 <> 0 AND tm <= 5 AND r >= 0.98::DOUBLE) THEN 'near_candidate_hr_plus_auxiliary' ELSE 'near_candidate_hr_only' END AS status
+  FROM vf JOIN al USING (left_key, right_key))
+SELECT left_key, right_key, round(mae, 6) AS mae, round(p95, 6) AS p95, round(r, 6) AS r, status FROM st QUALIFY row_number() OVER (PARTITION BY left_key ORDER BY mae, p95, -r, right_key) = 1"""
+
+
+def signal_digest(spark, d):
+    """Digests of vectors as signals with missing bins: exact, trimmed, and of profiles."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + i) % 11 != 0, 120 + 40 * x))
+    e = table(spark, d, "embeddings").select("vec_id", v.alias("hr"), F.transform(v, lambda x: x / 2).alias("speed"))
+    return dd.signal_digests(e, "vec_id", 10, ["hr", "speed"])
 
 
 def profile_digest(spark, d):
@@ -194,10 +266,23 @@ def field_normalize(spark, d):
 
 FIELD_NORMALIZE = "SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(' ' || p_type || ' (Size) ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS field FROM part"
 
+def quality_actions(spark, d):
+    """Documents with enough characters, less excluded copies, by language."""
+    actions = dd.resolved(_members(spark, d), "doc_id", "source", "lang")
+    rows = dd.with_actions(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), actions, "doc_id", F.col("n_chars") >= 200)
+    return rows.groupBy("lang", "action").agg(F.count("*").alias("records"), F.sum(F.col("analysis_eligible").cast("long")).alias("eligible"))
+
+
+QUALITY_ACTIONS = f"""WITH {MEM}, m AS (SELECT doc_id AS k, source AS u, lang AS f, digest FROM mem), {_RES}
+SELECT lang, coalesce(action, 'not_in_duplicate_group') AS action, count(*) AS records, count(*) FILTER (n_chars >= 200 AND coalesce(action, '') <> 'exclude') AS eligible
+FROM documents LEFT JOIN out ON k = doc_id GROUP BY ALL"""
+
+
 PLANS = {
+    "quality_actions": (quality_actions, QUALITY_ACTIONS),
     "exact_groups": (exact_groups, EXACT_GROUPS), "dedupe_resolve": (dedupe_resolve, DEDUPE_RESOLVE), "exact_signal": (exact_signal, EXACT_SIGNAL),
     "keyword_family": (keyword_families, KEYWORD_FAMILY), "ontology_support": (ontology_support, ONTOLOGY_SUPPORT), "ontology_remap": (ontology_remap, ONTOLOGY_REMAP),
     "normalize_text": (normalize_text, NORMALIZE_TEXT), "band_link": (band_link, BAND_LINK), "lsh_signatures": (lsh_signatures, LSH_SIGNATURES),
-    "lsh_candidates": (lsh_candidates, LSH_CANDIDATES), "pair_verify": (pair_verify, PAIR_VERIFY), "profile_digest": (profile_digest, PROFILE_DIGEST),
+    "lsh_candidates": (lsh_candidates, LSH_CANDIDATES), "lsh_prefilter": (lsh_prefilter, LSH_PREFILTER), "signal_digest": (signal_digest, None), "pair_verify": (pair_verify, PAIR_VERIFY), "profile_digest": (profile_digest, PROFILE_DIGEST),
     "pii_patterns": (pii_patterns, PII_PATTERNS), "field_normalize": (field_normalize, FIELD_NORMALIZE),
 }

@@ -387,22 +387,30 @@ s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_size) AS r
 SELECT p_brand, p_size, round(p, 6) AS p, round(max(least(1.0, (m - rn + 1) * p)) OVER (PARTITION BY p_brand ORDER BY p, p_size ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s"""
 
 
-REPLICATES = 40
+REPLICATES = 10_000
+
+
+def draws(table_sql: str, user: str, salt: int = 0, replicates: int = REPLICATES) -> str:
+    """Rows of a table for each replicate r with weight w, in SQL."""
+    m = inference.DRAW_MODULUS
+    return f"""(SELECT * EXCLUDE (z), {' + '.join(f'(z >= {int(q * m)})::INT' for q in inference.POISSON)} AS w FROM (SELECT * EXCLUDE (y), (y * y + {salt + 1}) % {m} AS z
+  FROM (SELECT * EXCLUDE (y0), (y0 * 16807 + r) % {m} AS y FROM (SELECT * EXCLUDE (x0), (x0 * x0 + {user}::BIGINT) % {m} AS y0
+  FROM (SELECT *, ({user}::BIGINT * 48271 + r * 69621 + {salt}) % {m} AS x0 FROM {table_sql}, range({replicates}) t(r))))))"""
 
 
 def boot_mean_hash(spark, d):
-    users = h.user_means(evaluation(spark, d), ["regime"], mae=err())
-    return rounded(inference.hash_bootstrap(users.select("regime", "user_key", "mae"), ["regime"], "mae", "user_key", REPLICATES, "boot"), "estimate", "low", "high")
-
-
-BOOT_MEAN_HASH = f"""WITH {EV}, se AS (SELECT regime, user_key, session_key, avg(abs(prediction - target)) AS e FROM ev GROUP BY ALL),
-u AS (SELECT regime, user_key, avg(e) AS mae FROM se GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY user_key) - 1 AS i, count(*) OVER (PARTITION BY regime) AS n FROM u),
-s AS (SELECT regime, r, floor(concat('0x', substr(sha256('boot|' || r || '|' || i), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE * n)::INT AS i
-  FROM n, range({REPLICATES}) t(r)),
-m AS (SELECT s.regime, r, avg(mae) AS m FROM s JOIN n ON n.regime = s.regime AND n.i = s.i GROUP BY ALL),
-q AS (SELECT regime, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)
-SELECT regime, round(avg(mae), 6) AS estimate, count(*) AS users, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM u JOIN q USING (regime) GROUP BY regime"""
+    """Two metrics of each regime, drawn jointly."""
+    users = h.user_means(evaluation(spark, d), ["regime"], mae=err(), quantity=F.col("l_quantity"))
+    out = inference.poisson_bootstrap(users, ["regime"], ["mae", "quantity"], "user_key", REPLICATES)
+    return rounded(out, *[n + e for n in ("mae", "quantity") for e in ("", "_low", "_high")], digits=4)
+
+
+BU = f"""{EV}, bs AS (SELECT regime, user_key, session_key, avg(abs(prediction - target)) AS mae, avg(l_quantity) AS quantity FROM ev GROUP BY ALL),
+bu AS (SELECT regime, user_key, avg(mae) AS mae, avg(quantity) AS quantity FROM bs GROUP BY ALL)"""
+BOOT_MEAN_HASH = f"""WITH {BU}, m AS (SELECT regime, r, sum(w * mae) / sum(w) AS a, sum(w * quantity) / sum(w) AS b FROM {draws('bu', 'user_key')} GROUP BY ALL),
+q AS (SELECT regime, quantile_cont(a, 0.025) AS al, quantile_cont(a, 0.975) AS ah, quantile_cont(b, 0.025) AS bl, quantile_cont(b, 0.975) AS bh FROM m GROUP BY ALL)
+SELECT regime, count(*) AS users, round(avg(mae), 4) AS mae, round(any_value(al), 4) AS mae_low, round(any_value(ah), 4) AS mae_high, round(avg(quantity), 4) AS quantity,
+  round(any_value(bl), 4) AS quantity_low, round(any_value(bh), 4) AS quantity_high FROM bu JOIN q USING (regime) GROUP BY regime"""
 
 
 def boot_numpy(spark, d):

@@ -8,7 +8,7 @@ from ..functions.numeric import close
 from ..operators import inference, models, profiles as pf
 from ..operators.hierarchy import user_means
 from .base import EV, evaluation, r6, rounded, table
-from .metrics import err
+from .metrics import REPLICATES, draws, err
 from .signals import BINS, BY, _bins
 
 
@@ -77,11 +77,18 @@ APPROX_EQUAL = "SELECT l_returnflag, count(*) FILTER (abs(l_discount - 0.05::DOU
 
 def two_sample(spark, d):
     users = user_means(evaluation(spark, d), ["mode"], mae=err())
-    return inference.two_sample_bootstrap(users, "mode", "F", "O", "mae", "user_key")
+    return rounded(inference.poisson_two_sample(users, "mode", "F", "O", "mae", "user_key", REPLICATES), "difference", "ratio", "low", "high", "ratio_low", "ratio_high", digits=4)
+
+
+TWO_SAMPLE = f"""WITH {EV}, s AS (SELECT mode, user_key, session_key, avg(abs(prediction - target)) AS e FROM ev GROUP BY ALL), u AS (SELECT mode, user_key, avg(e) AS mae FROM s GROUP BY ALL),
+x AS (SELECT r, sum(w * mae) / sum(w) AS x FROM {draws("(SELECT * FROM u WHERE mode = 'F')", 'user_key', 1)} GROUP BY ALL), y AS (SELECT r, sum(w * mae) / sum(w) AS y FROM {draws("(SELECT * FROM u WHERE mode = 'O')", 'user_key', 2)} GROUP BY ALL),
+p AS (SELECT avg(mae) FILTER (mode = 'F') AS a, avg(mae) FILTER (mode = 'O') AS b FROM u)
+SELECT round(any_value(a - b), 4) AS difference, round(any_value(a / b), 4) AS ratio, round(quantile_cont(x - y, 0.025), 4) AS low, round(quantile_cont(x - y, 0.975), 4) AS high,
+  round(CASE WHEN min(y) > 0 THEN quantile_cont(x / y, 0.025) END, 4) AS ratio_low, round(CASE WHEN min(y) > 0 THEN quantile_cont(x / y, 0.975) END, 4) AS ratio_high FROM x JOIN y USING (r), p"""
 
 
 PLANS = {
     "profile_resample": (profile_resample, PROFILE_RESAMPLE), "profile_eligibility": (profile_eligibility, PROFILE_ELIGIBILITY), "profile_variants": (profile_variants, None),
     "exact_xsource": (exact_xsource, EXACT_XSOURCE), "quantile_model": (quantile_model, QUANTILE_MODEL), "linear_residual": (linear_residual, None),
-    "approx_equal": (approx_equal, APPROX_EQUAL), "two_sample": (two_sample, None),
+    "approx_equal": (approx_equal, APPROX_EQUAL), "two_sample": (two_sample, TWO_SAMPLE),
 }

@@ -247,7 +247,7 @@ def context_features(spark, d):
 CONTEXT_FEATURES = f"WITH {CTX} SELECT * FROM ctx"
 
 
-def tabular_39(spark, d):
+def channel_features(spark, d):
     f = og.channel_features(_contexts(spark, d), BY, P, (2, 3))
     return rounded(f, "last", "mean", "sd", "low", "high", "recent_2", "recent_3", "change", "slope", "coverage")
 
@@ -336,6 +336,6 @@ PLANS = {
     "asof_interpolate": (asof_interpolate, ASOF), "haversine": (haversine, HAVERSINE), "gps_speed": (gps_speed, GPS_SPEED),
     "distance_speed": (distance_speed, DISTANCE_SPEED), "speed_source": (speed_source, SPEED_SOURCE), "origins": (origins, ORIGINS),
     "origin_rejections": (origin_rejections, ORIGIN_REJECTIONS), "origin_counts": (origin_counts, ORIGIN_COUNTS), "horizon_cohorts": (horizon_cohorts, HORIZON_COHORTS),
-    "audit_origins": (audit_origins, AUDIT_ORIGINS), "context_features": (context_features, CONTEXT_FEATURES), "tabular_39": (tabular_39, TABULAR),
+    "audit_origins": (audit_origins, AUDIT_ORIGINS), "context_features": (context_features, CONTEXT_FEATURES), "channel_features": (channel_features, TABULAR),
     "naive_forecast": (naive_forecast, NAIVE_FORECAST), "naive_eval": (naive_eval, NAIVE_EVAL), "ewma_tune": (ewma_tune, EWMA_TUNE), "dense_vs_sparse": (dense_vs_sparse, DENSE),
 }

@@ -38,6 +38,24 @@ def read_session_csv(spark: SparkSession, path: str, columns: tuple[str, ...] =
     return raw.select(F.input_file_name().alias("file"), *[finite(F.col(c).try_cast("double")).alias(c) for c in columns])
 
 
+def read_features_csv(spark: SparkSession, path: str, time: str = "secs", channels: tuple[str, ...] = ("hr", "alt", "km"), strict: bool = False) -> DataFrame:
+    """(file, time, channels) of session files with a header.
+
+    A row whose time is no finite number is dropped; a channel's bad cell is null, or with `strict` drops the row.  Files whose header lacks a
+    column are an error: headers are compared before any row is read."""
+    raw = spark.read.text(path, wholetext=True)  # a session's file is small
+    lines = raw.select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    parsed = lines.select("file", F.split("value", "\r?\n").alias("rows")).withColumn(
+        "names", F.transform(F.split(F.element_at("rows", 1), ","), lambda x: F.trim(x)))
+    lacking = parsed.where(F.size(F.array_except(F.array(*[F.lit(c) for c in (time, *channels)]), "names")) > 0).select("file").limit(1).collect()
+    if lacking:
+        raise ValueError(f"missing required columns in {lacking[0].file}")
+    cells = parsed.select("file", "names", F.posexplode(F.slice("rows", 2, F.size("rows")))).withColumn("cells", F.split("col", ","))
+    value = lambda c: finite(F.get("cells", F.array_position("names", c).cast("int") - 1).try_cast("double"))
+    out = cells.select("file", F.col("pos").alias("row"), *[value(c).alias(c) for c in (time, *channels)]).where(F.col(time).isNotNull())
+    return out.dropna(subset=list(channels)) if strict else out
+
+
 def read_rides(spark: SparkSession, path: str) -> DataFrame:
     """One row a ride of nested athlete files; files that can't be parsed have status `corrupt` and no ride."""
     schema = "ATHLETE struct<gender:string>, RIDES array<struct<date:string,sport:string,data:string>>, _corrupt string"

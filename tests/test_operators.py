@@ -282,3 +282,70 @@ def test_plain_text_is_full_decomposition(spark):
     values = {"Ště ﬁ ő ą": "ste fi o a", "ASCII Only": "ascii only", "Ａ①ǆ": "a1dz", "": "", None: None, "e\u0301": "e"}
     df = spark.createDataFrame([(v,) for v in values], "v string")
     assert {r.v: r.p for r in df.select("v", text.plain_text(F.col("v")).alias("p")).collect()} == values
+
+
+def test_poisson_draws_are_fair(spark):
+    """Weights have mean and variance 1 and the interval is that of the normal approximation."""
+    import numpy as np
+
+    x = np.random.default_rng(1).gamma(2.0, 3.0, 400)
+    df = spark.createDataFrame([(i + 1, float(v), None if i % 7 == 0 else float(v)) for i, v in enumerate(x)], "u long, x double, y double")
+    r = inference.poisson_bootstrap(df, [], ["x", "y"], "u", 4000).first()
+    sd = x.std() / 20
+    assert abs(r.x_low - (x.mean() - 1.96 * sd)) < 0.2 * sd and abs(r.x_high - (x.mean() + 1.96 * sd)) < 0.2 * sd
+    assert r.y_low < r.y < r.y_high and r.users == 400
+    w = df.select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("r"), "u").select(inference.replicate_weight(F.col("u"), F.col("r")).alias("w"))
+    m = w.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v")).first()
+    assert abs(m.m - 1) < 0.02 and abs(m.v - 1) < 0.03
+    assert inference.poisson_bootstrap(df.where("false").withColumn("g", F.lit(1)), ["g"], ["x"], "u", 10).count() == 0
+
+
+def test_signal_digests(spark):
+    """Shifts of the clock change nothing, shifts in the grid only the exact digest; a changed bin changes it."""
+    base = [None, 100.0, 110.0, None, *[float(100 + i % 40) for i in range(80)], None]
+    rows = [(1, base, [1.0] * len(base)), (2, base, [1.0] * len(base)), (3, [None, *base], [1.0] * (len(base) + 1)), (4, [100.0 if v == 110.0 else v for v in base], [1.0] * len(base)),
+            (5, [None] * 5, [None] * 5), (6, [], []), (7, None, None)]
+    got = {r.k: r for r in dedupe.signal_digests(spark.createDataFrame(rows, "k long, hr array<double>, speed array<double>"), "k", 10, ["hr", "speed"]).collect()}
+    assert got[1].exact == got[2].exact != got[3].exact and got[1].trimmed == got[3].trimmed and got[1].profiles == got[3].profiles
+    assert got[4].trimmed != got[1].trimmed and 1 <= len(got[1].profiles) <= 6
+    assert all(got[k].trimmed is None and got[k].profiles == [] for k in (5, 6, 7)) and got[6].exact == got[7].exact
+
+
+def test_sign_signatures_like_numpy(spark):
+    import numpy as np
+
+    planes = dedupe.projections(6, 2, 3)
+    rows = [(1, [1.0, 2.0, 3.0, 5.0, 8.0, 1.0]), (2, [2.0, 4.0, 6.0, 10.0, 16.0, 2.0]), (3, [1.0] * 6), (4, None), (5, [1.0])]
+    got = {(r.k, r.table): r.signature for r in dedupe.signatures(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", planes, 3).collect()}
+    z = np.array(rows[0][1])
+    z = (z - z.mean()) / z.std()
+    want = [sum(int(planes[3 * t + b] @ z >= 0) << b for b in range(3)) for t in range(2)]
+    assert got == {(k, t): want[t] for k in (1, 2) for t in range(2)}
+
+
+def test_feature_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffsecs, hr ,km,alt,x\n0,100,0.0,5\nbad,101,0.1,5\n2,-,0.2,nan\n\n3,104\n")
+    got = [(r.secs, r.hr, r.alt, r.km) for r in readers.read_features_csv(spark, str(tmp_path)).orderBy("row").collect()]
+    assert got == [(0.0, 100.0, 5.0, 0.0), (2.0, None, None, 0.2), (3.0, 104.0, None, None)]
+    strict = readers.read_features_csv(spark, str(tmp_path), channels=("hr",), strict=True)
+    assert [r.hr for r in strict.orderBy("row").collect()] == [100.0, 104.0]
+    (tmp_path / "b.csv").write_text("secs,hr\n0,1\n")
+    with pytest.raises(ValueError, match="missing required columns"):
+        readers.read_features_csv(spark, str(tmp_path))
+
+
+def test_release_and_job_rules(spark):
+    paths = {"data/x.csv": "location", "docs/Private/a.md": "folder", "docs/a.NPY": "type", "docs/a.md": None, "src/b.py": "not_allowed", None: "not_allowed"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = audit.blocked_paths(df, "p", ["data/"], ["private"], [".npy"], [r"^docs/"])
+    assert {r.p: r.blocked for r in got.collect()} == paths
+    record = {"status": audit.FROZEN, "external_outcomes_used_for_selection": False, "artifacts": {"m": {"sha256": "1"}}}
+    assert audit.freeze_errors(record, {"m": "1"}) == [] and audit.freeze_errors(record | {"status": "x"}, {"m": "2", "n": "1"}) == ["status", "m", "n"]
+    assert audit.freeze_errors({}, {}) == ["status", "external_outcomes_used_for_selection"]
+    assert audit.json_keys({"a": {"b": 1, "c": [{"d": 2}, 3]}, "e": None}) == ["a", "a.b", "a.c", "a.c.d", "e"]
+    result = {"all_assertions_pass": True, "rows": 3, "counts": {"users": 0}}
+    assert audit.postcondition_errors(result, ["rows", "counts.users"], ["rows"]) == [] and audit.postcondition_errors(result, ["x.y"], ["counts.users"]) == ["x.y", "counts.users"]
+    assert audit.row_alignment([1, 2]) != audit.row_alignment([2, 1])
+    a, b = (spark.createDataFrame(x, "k long, v double") for x in ([(1, 1.0), (2, 2.0), (2, 2.0)], [(2, 2.5), (3, 1.0)]))
+    assert tuple(audit.one_to_one(a, b, ["k"]).first()) == (1, 0, 1, 1)
+    assert {r.k: r.status for r in audit.against_golden(a.distinct(), b, ["k"], "v", 0.1).collect()} == {1: "unreported", 2: "differs", 3: "missing"}

@@ -21,6 +21,10 @@ def test_bootstrap_brackets_estimate(spark):
 def test_queries_without_sql(spark):
     variants = QUERIES["profile_variants"](spark, DATA)
     assert variants.count() >= variants.select("vec_id").distinct().count() == 500
+    digests = QUERIES["signal_digest"](spark, DATA).collect()
+    assert len(digests) == 500 and all(len(r.exact) == len(r.trimmed) == 64 and 1 <= len(r.profiles) <= 6 for r in digests)
+    m = QUERIES["replicate_matched"](spark, DATA).first()
+    assert 0 < m.low <= m.picp <= m.high <= 1
     fitted = QUERIES["linear_residual"](spark, DATA).collect()
     assert len(fitted) == 3 and all(r.mae > 0 for r in fitted)
     r = QUERIES["two_sample"](spark, DATA).first()
@@ -35,16 +39,13 @@ def test_entry_points_need_no_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
 
-def test_bootstraps_are_registered_with_their_defaults(monkeypatch, spark):
-    """10,000 replicates in batches of 1,000 are part of the definition."""
-    from cadenza.operators import inference
-    from cadenza.plans import metrics, profiles
+def test_bootstraps_are_registered_with_their_defaults():
+    """10,000 replicates are part of the definition."""
+    import inspect
 
-    from support import DATA
+    from cadenza.operators import inference
+    from cadenza.plans import metrics
 
-    calls = []
-    monkeypatch.setattr(inference, "bootstrap", lambda *a, **k: calls.append(k))
-    monkeypatch.setattr(inference, "two_sample_bootstrap", lambda *a, **k: calls.append(k))
-    metrics.boot_numpy(spark, DATA)
-    profiles.two_sample(spark, DATA)
-    assert calls == [{}, {}]
+    assert metrics.REPLICATES == 10_000
+    for f in (inference.bootstrap, inference.poisson_bootstrap, inference.poisson_two_sample, inference.poisson_coverage_difference):
+        assert inspect.signature(f).parameters["replicates"].default == 10_000
