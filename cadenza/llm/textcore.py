@@ -34,7 +34,7 @@ def trimmed(run):
 _BASE = U(0x9E3779B97F4A7C55)
 _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text handled at once; one longer text is still handled whole, alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 ASCII_SPACE = bytes([9, 10, 11, 12, 13, 32])
 #: Everything in ASCII but digits and lower-case letters (texts are lower-cased first).
