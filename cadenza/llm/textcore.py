@@ -19,15 +19,20 @@ U = np.uint64
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def trimmed(run):
     """A batch function that gives freed memory back to the system when its partition ends."""
 
     def wrapped(batches):
         yield from run(batches)
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        trim()
 
     return wrapped
 

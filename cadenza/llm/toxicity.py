@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textcore
 from .sampling import HELD_OUT, bounded_sample, fold
 from .shared import documents
-from .textcore import ALNUM_LOWER, U, Words, chunks, mix, text_buffers, trimmed
+from .textcore import ALNUM_LOWER, U, Words, chunks, mix, text_buffers, trim, trimmed
 
 #: Labelled rows of each label that relevance is estimated on, and those of them that are examples, at most.
 PER_LABEL = 2000
@@ -346,6 +346,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows[["id", "place"]]
     own = {int(i): columns(int(i)) for i in chosen}
     del terms, times, where
+    trim()
     held = spark.sparkContext.broadcast(vocabulary)
     found = texts.mapInArrow(_document_frequencies(held), "c int, n long").groupBy("c").agg(
         F.sum("n").alias("n")).toPandas()
@@ -355,6 +356,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     weight = np.maximum(weight, 1e-6)
     held.destroy()
     del found, frequency, with_term, relevance
+    trim()
 
     # Neighbours in the index share their strongest terms, which keeps block bounds low.
     full = [int(i) for i in chosen if len(own[int(i)])]
