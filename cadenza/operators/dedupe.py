@@ -66,31 +66,47 @@ def linked_by_offset(files: DataFrame, rides: DataFrame, by: str, file_key: str,
                      minutes: int = 840, step: int = 15) -> DataFrame:
     """(by, file_key, status, ride_key, offset): a ride's UTC time plus a multiple of `step` minutes is the file's local time.
 
-    Every ride names its possible local times (a bounded number), so the band join is an equi-join on time.
-    A link counts only if it is the only one on both sides.
+    A link counts only if it is the only one on both sides.  Files and rides are dealt once, by `by`; what follows keeps that partitioning, so
+    neither the possible times of a ride nor its hits are ever shuffled.  A ride meets the distinct times of files in its span (two of
+    the spans that time is cut into at most) that differ from it by a whole number of steps.
     """
-    tries = rides.select(by, ride_key, F.col(utc).alias("_utc"), F.explode(F.sequence(F.lit(-minutes), F.lit(minutes), F.lit(step))).alias("offset"))
-    tries = tries.withColumn("_t", F.unix_micros(F.col("_utc").cast("timestamp")) + F.col("offset").cast("long") * F.lit(60_000_000))
-    local_us = F.unix_micros(F.col(local).cast("timestamp"))
-    named = files.select(by, file_key, local_us.alias("_t"))
-    times = named.where("_t is not null").groupBy(by, "_t").agg(F.count("*").alias("same"), F.min(file_key).alias("f0"))
-    hits = tries.join(times, [by, "_t"])
-    per_ride = hits.groupBy(by, ride_key).agg(F.count("*").alias("hits"))
-    hits = hits.join(per_ride, [by, ride_key])
-    per_time = hits.groupBy(by, "_t").agg(
-        F.bool_or(F.col("hits") > 1).alias("ambiguous"), F.sum((F.col("hits") == 1).cast("long")).alias("single"),
-        F.max(F.when(F.col("hits") == 1, F.struct(ride_key, "offset"))).alias("hit"))
-    out = named.join(times.drop("f0"), [by, "_t"], "left").join(per_time, [by, "_t"], "left")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    minute, last = 60_000_000, 2 * minutes // step * step - minutes
+    width = 4 * (minutes + last + step) * minute
+    named = files.select(by, F.col(file_key).alias("_file"), micros(local).alias("_t"))
+    known = F.col(by).isNotNull() & F.col("_t").isNotNull()
+    probes = rides.select(by, F.col(ride_key).alias("_ride"), micros(utc).alias("_t")).where(known & F.col("_ride").isNotNull())
+    rows = named.where(known).unionByName(probes, allowMissingColumns=True).repartition(by)
+    is_ride = F.col("_ride").isNotNull()
+    # a file's time lies in one span, a ride's possible times in as many as its first and last one touch
+    def span(shift: int) -> Column:
+        t = F.col("_t") + F.lit(shift * minute)
+        return F.round((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("long")
+
+    rows = rows.withColumn("_phase", F.pmod(F.col("_t") - F.when(is_ride, minutes * minute).otherwise(0), F.lit(step * minute))).withColumn(
+        "_span", F.explode(F.when(is_ride, F.sequence(span(-minutes), span(last))).otherwise(F.array(span(0)))))
+    times = F.collect_set(F.when(~is_ride, F.col("_t"))).over(Window.partitionBy(by, "_phase", "_span"))
+    near = F.filter("_times", lambda x: x.between(F.col("_t") - minutes * minute, F.col("_t") + last * minute))
+    hits = rows.withColumn("_times", times).withColumn("_at", F.explode(F.when(is_ride, near).otherwise(F.array("_t"))))
+    hits = hits.select(by, "_file", "_ride", F.col("_at").alias("_t"), F.when(is_ride, ((F.col("_at") - F.col("_t")) / minute).cast("int")).alias("offset"))
+    hits = hits.withColumn("_hits", F.when(is_ride, F.count("*").over(Window.partitionBy(by, "_ride"))))
+    at = Window.partitionBy(by, "_t")
+    only = F.col("_hits") == 1
+    found = hits.select(
+        by, "_file", "_ride", F.count(F.when(~is_ride, 1)).over(at).alias("_same"), F.max("_hits").over(at).alias("_most"),
+        F.count(F.when(only, 1)).over(at).alias("_single"), F.max(F.when(only, F.struct(F.col("_ride").alias("ride"), "offset"))).over(at).alias("_hit"))
     status = (
-        F.when(F.col("_t").isNull(), "unparsable_csv_timestamp")
-        .when(F.col("same") > 1, "duplicate_csv_timestamp")
-        .when(F.col("ambiguous"), "ambiguous_timestamp_match")
-        .when(F.col("single") == 1, "linked")
-        .when(F.col("single") > 1, "duplicate_metadata_match")
+        F.when(F.col("_same") > 1, "duplicate_csv_timestamp")
+        .when(F.col("_most") > 1, "ambiguous_timestamp_match")
+        .when(F.col("_single") == 1, "linked")
+        .when(F.col("_single") > 1, "duplicate_metadata_match")
         .otherwise("unmatched_timestamp"))
     linked = F.col("status") == "linked"
-    return out.withColumn("status", status).select(
-        by, file_key, "status", F.when(linked, F.col("hit")[ride_key]).alias(ride_key), F.when(linked, F.col("hit.offset")).alias("offset"))
+    out = found.where(~is_ride).withColumn("status", status).select(
+        by, F.col("_file").alias(file_key), "status", F.when(linked, F.col("_hit.ride")).alias(ride_key), F.when(linked, F.col("_hit.offset")).alias("offset"))
+    status = F.when(F.col("_t").isNull(), "unparsable_csv_timestamp").otherwise("unmatched_timestamp")
+    none = lambda c: F.lit(None).cast(out.schema[c].dataType).alias(c)
+    return out.unionByName(named.where(~known).select(by, F.col("_file").alias(file_key), status.alias("status"), none(ride_key), none("offset")))
 
 
 def projections(dimension: int, tables: int = 12, bits: int = 24, seed: int = 20260722) -> np.ndarray:
