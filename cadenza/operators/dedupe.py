@@ -156,30 +156,86 @@ def candidate_pairs(left: DataFrame, right: DataFrame, key: str, span: str, most
     return l.join(r, ["table", "signature", "_band"]).where(near).select("left_key", "right_key").distinct()
 
 
-def percentile_of(values: Column, p: float) -> Column:
-    """Quantile of an array's elements, linear between neighbours."""
-    ordered, place = F.array_sort(values), F.lit(p) * (F.size(values) - 1)
-    low = F.floor(place).cast("int")
-    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(values)))
-    return a + (b - a) * (place - low)
+#: Pairs whose signals are compared at once, so that they stay in the processor's cache.
+COMPARED = 512
+
+
+def _profiles(column, points: int | None, width: int) -> np.ndarray:
+    """One row for each list of an Arrow column, resampled at `points` places (None: as it is, if `width` long); NaN where a list is null,
+    empty, of another length or has a null."""
+    from .profiles import resampled_rows
+
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    out = np.full((len(sizes), width), np.nan)
+    for size in [width] if points is None else np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        x = column.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+        out[at] = x if points is None else resampled_rows(x, points)
+    return out
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and 95th percentile (linear between neighbours) of the absolute gaps, and the correlation, NaN where a side is constant."""
+    n = x.shape[1]
+    gap = np.abs(x - y)
+    mae = gap.sum(axis=1) / n
+    place = 0.95 * (n - 1)
+    low, high = int(place), min(int(place) + 1, n - 1)
+    ordered = np.partition(gap, sorted({low, high}), axis=1)
+    p95 = ordered[:, low] + (ordered[:, high] - ordered[:, low]) * (place - low)
+    p95[np.isnan(mae)] = np.nan
+    u, v = x - x.sum(axis=1, keepdims=True) / n, y - y.sum(axis=1, keepdims=True) / n
+    su, sv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    varied = (su > 1e-12) & (sv > 1e-12)
+    r = np.full(len(x), np.nan)
+    r[varied] = (u * v).sum(axis=1)[varied] / np.sqrt(su[varied] * sv[varied])
+    return mae, p95, r
+
+
+def agreements(pairs: DataFrame, sides: list[tuple[str, str, str, bool]], points: int | None, limits: dict[str, float] | None = None, keep_signals: bool = False) -> DataFrame:
+    """Adds {name}mae, {name}p95 and {name}r of each (left, right, name, leveled) of `sides`: two array columns, resampled at `points` places;
+    leveled ones less their medians.  Null where a signal is null, empty or has a null (r: or is constant).  Without points, all signals of a side
+    are of one length.
+
+    limits: mae, p95 and r of the first side; pairs that break one are left out.  Signals are dropped unless they are kept.  Rows are
+    compared with NumPy, many at a time, and each by itself, so equal pairs get equal values."""
+    import pyarrow as pa
 
+    signals = [c for x, y, *_ in sides for c in (x, y)]
+    kept = [c for c in pairs.columns if keep_signals or c not in signals]
+    added = [name + m for _, _, name, _ in sides for m in ("mae", "p95", "r")]
 
-def verified(pairs: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Adds mae, p95, r of the signals (columns a, b), support by speed (sa, sb) and altitude (ta, tb), and a status of three.
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, COMPARED):
+                batch = whole.slice(start, COMPARED)
+                found = []
+                for x, y, _, leveled in sides:
+                    both = [batch.column(c) for c in (x, y)]
+                    width = points or max(1, *(c.value_lengths().fill_null(0).to_numpy().max(initial=0) for c in both))
+                    u, v = (_profiles(c, points, width) for c in both)
+                    if leveled:
+                        u, v = (z - np.median(z, axis=1, keepdims=True) for z in (u, v))
+                    found += _agreement(u, v)
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(z, from_pandas=True) for z in found)], names=[*kept, *added])
+                if limits is not None:
+                    mae, p95, r = found[:3]
+                    out = out.filter(pa.array((mae <= limits["mae"]) & (p95 <= limits["p95"]) & (r >= limits["r"])))
+                yield out
+
+    kinds = dict(pairs.dtypes)
+    wide = pairs.withColumns({c: F.col(c).cast("array<double>") for c in signals})
+    kinds |= dict.fromkeys(signals, "array<double>")
+    return wide.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{c}` double" for c in added]))
+
+
+def verified(pairs: DataFrame, limits: dict[str, float], points: int | None = None) -> DataFrame:
+    """Pairs without their signals, with mae, p95, r of the signals (columns a, b), resampled at `points` places, support by speed (sa, sb) and altitude
+    (ta, tb), and a status of three.
 
     limits: mae, p95, r of the signal; speed_mae, speed_r; altitude_mae, altitude_r (altitudes less their medians).  A null or
     constant auxiliary signal gives no support; a constant signal is screened out."""
-    def agreed(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
-        return vector_agreement(df, x, y).withColumnRenamed("mae", f"{name}mae").withColumnRenamed("r", f"{name}r")
-
-    gap = F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y))
-    p = agreed(pairs.withColumn("p95", percentile_of(gap, 0.95)), "a", "b", "signal_")
-    p = agreed(p, "sa", "sb", "speed_")
-    for c in ("ta", "tb"):
-        middle = percentile_of(F.col(c), 0.5)
-        p = p.withColumn("_m", middle).withColumn(c, F.transform(c, lambda v: v - F.col("_m"))).drop("_m")
-    p = agreed(p, "ta", "tb", "altitude_")
-    p = p.withColumnRenamed("signal_mae", "mae").withColumnRenamed("signal_r", "r")
+    p = agreements(pairs, [("a", "b", "", False), ("sa", "sb", "speed_", False), ("ta", "tb", "altitude_", True)], points).drop("speed_p95", "altitude_p95")
     good = lambda e, r, name: F.coalesce((F.col(e) <= limits[name + "mae"]) & (F.col(r) >= limits[name + "r"]), F.lit(False))
     signal = good("mae", "r", "") & (F.col("p95") <= limits["p95"])
     support = good("speed_mae", "speed_r", "speed_") | good("altitude_mae", "altitude_r", "altitude_")
@@ -245,18 +301,6 @@ def signal_digests(df: DataFrame, key: str, grid: int, channels: list[str], poin
     return df.select(key, *channels).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, exact string, trimmed string, profiles array<string>")
 
 
-def vector_agreement(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Adds mae and correlation of two array columns; correlation is null where a side is constant."""
-    z = F.zip_with(F.col(left), F.col(right), lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
-    n = F.size(left).cast("double")
-    total = lambda f: F.aggregate("_z", F.lit(0.0), lambda s, x: s + f(x["a"], x["b"]))
-    p = pairs.withColumn("_z", z).withColumn("mae", total(lambda a, b: F.abs(a - b)) / n)
-    sa, sb = total(lambda a, b: a), total(lambda a, b: b)
-    cov = total(lambda a, b: a * b) - sa * sb / n
-    va, vb = total(lambda a, b: a * a) - sa * sa / n, total(lambda a, b: b * b) - sb * sb / n
-    return p.withColumn("r", F.when((va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb))).drop("_z")
-
-
 def best_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row a key: the least by the given order, as a partial aggregate instead of a sort."""
     rest = [c for c in df.columns if c != key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ def resampled(values: Column, points: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
 
 
+def resampled_rows(x: np.ndarray, points: int) -> np.ndarray:
+    """The same for the rows of an array."""
+    place = np.arange(points) * float(x.shape[1] - 1) / float(max(points - 1, 1))
+    low = np.floor(place).astype(np.int64)
+    a = x[:, low]
+    return a + (x[:, np.minimum(low + 1, x.shape[1] - 1)] - a) * (place - low)
+
+
 def eligibility(bins: DataFrame, by: list[str], least_span: int, coverage: float, longest_gap: int, least_sd: float) -> DataFrame:
     """(by, span, coverage, missing_run, sd, reason): the first rule a session's observed bins break, null if none."""
     order = Window.partitionBy(*by).orderBy("bin")

@@ -189,14 +189,14 @@ def _with_signals(spark, d, pairs):
         right.select(F.col("vec_id").alias("right_key"), F.col("v").alias("b")), "right_key")
 
 
+def _prefiltered(spark, d):
+    """Candidates whose profiles agree, with their signals."""
+    return dd.agreements(_with_signals(spark, d, lsh_candidates(spark, d)), [("a", "b", "", False)], POINTS, PREFILTER, keep_signals=True)
+
+
 def lsh_prefilter(spark, d):
     """Candidates whose profiles agree."""
-    from ..operators.profiles import resampled
-
-    p = _with_signals(spark, d, lsh_candidates(spark, d)).withColumn("a", resampled(F.col("a"), POINTS)).withColumn("b", resampled(F.col("b"), POINTS))
-    p = dd.vector_agreement(p.withColumn("p95", dd.percentile_of(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), 0.95)), "a", "b")
-    kept = p.where((F.col("mae") <= PREFILTER["mae"]) & (F.col("p95") <= PREFILTER["p95"]) & (F.col("r") >= PREFILTER["r"]))
-    return rounded(kept.select("left_key", "right_key", "mae", "p95", "r"), "mae", "p95", "r")
+    return rounded(_prefiltered(spark, d).select("left_key", "right_key", "mae", "p95", "r"), "mae", "p95", "r")
 
 
 def _agreement_sql(name: str, pairs: str, points: int) -> str:
@@ -213,13 +213,10 @@ VERIFIED_POINTS = 256
 def pair_verify(spark, d):
     """The best partner of every left signal by error, then 95th percentile, then correlation, with its status; speeds and altitudes stand in as
     functions of the signals, absent for some."""
-    from ..operators.profiles import resampled
-
-    pairs = lsh_prefilter(spark, d).select("left_key", "right_key")
-    p = _with_signals(spark, d, pairs).withColumn("a", resampled(F.col("a"), VERIFIED_POINTS)).withColumn("b", resampled(F.col("b"), VERIFIED_POINTS))
+    p = _prefiltered(spark, d).select("left_key", "right_key", "a", "b")
     scaled = lambda c, k, m: F.when(F.col("left_key") % m != 0, F.transform(c, lambda v: v * k))
     p = p.withColumn("sa", scaled("a", 0.5, 4)).withColumn("sb", scaled("b", 0.5, 4)).withColumn("ta", scaled("a", 2.0, 2)).withColumn("tb", scaled("b", 2.0, 2))
-    v = dd.verified(p, LIMITS).select("left_key", "right_key", "mae", "p95", "r", "status")
+    v = dd.verified(p, LIMITS, VERIFIED_POINTS).select("left_key", "right_key", "mae", "p95", "r", "status")
     best = dd.best_per_key(v, "left_key", F.col("mae"), F.col("p95"), -F.col("r"), F.col("right_key"))
     return rounded(best, "mae", "p95", "r")
 

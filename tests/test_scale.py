@@ -57,3 +57,46 @@ def test_linkage_matches_brute_force(spark):
     null = spark.createDataFrame([(1, 1, None), (None, 2, 0)], "u long, f long, t long").select("u", "f", F.timestamp_micros("t").alias("t"))
     got = dedupe.linked_by_offset(null, r, "u", "f", "t", "r", "t")
     assert sorted(got.select("f", "status").collect()) == [(1, "unparsable_csv_timestamp"), (2, "unmatched_timestamp")]
+
+
+def test_pairs_meet_their_signals_once(spark):
+    from support import DATA
+
+    plan = plan_of(duplicates.pair_verify(spark, DATA))
+    assert plan.count("Join ") <= 3 and "zip_with(" not in plan and "aggregate(" not in plan
+
+
+def test_agreements_by_hand(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(1300):  # more than are compared at once
+        x = draw.normal(size=(12, 9)[i % 3 == 0])
+        y = x + draw.normal(size=len(x)) * 0.1
+        rows.append((i, x.tolist(), y.tolist()))
+    rows[5], rows[6], rows[7], rows[8] = (5, None, [1.0]), (6, [1.0, None], [1.0, 2.0]), (7, [0.1] * 12, [0.3] * 12), (8, [], [])
+    df = spark.createDataFrame(rows, "k long, a array<double>, b array<double>")
+    got = {r.k: r for r in dedupe.agreements(df, [("a", "b", "", False), ("b", "a", "z_", True)], 10).collect()}
+    assert len(got) == 1300 and list(got[0].asDict()) == ["k", "mae", "p95", "r", "z_mae", "z_p95", "z_r"]
+    at = lambda v: np.interp(np.linspace(0, len(v) - 1, 10), np.arange(len(v)), v)
+    for k, a, b in rows:
+        if k in (5, 6, 8):
+            assert got[k].mae is got[k].p95 is got[k].r is None
+            continue
+        a, b = at(a), at(b)
+        assert np.allclose(got[k].mae, abs(a - b).mean()) and np.allclose(got[k].p95, np.quantile(abs(a - b), 0.95))
+        assert np.allclose(got[k].z_mae, abs(a - np.median(a) - b + np.median(b)).mean())
+        assert got[k].r is None if k == 7 else np.allclose(got[k].r, np.corrcoef(a, b)[0, 1])
+    few = dedupe.agreements(df, [("a", "b", "", False)], 10, {"mae": 0.08, "p95": 0.2, "r": 0.99}, keep_signals=True).collect()
+    assert {r.k for r in few} == {k for k, r in got.items() if r.mae is not None and r.r is not None and r.mae <= 0.08 and r.p95 <= 0.2 and r.r >= 0.99} and few[0].a == rows[few[0].k][1]
+
+
+def test_verification_with_and_without_support(spark):
+    flat, a = [1.0] * 8, [float(x) for x in (1, 5, 2, 8, 3, 9, 4, 7)]
+    near, far = [x + 0.1 for x in a], [20 - x for x in a]
+    rows = [(0, a, near, a, near, None, None), (1, a, near, None, None, a, [x + 50 for x in a]), (2, a, near, None, None, None, None), (3, a, near, flat, flat, a, far),
+            (4, a, far, a, a, a, a), (5, flat, flat, a, a, a, a), (6, None, a, a, a, a, a)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} array<double>" for c in ("a", "b", "sa", "sb", "ta", "tb")))
+    got = {r.k: r.status for r in dedupe.verified(df, duplicates.LIMITS).collect()}
+    assert [got[k][:19] for k in range(7)] == ["near_candidate_hr_p"] * 2 + ["near_candidate_hr_o"] * 2 + ["screened_out_after_"] * 3
