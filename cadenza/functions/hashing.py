@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +50,23 @@ def stable_seed(text: Column) -> Column:
 def offset_seed(base: int, text: Column, little: bool = False) -> Column:
     """(base + first four digest bytes) modulo 2^32, in either byte order."""
     return F.pmod(F.lit(base) + _word(_digest(text), little), F.lit(1 << 32))
+
+
+def xxhash64_chain(parts: list[tuple]) -> np.ndarray:
+    """Spark's xxhash64 over whole-number columns as NumPy arrays (broadcast against each other): (values, whether they are longs, where they are not null)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    seed = np.full((1,) * max(v.ndim for v, *_ in parts), 42, np.uint64)
+    for values, is_long, valid in parts:
+        x = values.astype(np.int64).view(np.uint64)
+        if is_long:
+            h = (seed + p5 + np.uint64(8)) ^ (turned(x * p2, 31) * p1)
+            h = turned(h, 27) * p1 + p4
+        else:
+            h = (seed + p5 + np.uint64(4)) ^ ((x & np.uint64(0xFFFFFFFF)) * p1)
+            h = turned(h, 23) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+        seed = h if valid.all() else np.where(valid, h, seed)
+    return seed.view(np.int64)

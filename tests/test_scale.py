@@ -100,3 +100,51 @@ def test_verification_with_and_without_support(spark):
     df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} array<double>" for c in ("a", "b", "sa", "sb", "ta", "tb")))
     got = {r.k: r.status for r in dedupe.verified(df, duplicates.LIMITS).collect()}
     assert [got[k][:19] for k in range(7)] == ["near_candidate_hr_p"] * 2 + ["near_candidate_hr_o"] * 2 + ["screened_out_after_"] * 3
+
+
+def test_hash_is_that_of_spark(spark):
+    import numpy as np
+
+    from cadenza.functions.hashing import xxhash64_chain
+
+    rows = [(i, v, None if i % 5 == 0 else -v) for i, v in enumerate([0, 1, -1, 7, 2**31, -(2**31), 2**62 + 3, -(2**63) + 1, 123456789012, 42])]
+    df = spark.createDataFrame(rows, "a int, b long, c long")
+    want = [r[0] for r in df.orderBy("a").select(F.xxhash64("a", "c", "b")).collect()]
+    some = np.ones(10, bool)
+    a, b, c = (np.array([r[i] or 0 for r in rows], dtype=np.int64) for i in range(3))
+    assert xxhash64_chain([(a, False, some), (c, True, np.array([r[2] is not None for r in rows])), (b, True, some)]).tolist() == want
+
+
+def test_thresholds_and_coverage_by_replicate(spark, monkeypatch):
+    """As by rows repeated for every replicate, in blocks of replicates, with null keys and scores."""
+    from cadenza.operators import inference
+    from cadenza.operators.hierarchy import running
+
+    monkeypatch.setattr(inference, "CELLS", 500)
+    draw = random.Random(6)
+    rows = [(g, draw.randrange(90), draw.choice([None, 1, 2, 3, 4]), i, draw.choice([None, *[round(draw.random(), 2) for _ in range(9)]])) for g in (1, 2) for i in range(700)]
+    df = spark.createDataFrame([*rows, (1, None, 1, 0, 0.5)], "g int, u long, s long, r int, x double")
+    got = inference.sampled_thresholds(df, ["g"], "u", "s", "r", "x", 0.9, 30)
+    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    pick = lambda *c: F.xxhash64("replicate", *c)
+    users = each.groupBy("g", "replicate", "u", "s").agg(F.min_by("x", pick("r", "s")).alias("x")).groupBy("g", "replicate", "u").agg(F.min_by("x", pick("s", "u")).alias("x"))
+    reached = running(users.withColumn("w", inference.replicate_weight(F.col("u"), F.col("replicate"))).where("w > 0"), ["g", "replicate"], "x", F.sum("w"))
+    rank = F.least(F.col("total"), F.ceil((F.col("total") + 1) * 0.9))
+    want = reached.where(F.col("before") + F.col("w") >= rank).groupBy("g", "replicate").agg(F.greatest(F.lit(0.0), F.min("x")).alias("threshold"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 60
+
+    t = got.where("g = 1").select("replicate", "threshold")
+    cover = {r.replicate: r.picp for r in inference.covered_by_replicate(df, "u", "s", "x", t, 7).collect()}
+    inside = each.where("x is not null").join(t, "replicate").groupBy("replicate", "u", "s").agg(F.avg((F.col("x") <= F.col("threshold")).cast("double")).alias("c")).groupBy("replicate", "u").agg(
+        F.avg("c").alias("c")).withColumn("w", inference.replicate_weight(F.col("u"), F.col("replicate"), 7))
+    expected = {r.replicate: r.p for r in inside.groupBy("replicate").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("p")).collect()}
+    assert cover.keys() == expected.keys() and all(abs(cover[k] - expected[k]) < 1e-12 for k in cover)
+
+
+def test_replicates_are_drawn_where_users_lie(spark):
+    from support import DATA
+
+    from cadenza.plans import extended
+
+    plan = plan_of(extended.replicate_matched(spark, DATA))
+    assert "explode(" not in plan and plan.count("MapInArrow") >= 2
